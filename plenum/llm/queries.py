@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plenum.llm import quality, urlrules
+from plenum.llm import quality, simhash, urlrules
 from plenum.llm.common import table
 
 #: The words of a text in DuckDB.
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     judged = quality.judge(docs, measures=quality.BASE)
@@ -59,5 +63,5 @@ m AS (SELECT page_id, arg_max(h || p, length(h || p)) AS rule, arg_max(v, length
   FROM u JOIN rules ON (u.host = h OR ends_with(u.host, '.' || h)) AND starts_with(u.path, p) GROUP BY page_id)
 SELECT u.page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM u LEFT JOIN m USING (page_id)"""
 
-QUERIES = {"op3_quality_rules": op3_quality_rules, "op5_url_rules": op5_url_rules}
+QUERIES = {"op1_simhash": op1_simhash, "op3_quality_rules": op3_quality_rules, "op5_url_rules": op5_url_rules}
 ORACLES = {"op3_quality_rules": OP3, "op5_url_rules": OP5}
