@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plenum.llm import linededup, quality, simhash, urlrules
+from plenum.llm import decontam, linededup, packing, quality, simhash, urlrules
 from plenum.llm.common import table
 
 #: The words of a text in DuckDB.
@@ -80,5 +80,33 @@ SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (WHERE gone) AS BIGINT)
   sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM j GROUP BY doc_id"""
 
-QUERIES = {"op9_line_dedup": op9_line_dedup, "op1_simhash": op1_simhash, "op3_quality_rules": op3_quality_rules, "op5_url_rules": op5_url_rules}
-ORACLES = {"op9_line_dedup": OP9, "op3_quality_rules": OP3, "op5_url_rules": OP5}
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP8 = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') AS w FROM benchmark),
+dt AS (SELECT doc_id, unnest(w) AS t, generate_subscripts(w, 1) AS p, len(w) AS size FROM w),
+dg AS (SELECT doc_id, size, p, t || ' ' || lead(t, 1) OVER o || ' ' || lead(t, 2) OVER o || ' ' || lead(t, 3) OVER o || ' ' || lead(t, 4) OVER o AS g
+  FROM dt WINDOW o AS (PARTITION BY doc_id ORDER BY p)),
+bt AS (SELECT item_id, unnest(w) AS t, generate_subscripts(w, 1) AS p, len(w) AS n FROM b),
+bg AS (SELECT item_id, n, p, t || ' ' || lead(t, 1) OVER o || ' ' || lead(t, 2) OVER o || ' ' || lead(t, 3) OVER o || ' ' || lead(t, 4) OVER o AS g
+  FROM bt WINDOW o AS (PARTITION BY item_id ORDER BY p)),
+s AS (SELECT DISTINCT doc_id, item_id, n, greatest(0, least(dg.p - bg.p, size - n)) AS start FROM dg JOIN bg USING (g)),
+x AS (SELECT s.doc_id, s.item_id, s.n, s.start, dg.g, count(*) AS c FROM s JOIN dg ON dg.doc_id = s.doc_id AND dg.p > s.start AND dg.p <= s.start + s.n - 4 AND dg.g IS NOT NULL GROUP BY ALL),
+y AS (SELECT item_id, g, count(*) AS c FROM bg WHERE g IS NOT NULL GROUP BY ALL),
+met AS (SELECT doc_id, item_id, n, start, sum(least(x.c, y.c)) AS m FROM x JOIN y USING (item_id, g) GROUP BY ALL),
+mine AS (SELECT doc_id, item_id, n, start, sum(c) AS a FROM x GROUP BY ALL),
+theirs AS (SELECT item_id, sum(c) AS b FROM y GROUP BY item_id),
+j AS (SELECT doc_id, item_id, n, start, m / (a + b - m) AS similarity FROM met JOIN mine USING (doc_id, item_id, n, start) JOIN theirs USING (item_id) WHERE 9 * m >= 4 * (a + b))
+SELECT doc_id, item_id, CAST(start AS BIGINT) AS start, CAST(n AS BIGINT) AS n_words, CAST(similarity AS DOUBLE) AS similarity
+FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) AS r FROM j) WHERE r = 1"""
+
+QUERIES = {"op4_packing": op4_packing, "op8_decontamination": op8_decontamination, "op9_line_dedup": op9_line_dedup, "op1_simhash": op1_simhash, "op3_quality_rules": op3_quality_rules, "op5_url_rules": op5_url_rules}
+ORACLES = {"op8_decontamination": OP8, "op9_line_dedup": OP9, "op3_quality_rules": OP3, "op5_url_rules": OP5}
