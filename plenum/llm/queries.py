@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plenum.llm import decontam, linededup, packing, quality, simhash, urlrules
+from plenum.llm import decontam, linededup, packing, pii, quality, simhash, urlrules
 from plenum.llm.common import table
 
 #: The words of a text in DuckDB.
@@ -44,6 +44,9 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
     OR 2 * n_capitals > word_chars OR 2 * n_dup_lines > n_lines) AS kept
 FROM b"""
 
+#: The key of the registered query; a real run passes its own secret.
+PII_KEY = "an example key"
+
 #: The rules of the contract.
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
@@ -85,6 +88,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -108,5 +115,5 @@ j AS (SELECT doc_id, item_id, n, start, m / (a + b - m) AS similarity FROM met J
 SELECT doc_id, item_id, CAST(start AS BIGINT) AS start, CAST(n AS BIGINT) AS n_words, CAST(similarity AS DOUBLE) AS similarity
 FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) AS r FROM j) WHERE r = 1"""
 
-QUERIES = {"op4_packing": op4_packing, "op8_decontamination": op8_decontamination, "op9_line_dedup": op9_line_dedup, "op1_simhash": op1_simhash, "op3_quality_rules": op3_quality_rules, "op5_url_rules": op5_url_rules}
+QUERIES = {"op4_packing": op4_packing, "op6_pii": op6_pii, "op8_decontamination": op8_decontamination, "op9_line_dedup": op9_line_dedup, "op1_simhash": op1_simhash, "op3_quality_rules": op3_quality_rules, "op5_url_rules": op5_url_rules}
 ORACLES = {"op8_decontamination": OP8, "op9_line_dedup": OP9, "op3_quality_rules": OP3, "op5_url_rules": OP5}
