@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plenum.llm import decontam, linededup, packing, pii, quality, simhash, urlrules
+from plenum.llm import decontam, htmlmain, linededup, packing, pii, quality, simhash, urlrules
 from plenum.llm.common import table
 
 #: The words of a text in DuckDB.
@@ -115,5 +115,18 @@ j AS (SELECT doc_id, item_id, n, start, m / (a + b - m) AS similarity FROM met J
 SELECT doc_id, item_id, CAST(start AS BIGINT) AS start, CAST(n AS BIGINT) AS n_words, CAST(similarity AS DOUBLE) AS similarity
 FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) AS r FROM j) WHERE r = 1"""
 
-QUERIES = {"op4_packing": op4_packing, "op6_pii": op6_pii, "op8_decontamination": op8_decontamination, "op9_line_dedup": op9_line_dedup, "op1_simhash": op1_simhash, "op3_quality_rules": op3_quality_rules, "op5_url_rules": op5_url_rules}
-ORACLES = {"op8_decontamination": OP8, "op9_line_dedup": OP9, "op3_quality_rules": OP3, "op5_url_rules": OP5}
+
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return htmlmain.extract_main(pages).select("page_id", "url", "text", "n_chars")
+
+
+OP10 = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(html, '(?s)<article>(.*?)</article>', 1) AS h FROM pages),
+t AS (SELECT page_id, url, regexp_replace(regexp_replace(h, '</?(?:p|h1|br)(?:\s[^>]*)?>', ' ', 'g'), '<[^>]*>', '', 'g') AS t FROM a),
+d AS (SELECT page_id, url, replace(replace(replace(replace(replace(t, '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&copy;', chr(169)), '&amp;', '&') AS t FROM t),
+e AS (SELECT page_id, url, trim(regexp_replace(t, '[\s\x{A0}]+', ' ', 'g')) AS text FROM d)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM e"""
+
+QUERIES = {"op4_packing": op4_packing, "op6_pii": op6_pii, "op8_decontamination": op8_decontamination, "op10_html_text": op10_html_text, "op9_line_dedup": op9_line_dedup, "op1_simhash": op1_simhash, "op3_quality_rules": op3_quality_rules, "op5_url_rules": op5_url_rules}
+ORACLES = {"op10_html_text": OP10, "op8_decontamination": OP8, "op9_line_dedup": OP9, "op3_quality_rules": OP3, "op5_url_rules": OP5}
