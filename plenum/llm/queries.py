@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plenum.llm import decontam, htmlmain, linededup, packing, pii, quality, simhash, urlrules
+from plenum.llm import decontam, htmlmain, linededup, packing, pii, quality, simhash, toxicity, urlrules
 from plenum.llm.common import table
 
 #: The words of a text in DuckDB.
@@ -16,6 +16,18 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def _fold(folds: int):
+    """The remainder that decides whether a document may be learned from."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(_fold(4) != 2)
+    scored = toxicity.classify(docs, labels)
+    return scored.select("doc_id", (_fold(4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "toxic_spans")
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     judged = quality.judge(docs, measures=quality.BASE)
@@ -128,5 +140,5 @@ d AS (SELECT page_id, url, replace(replace(replace(replace(replace(t, '&quot;',
 e AS (SELECT page_id, url, trim(regexp_replace(t, '[\s\x{A0}]+', ' ', 'g')) AS text FROM d)
 SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM e"""
 
-QUERIES = {"op4_packing": op4_packing, "op6_pii": op6_pii, "op8_decontamination": op8_decontamination, "op10_html_text": op10_html_text, "op9_line_dedup": op9_line_dedup, "op1_simhash": op1_simhash, "op3_quality_rules": op3_quality_rules, "op5_url_rules": op5_url_rules}
+QUERIES = {"op4_packing": op4_packing, "op6_pii": op6_pii, "op8_decontamination": op8_decontamination, "op10_html_text": op10_html_text, "op9_line_dedup": op9_line_dedup, "op1_simhash": op1_simhash, "op2_toxicity": op2_toxicity, "op3_quality_rules": op3_quality_rules, "op5_url_rules": op5_url_rules}
 ORACLES = {"op10_html_text": OP10, "op8_decontamination": OP8, "op9_line_dedup": OP9, "op3_quality_rules": OP3, "op5_url_rules": OP5}
