@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plenum.llm import decontam, htmlmain, linededup, packing, pii, quality, simhash, toxicity, urlrules
+from plenum.llm import decontam, htmlmain, linededup, lm, packing, pii, quality, simhash, toxicity, urlrules
 from plenum.llm.common import table
 
 #: The words of a text in DuckDB.
@@ -104,6 +104,14 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
 
 
+def op7_gru_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(_fold(5) == 1, F.lit(True))
+    model = lm.fit(docs.where(~held_out), key="doc_id")
+    scored = lm.score(docs, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -140,5 +148,5 @@ d AS (SELECT page_id, url, replace(replace(replace(replace(replace(t, '&quot;',
 e AS (SELECT page_id, url, trim(regexp_replace(t, '[\s\x{A0}]+', ' ', 'g')) AS text FROM d)
 SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM e"""
 
-QUERIES = {"op4_packing": op4_packing, "op6_pii": op6_pii, "op8_decontamination": op8_decontamination, "op10_html_text": op10_html_text, "op9_line_dedup": op9_line_dedup, "op1_simhash": op1_simhash, "op2_toxicity": op2_toxicity, "op3_quality_rules": op3_quality_rules, "op5_url_rules": op5_url_rules}
+QUERIES = {"op4_packing": op4_packing, "op6_pii": op6_pii, "op7_gru_lm": op7_gru_lm, "op8_decontamination": op8_decontamination, "op10_html_text": op10_html_text, "op9_line_dedup": op9_line_dedup, "op1_simhash": op1_simhash, "op2_toxicity": op2_toxicity, "op3_quality_rules": op3_quality_rules, "op5_url_rules": op5_url_rules}
 ORACLES = {"op10_html_text": OP10, "op8_decontamination": OP8, "op9_line_dedup": OP9, "op3_quality_rules": OP3, "op5_url_rules": OP5}
