@@ -101,22 +101,21 @@ def estimate(df: DataFrame, text: str, rules=RULES, sample_rows: int = 2000, see
         return [(r, 0.0, 0.0) for r in rules]
     texts = df.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
     sample = materialize(texts.sample(fraction=min(1.0, sample_rows / n), seed=seed), "quality-sample")
-    worded = sample.select("text", words_of(F.col("text")).alias("words"))
-    m = _lookup(F.col("text"), F.col("words"))
+    over = lambda use: bind(words_of(F.col("text")), lambda words: use(_lookup(F.col("text"), words)))
 
     def seconds(c: Column) -> float:
         took = []
         for _ in range(2):
             began = time.perf_counter()
-            worded.agg(F.sum(c.cast("int"))).collect()
+            sample.agg(F.sum(c.cast("int"))).collect()
             took.append(time.perf_counter() - began)
         return min(took)
 
-    idle = seconds(F.size("words") >= 0)
-    cost = {r.name: max(seconds(r.reject(m)) - idle, 1e-3) for r in rules}
+    idle = seconds(over(lambda m: m("n_words") >= 0))
+    cost = {r.name: max(seconds(over(r.reject)) - idle, 1e-3) for r in rules}
     patterns = Counter()
-    flags = [r.reject(m).alias(f"r{i}") for i, r in enumerate(rules)]
-    for row in worded.select(*flags).groupBy(*[f"r{i}" for i in range(len(rules))]).count().collect():
+    flags = [over(r.reject).alias(f"r{i}") for i, r in enumerate(rules)]
+    for row in sample.select(*flags).groupBy(*[f"r{i}" for i in range(len(rules))]).count().collect():
         patterns[tuple(bool(x) for x in row[:-1])] += row[-1]
     discard(sample)
 
@@ -137,17 +136,29 @@ def judge(df: DataFrame, text: str = "text", rules=RULES, measures: list[str] |
     measures: measures to return too; without any, a text costs only what the rules before its first rejection need.
     """
     order = [r for r, _, _ in estimate(df, text, rules, sample_rows)]
-    words, whole = fresh(df, "q_words"), fresh(df, "q_text")
-    out = df.withColumn(whole, F.coalesce(F.col(text), F.lit(""))).withColumn(words, words_of(F.col(whole)))
-    lazily = _lookup(F.col(whole), F.col(words))
-    if measures:
-        out = out.withColumns({name: lazily(name) for name in measures})
-    m = lambda name: F.col(name) if name in (measures or []) else lazily(name)
-    first = F
-    for r in order:
-        first = first.when(r.reject(m), F.lit(r.name))
-    verdict = first if order else F.lit(None).cast("string")
-    return out.withColumn("rejected_by", verdict).withColumn("kept", F.col("rejected_by").isNull()).drop(words, whole)
+    measures = measures or []
+    whole, judged = F.coalesce(F.col(text), F.lit("")), fresh(df, "judged")
+
+    def verdict(m: Callable[[str], Column]) -> Column:
+        first = F
+        for r in order:
+            first = first.when(r.reject(m), F.lit(r.name))
+        return (first if order else F.lit(None).cast("string")).alias("rejected_by")
+
+    # words and measures are bound, not columns of their own: a filter on the verdict that the optimizer moves down computes them once
+    def of(words: Column) -> Column:
+        lazily = _lookup(whole, words)
+        if not measures:
+            return F.struct(verdict(lazily))
+        return bind(
+            F.struct(*[lazily(n).alias(n) for n in measures]),
+            lambda known: F.struct(*[known[n].alias(n) for n in measures], verdict(lambda n: known[n] if n in measures else lazily(n))),
+        )
+
+    replaced = {c.lower() for c in [*measures, "rejected_by", "kept"]}
+    out = df.withColumn(judged, bind(words_of(whole), of))
+    added = [F.col(f"{judged}.{n}").alias(n) for n in [*measures, "rejected_by"]]
+    return out.select(*[c for c in df.columns if c.lower() not in replaced], *added, F.col(f"{judged}.rejected_by").isNull().alias("kept"))
 
 
 def keep(df: DataFrame, text: str = "text", rules=RULES, sample_rows: int = 2000) -> DataFrame:
