@@ -29,6 +29,8 @@ from plenum.llm.common import ascii_lower, discard, materialize
 
 #: Sorted after everything that continues a key.
 _LAST = bytearray([255])
+#: Bytes of a key that a range bound takes over; any byte string can be a bound.
+_BOUND_BYTES = 200
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -47,7 +49,7 @@ def _key(labels: Column, path: Column) -> Column:
 def _bounds(keys: DataFrame, ranges: int, sample_rows: int) -> list[bytes]:
     """Lower bounds of key ranges, from a bounded sample of distinct keys; they only spread the work."""
     drawn = keys.orderBy(F.xxhash64("key")).limit(sample_rows).collect()
-    drawn = sorted(bytes(r["key"]) for r in drawn)
+    drawn = sorted(bytes(r["key"])[:_BOUND_BYTES] for r in drawn)
     step = max(1, len(drawn) // ranges)
     return sorted({b"", *drawn[step::step]})
 
@@ -90,9 +92,8 @@ def judge_urls(
     last = known.select(
         at(F.concat("key", F.lit(_LAST))).alias("range"), F.concat("key", F.lit(_LAST)).alias("key"), F.lit(end).alias("kind"), info, none.alias("host"), none.alias("path")
     )
-    prefixes = spark.createDataFrame(
-        [(i + 1, bytearray(b), bytearray(b[:n])) for i, b in enumerate(bounds) for n in range(1, len(b))], "range int, bound binary, key binary"
-    )
+    bounded = spark.createDataFrame([(i + 1, bytearray(b)) for i, b in enumerate(bounds) if len(b) > 1], "range int, bound binary")
+    prefixes = bounded.select("range", F.explode(F.sequence(F.lit(1), F.length("bound") - 1)).alias("n"), "bound").select("range", F.expr("substring(bound, 1, n)").alias("key"))
     again = prefixes.join(known, "key").select("range", "key", F.lit(start).alias("kind"), info, none.alias("host"), none.alias("path"))
     probes = asked.select(at(F.col("key")).alias("range"), "key", F.lit(ask).alias("kind"), F.lit(None).cast("struct<rule:string,verdict:string>").alias("info"), "host", "path")
 
