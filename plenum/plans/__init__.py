@@ -1 +1,3 @@
-"""See README.md for the list of operators in this package."""
+"""Registered queries; importing the package registers them all."""
+
+from plenum.plans import civic_reads, civic_writes  # noqa: F401

@@ -23,5 +23,5 @@ def query(name: str, sql: str | None = None):
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The query that ``entry`` runs."""
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy("o_orderstatus").count()
+    """The query that ``entry`` runs: a page of published decisions with their meetings."""
+    return QUERIES["decision_page"](spark, sf_dir)
