@@ -273,8 +273,8 @@ def duplicate_plan(spark, sf_dir):
     return aggregates.duplicate_plan(cards(spark, sf_dir).withColumn("has_outcome", F.col("status") == "P"), ["meeting_id", "category"], "card_id", "sort_at", "has_outcome")
 
 
-@query("canonical_assignment", with_roles("""SELECT part AS item, card AS card_id FROM (SELECT part, card, n, o, lowest, m, row_number() OVER (PARTITION BY part ORDER BY at, card) AS bt, row_number() OVER b AS br, rk, sc, lead(rk) OVER b AS nr, lead(sc) OVER b AS ns
-FROM (SELECT part, card_id * 10 + number AS card, flag <> 'R' AS m, CAST(quantity % 5 AS INTEGER) AS rk, quantity / 50.0 AS sc, shipped AS at, count(*) OVER (PARTITION BY part) AS n, sum(CASE WHEN flag = 'R' THEN 1 ELSE 0 END) OVER (PARTITION BY part) AS o, min(CAST(quantity % 5 AS INTEGER)) OVER (PARTITION BY part) AS lowest
+@query("canonical_assignment", with_roles("""SELECT part AS item, card AS card_id FROM (SELECT part, card, n, o, lowest, m, row_number() OVER (PARTITION BY part ORDER BY seen_at, card) AS bt, row_number() OVER b AS br, rk, sc, lead(rk) OVER b AS nr, lead(sc) OVER b AS ns
+FROM (SELECT part, card_id * 10 + number AS card, flag <> 'R' AS m, CAST(quantity % 5 AS INTEGER) AS rk, quantity / 50.0 AS sc, shipped AS seen_at, count(*) OVER (PARTITION BY part) AS n, sum(CASE WHEN flag = 'R' THEN 1 ELSE 0 END) OVER (PARTITION BY part) AS o, min(CAST(quantity % 5 AS INTEGER)) OVER (PARTITION BY part) AS lowest
 FROM (SELECT DISTINCT * FROM items)) WINDOW b AS (PARTITION BY part ORDER BY rk DESC, sc DESC, card)) WHERE CASE WHEN n = 1 THEN TRUE WHEN o = 1 THEN NOT m WHEN lowest = 4 THEN bt = 1 ELSE coalesce(br = 1 AND (nr < rk OR sc - ns >= 0.15), FALSE) END""", ITEMS))
 def canonical_assignment(spark, sf_dir):
     proposals = items(spark, sf_dir).distinct().select(

@@ -16,12 +16,12 @@ _TIE = "part, supplier, quantity, price, flag, shipped"
 
 @query("upsert_merge", with_roles("""SELECT card_id, status, CASE WHEN card_id % 5 = 0 THEN category ELSE coalesce(CASE WHEN card_id % 10 = 2 THEN 'new' END, CASE WHEN card_id % 2 = 0 AND card_id % 10 = 2 THEN 'new' END, category) END AS category, is_featured FROM (
 SELECT card_id, CASE WHEN card_id % 2 = 0 THEN 'X' ELSE status END AS status, category, is_featured FROM cards)
-UNION ALL SELECT -card_id, 'X', CASE WHEN -card_id % 10 = 2 OR card_id % 10 = 2 THEN 'new' END, FALSE FROM cards WHERE card_id % 100 = 0""", CARDS))
+UNION ALL SELECT -card_id - 1, 'X', NULL, FALSE FROM cards WHERE card_id % 100 = 0""", CARDS))
 def upsert_merge(spark, sf_dir):
     """Even cards come anew with another status; one in five of those with a category, which the others keep; flags are the target's."""
     target = cards(spark, sf_dir).select("card_id", "status", "category", "is_featured")
     same = cards(spark, sf_dir).where("card_id % 2 = 0").select("card_id", F.lit("X").alias("status"), F.when(F.col("card_id") % 10 == 2, "new").alias("category"), F.lit(False).alias("is_featured"))
-    new = cards(spark, sf_dir).where("card_id % 100 = 0").select((-F.col("card_id")).alias("card_id"), F.lit("X").alias("status"), F.lit(None).cast("string").alias("category"), F.lit(False).alias("is_featured"))
+    new = cards(spark, sf_dir).where("card_id % 100 = 0").select((-F.col("card_id") - 1).alias("card_id"), F.lit("X").alias("status"), F.lit(None).cast("string").alias("category"), F.lit(False).alias("is_featured"))
     return merge.upsert(target, same.unionByName(new), ["card_id"], preserve=["category"], state=["is_featured"])
 
 
@@ -43,15 +43,16 @@ def preserve_missing(spark, sf_dir):
     return merge.upsert(archive, docs, ["doc_id"], preserve=["source"])
 
 
-@query("replace_children", with_roles("""SELECT meeting_id, card_id, coalesce(CASE WHEN meeting_id % 3 = 0 THEN CASE WHEN card_id % 2 = 0 THEN is_featured END END, CASE WHEN meeting_id % 3 = 0 THEN FALSE END, is_featured) AS is_featured,
-CASE WHEN meeting_id % 3 = 0 THEN 'fresh' ELSE status END AS status FROM cards WHERE meeting_id % 3 <> 0 OR card_id % 2 = 0
-UNION ALL SELECT meeting_id, -card_id, FALSE, 'fresh' FROM cards WHERE meeting_id % 3 = 0 AND card_id % 7 = 0""", CARDS))
+@query("replace_children", with_roles("""SELECT meeting_id, card_id, is_featured,
+CASE WHEN meeting_id % 3 = 0 AND card_id % 2 = 0 THEN 'fresh' ELSE status END AS status FROM cards WHERE meeting_id % 3 <> 0 OR card_id % 2 = 0
+  OR meeting_id NOT IN (SELECT meeting_id FROM cards WHERE card_id % 2 = 0 OR card_id % 7 = 0)
+UNION ALL SELECT meeting_id, -card_id - 1, FALSE, 'fresh' FROM cards WHERE meeting_id % 3 = 0 AND card_id % 7 = 0""", CARDS))
 def replace_children(spark, sf_dir):
-    """Every third meeting gets its even cards again and some new ones; what was featured stays so."""
+    """Every third meeting that has any gets its even cards again and some new ones; what was featured stays so."""
     target = cards(spark, sf_dir).select("meeting_id", "card_id", "is_featured", "status")
     third = target.where("meeting_id % 3 = 0")
     again = third.where("card_id % 2 = 0").select("meeting_id", "card_id")
-    new = third.where("card_id % 7 = 0").select("meeting_id", (-F.col("card_id")).alias("card_id"))
+    new = third.where("card_id % 7 = 0").select("meeting_id", (-F.col("card_id") - 1).alias("card_id"))
     source = again.unionByName(new).withColumns({"is_featured": F.lit(False), "status": F.lit("fresh")})
     return merge.replace_children(target, source, "meeting_id", ["card_id"], ["is_featured"])
 
