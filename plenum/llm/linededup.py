@@ -139,7 +139,8 @@ class LineStore:
         self.filters = answers.where("key IS NULL").select("shard", "seq", "blob")
         told = delta.join(answers.where("key IS NOT NULL").select("key", "shard", "seq"), "key")
         if first_time:
-            self.counts, self.postings = told.select("key", "n_docs", "first", "shard", "seq"), new
+            # written, so that a join with the postings deals both sides anew and adaptive execution can split a hot key
+            self.counts, self.postings = materialize(told.select("key", "n_docs", "first", "shard", "seq"), "line-counts"), new
             return
         added = told.where("seq >= 0").select("key", "n_docs", "first", "shard", "seq")
         maybe = told.where("seq < 0").select("key", "n_docs", "first")
