@@ -92,7 +92,7 @@ def judge_urls(
     last = known.select(
         at(F.concat("key", F.lit(_LAST))).alias("range"), F.concat("key", F.lit(_LAST)).alias("key"), F.lit(end).alias("kind"), info, none.alias("host"), none.alias("path")
     )
-    bounded = spark.createDataFrame([(i + 1, bytearray(b)) for i, b in enumerate(bounds) if len(b) > 1], "range int, bound binary")
+    bounded = spark.range(1).select(F.posexplode(lower).alias("at", "bound")).where(F.length("bound") > 1).select((F.col("at") + 1).alias("range"), "bound")
     prefixes = bounded.select("range", F.explode(F.sequence(F.lit(1), F.length("bound") - 1)).alias("n"), "bound").select("range", F.expr("substring(bound, 1, n)").alias("key"))
     again = prefixes.join(known, "key").select("range", "key", F.lit(start).alias("kind"), info, none.alias("host"), none.alias("path"))
     probes = asked.select(at(F.col("key")).alias("range"), "key", F.lit(ask).alias("kind"), F.lit(None).cast("struct<rule:string,verdict:string>").alias("info"), "host", "path")
