@@ -105,7 +105,7 @@ def contaminated(
     for length in lengths:
         sized = known.where(F.col("n") >= k if length == k else F.col("n") == length)
         spots = sized.select("n", F.posexplode(_position_hashes(F.col("words"), length)).alias("at", "h")).distinct()
-        spots = _small(materialize(spots, "spots"))
+        spots = _small(spots)  # made anew from the written items: as many small files as partitions would cost more
         placed = worded.select("doc_id", F.size("words").alias("size"), F.posexplode(_position_hashes(F.col("words"), length)).alias("p", "h"))
         start = F.greatest(F.lit(0), F.least(F.col("p") - F.col("at"), F.col("size") - F.col("n")))
         met = placed.join(spots, "h").select("doc_id", start.alias("start"), "n")
