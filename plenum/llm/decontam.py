@@ -5,8 +5,9 @@ Words are the runs of anything but ``[\\x20\\x09-\\x0D]`` of the lower-cased tex
 similarity of an item and a window of as many words is the weight both share by the weight of
 either; pairs of at least ``similarity`` are reported.
 
-1. A window can only be that similar if it shares a shingle with an item of its size, so windows
-   are laid where a document's shingle occurs in an item: at the place that aligns the two.
+1. A window can only be that similar if enough of its shingles occur in items of its size.  Of all
+   places where a window could lie, those are taken that hold as many: between two neighbouring
+   hits the first hit of a window is the same, so the places follow from the sorted hits alone.
 2. Windows and items get 64-bit SimHash fingerprints of their weighted shingles.
 3. Fingerprints are cut into ``radius + 1`` blocks.  Two that differ in at most ``radius`` bits
    agree in some block, so an equi-join on size, block and its value finds every such pair; a
@@ -31,6 +32,8 @@ from plenum.llm.common import SPACE_RE, bind, materialize
 
 #: Rows of (hash, size, offset) or document ids up to which a join may broadcast them: 32 MB at most.
 BROADCAST_ROWS = 1_000_000
+#: Starts of a document whose windows are cut in one row.
+WINDOWS_PER_ROW = 1024
 
 
 def _words(text: Column) -> Column:
@@ -69,6 +72,23 @@ def _tagged(shingles: Column) -> Column:
     return F.transform(shingles, lambda s, i: F.struct(s.alias("s"), F.size(F.filter(F.slice(shingles, 1, i), lambda t: t == s)).alias("n")))
 
 
+def _starts(ps: Column, size: Column, n: Column, length: int, similarity: tuple[int, int]) -> Column:
+    """All starts of windows of n words that hold enough of the sorted hits ``ps`` for that similarity."""
+    a, b = similarity
+    theirs = n - length + 1
+    mine = F.least(theirs, size - length + 1)  # shingles of a window: fewer in a document shorter than the item
+    need = F.greatest(F.lit(1), F.ceil(a * (mine + theirs) / F.lit(a + b)).cast("int"))
+
+    def between(first: Column, i: Column) -> Column:
+        """The starts after the hit before ``first`` and up to it, as far as the last hit needed is inside."""
+        low = F.greatest(F.lit(0), F.get(ps, i + need - 1) - mine + 1, F.coalesce(F.get(ps, i - 1) + 1, F.lit(0)))
+        high = F.least(first, F.greatest(F.lit(0), size - n))
+        return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+
+    firsts = F.slice(ps, 1, F.greatest(F.lit(0), F.size(ps) - need + 1))
+    return F.flatten(F.transform(firsts, between))
+
+
 def _block_masks(radius: int) -> list[int]:
     """radius + 1 masks that cut 64 bits into blocks."""
     cuts = [64 * i // (radius + 1) for i in range(radius + 2)]
@@ -104,17 +124,18 @@ def contaminated(
     windows = None
     for length in lengths:
         sized = known.where(F.col("n") >= k if length == k else F.col("n") == length)
-        spots = sized.select("n", F.posexplode(_position_hashes(F.col("words"), length)).alias("at", "h")).distinct()
+        spots = sized.select("n", F.explode(_position_hashes(F.col("words"), length)).alias("h")).distinct()
         spots = _small(spots)  # made anew from the written items: as many small files as partitions would cost more
         placed = worded.select("doc_id", F.size("words").alias("size"), F.posexplode(_position_hashes(F.col("words"), length)).alias("p", "h"))
-        start = F.greatest(F.lit(0), F.least(F.col("p") - F.col("at"), F.col("size") - F.col("n")))
-        met = placed.join(spots, "h").select("doc_id", start.alias("start"), "n")
-        windows = met if windows is None else windows.unionByName(met)
+        hits = placed.join(spots, "h").groupBy("doc_id", "size", "n").agg(F.sort_array(F.collect_set("p")).alias("ps"))
+        laid = hits.select("doc_id", "n", F.explode(_starts(F.col("ps"), F.col("size"), F.col("n"), length, similarity)).alias("start"))
+        windows = laid if windows is None else windows.unionByName(laid)
     windows = materialize(windows.distinct(), "windows")
 
     hit = _small(windows.select("doc_id").distinct())
     texts = worded.join(hit, "doc_id", "left_semi").select("doc_id", "words")
-    per_doc = windows.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("windows"))
+    near_by = F.floor(F.col("start") / WINDOWS_PER_ROW)
+    per_doc = windows.groupBy("doc_id", near_by).agg(F.collect_list(F.struct("start", "n")).alias("windows"))
     cut = texts.join(per_doc, "doc_id").select(
         "doc_id", F.explode(F.transform("windows", lambda w: F.struct(w["start"].alias("start"), w["n"].alias("n"), F.slice("words", w["start"] + 1, w["n"]).alias("words")))).alias("w")
     )

@@ -55,3 +55,15 @@ def test_empty_tables(spark):
     docs, items = spark.createDataFrame([(1, "a b c d e f g")], DOCS), spark.createDataFrame([(1, "a b c d e f g")], ITEMS)
     assert contaminated(docs.limit(0), items).count() == 0 and contaminated(docs, items.limit(0)).count() == 0
     assert without_contaminated(docs, items.limit(0)).count() == 1 and contaminated(docs, items).count() == 1
+
+
+def test_reordered_parts_have_no_aligned_window(spark):
+    first, second = ([f"{c}{i}" for i in range(30)] for c in "pq")
+    noise = [f"n{i}" for i in range(200)]
+    docs = [(1, " ".join([*noise[:100], *second, *first, *noise[100:]])), (2, " ".join([*second[:10], *noise])), (3, " ".join([*second, *first]))]
+    items = [(1, " ".join([*first, *second]))]
+    table, known = spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)
+    got = contaminated(table, known).collect()
+    assert sorted((r.doc_id, r.item_id, r.start, r.n_words, round(r.similarity, 9)) for r in got) == brute(docs, items)
+    assert {(r.doc_id, r.start) for r in got} == {(1, 100), (3, 0)}
+    assert [r.doc_id for r in without_contaminated(table, known).collect()] == [2]
