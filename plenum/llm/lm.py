@@ -5,9 +5,8 @@ Tokens are the words of the text, A-Z lower-cased, and one end.
 1. Every word of every training text is counted, by batch and then by a shuffle.
 2. The ``vocab`` most frequent words get a token of their own in the recurrent model (gru.py), all
    others share one; ``head`` words, a bounded number, are looked up inside tasks.
-3. The model is trained on a share of the training texts, at least ``share`` of their tokens, so the
-   sample grows with the corpus: workers run over their own part from common parameters, whose mean,
-   weighted by tokens, is formed in Spark and starts the next round.
+3. The model is trained on all training texts: workers run over their own part from common
+   parameters, whose mean, weighted by tokens, is formed in Spark and starts the next round.
 4. Every text is scored whole, lanes of texts side by side, the state carried across windows.  Words
    outside the head travel to their counts by a join; none of those is frequent enough to be hot.
 
@@ -37,6 +36,7 @@ from plenum.llm import gru
 from plenum.llm.common import materialize
 
 _BLOCK = 4096  # parameters of a row while means are formed
+_MEAN_OF = 64  # workers whose parameters a task averages at once
 _LANE_TOKENS = 4_000_000  # tokens that a task lays out at once
 
 
@@ -103,11 +103,10 @@ def _frequent(counts: DataFrame, head: int) -> DataFrame:
     return counts.where(size >= least)
 
 
-def fit(docs: DataFrame, text: str = "text", key: str | None = None, vocab: int = 4094, head: int = 65_536, hidden: int = 32, share: float = 0.02, least_tokens: int = 400_000, worker_tokens: int = 400_000, rounds: int = 3) -> LanguageModel:
-    """A model of the given training texts.
+def fit(docs: DataFrame, text: str = "text", key: str | None = None, vocab: int = 4094, head: int = 65_536, hidden: int = 32, worker_tokens: int = 400_000, rounds: int = 3) -> LanguageModel:
+    """A model of the given training texts; the recurrent part, too, is trained on every one of them.
 
-    share: share of the texts, by hash of ``key`` (default: the text), that the recurrent part is trained
-    on; a corpus under ``least_tokens / share`` tokens gives a larger share, up to all.
+    key: names a text; nothing depends on it.
     """
     spark = docs.sparkSession
     counts = materialize(count_words(docs, text), "word-counts")
@@ -125,11 +124,10 @@ def fit(docs: DataFrame, text: str = "text", key: str | None = None, vocab: int
     inside = (10 ** lexicon.log_base[: lexicon.vocab]).sum() + 10 ** lexicon.log10(ends)
     model = gru.new_model(own, hidden)
 
-    part = min(1.0, max(share, least_tokens / max(n_words, 1)))
-    drawn = F.pmod(F.xxhash64(F.col(key or text)), F.lit(1_000_000)) < int(part * 1_000_000)
-    sample = materialize(docs.where(drawn).select(F.col(text).alias("text")), "lm-sample")
-    workers = max(1, round(part * n_words / worker_tokens))
+    texts = docs.select(F.col(text).alias("text"))
+    workers = max(1, round(n_words / worker_tokens))
     lex = spark.sparkContext.broadcast(lexicon)
+    means = "block int, n long, values array<float>"
 
     for _ in range(rounds if n_words else 0):
         start = spark.sparkContext.broadcast(model)
@@ -145,10 +143,11 @@ def fit(docs: DataFrame, text: str = "text", key: str | None = None, vocab: int
         def mean(frame: pd.DataFrame) -> pd.DataFrame:
             weights = np.maximum(frame["n"].to_numpy(dtype=np.float64), 1e-9)
             average = np.average(np.stack(frame["values"].to_list()), axis=0, weights=weights)
-            return pd.DataFrame({"block": frame["block"].iloc[:1], "values": [average.astype(np.float32)]})
+            return pd.DataFrame({"block": frame["block"].iloc[:1], "n": [int(frame["n"].sum())], "values": [average.astype(np.float32)]})
 
-        parts = sample.repartition(workers).mapInPandas(trained, "block int, n long, values array<float>")
-        merged = parts.groupBy("block").applyInPandas(mean, "block int, values array<float>").collect()
+        parts = texts.repartition(workers).mapInPandas(trained, means)
+        near = parts.withColumn("few", F.floor(F.spark_partition_id() / _MEAN_OF)).groupBy("block", "few").applyInPandas(mean, means)
+        merged = near.groupBy("block").applyInPandas(mean, means).collect()
         vector = np.concatenate([np.asarray(r["values"], dtype=np.float32) for r in sorted(merged, key=lambda r: r["block"])])
         model = gru.unpack(vector, model)
     return LanguageModel(lexicon, counts, math.log10(max(1 - inside, 1e-12)), model)

@@ -61,3 +61,14 @@ def test_training_lowers_the_loss():
     texts = [np.tile(np.array([5, 9, 70], dtype=np.int32), 60) for _ in range(30)]
     start = gru.new_model(np.ones(128), hidden=8)
     assert gru.log_likelihoods(gru.train(start, texts), texts).sum() > gru.log_likelihoods(start, texts).sum()
+
+
+def test_every_training_text_reaches_the_recurrent_part(spark, monkeypatch):
+    monkeypatch.setattr(lm, "_MEAN_OF", 2)
+    docs = spark.range(0, 4000, 1, 4).select(F.col("id").alias("doc_id"), F.concat(F.lit("start "), F.repeat(F.lit("common words "), 120)).alias("text"))
+    dealt, kind = [], type(docs)
+    deal = kind.repartition
+    monkeypatch.setattr(kind, "repartition", lambda df, n: dealt.append((df.count(), n)) or deal(df, n))
+    model = lm.fit(docs, key="doc_id", vocab=6, head=8, rounds=1, worker_tokens=200_000)
+    assert dealt == [(4000, 5)]
+    assert all(np.isfinite(v).all() for v in model.parameters.values())
