@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,29 +22,58 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset, a local session gets a temporary one; on a cluster that is an error, as no folder is known to be shared.
+    """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="plenum-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
 
+#: Folders that ``materialize`` wrote inside each open ``scratch``.
+_scratches: list[list[str]] = []
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` into the shared folder and read it back: cuts lineage, and survives lost executors."""
+    """Write ``df`` into the shared folder and read it back: cuts lineage, and survives lost executors.
+
+    What a returned frame still reads stays there, like a checkpoint's files; ``discard`` and ``scratch`` delete the rest.
+    """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _scratches:
+        _scratches[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, paths) -> None:
+    conf = spark._jsc.hadoopConfiguration()
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+
+
 def discard(*frames: DataFrame) -> None:
     """Delete the files of frames that ``materialize`` returned and nothing reads any more."""
     for df in frames:
-        spark = df.sparkSession
-        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(conf).delete(where, True)
+        _delete(df.sparkSession, {f.rsplit("/", 1)[0] for f in df.inputFiles()})
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Deletes on leaving what was materialised inside, less what is taken out of the list that it gives."""
+    _scratches.append(own := [])
+    try:
+        yield own
+    finally:
+        _scratches.remove(own)
+        _delete(spark, own)
 
 
 def ascii_lower(c: Column) -> Column:
