@@ -85,6 +85,8 @@ RULES = (
     Rule("capitals", lambda m: 2 * m("n_capitals") > m("word_chars")),
     Rule("repeated_lines", lambda m: 2 * m("n_dup_lines") > m("n_lines")),
 )
+#: The rules of a corpus that keeps short texts: only those without any word go for their length.
+CORPUS_RULES = (Rule("no_words", lambda m: m("n_words") < 1), *RULES[1:])
 
 
 def _lookup(text: Column, words: Column) -> Callable[[str], Column]:
