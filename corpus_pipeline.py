@@ -14,12 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plenum.llm import decontam, linededup, packing, quality, simhash
-from plenum.llm.common import materialize, table
+from plenum.llm.common import materialize, scratch, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that no quality rule rejects."""
-    return quality.keep(docs)
+    """The documents that no quality rule rejects; short texts are no junk, so only those without any word go for their length."""
+    return quality.keep(docs, rules=quality.CORPUS_RULES)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +33,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest doc_id, of each group of near duplicates."""
+    """One document, that with the smallest doc_id, of each group of near duplicates: five-word shingles, similarity 0.8 or more."""
     return simhash.keep_first(docs)
 
 
@@ -62,6 +62,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, applied to documents."""
     docs = table(spark, sf_dir, "documents")
+    done = None
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with scratch(spark) as written:
+            docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+            was, done = done, written.pop()  # the stage's result stays until the next one is written
+            written += [was] if was else []
     return STAGES[-1][1](spark, docs, sf_dir)
