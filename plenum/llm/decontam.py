@@ -10,8 +10,10 @@ either; pairs of at least ``similarity`` are reported.
    hits the first hit of a window is the same, so the places follow from the sorted hits alone.
 2. Windows and items get 64-bit SimHash fingerprints of their weighted shingles.
 3. Fingerprints are cut into ``radius + 1`` blocks.  Two that differ in at most ``radius`` bits
-   agree in some block, so an equi-join on size, block and its value finds every such pair; a
-   pair comes out at the first block it agrees in.
+   agree in some block, so an equi-join on a block and its value finds every such pair.  Blocks are
+   short at this radius, and alone would let nearly all windows and items of a size meet.  So a
+   window asks only for items with one of whose rarest shingles it may overlap: all but the fewest
+   shingles that must be shared are an item's prefix, and a similar window holds one of these.
 4. The candidates' similarity is computed exactly, from the shingles themselves.
 
 A window of similarity 0.8 differs by about 10 bits from its item, with a deviation of 3; the radius
@@ -28,9 +30,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plenum.llm.common import SPACE_RE, bind, materialize
+from plenum.llm.common import SPACE_RE, bind, discard, fresh, materialize
 
-#: Rows of (hash, size, offset) or document ids up to which a join may broadcast them: 32 MB at most.
+#: Rows of (hash, size) or document ids up to which a join may broadcast them: 32 MB at most.
 BROADCAST_ROWS = 1_000_000
 #: Starts of a document whose windows are cut in one row.
 WINDOWS_PER_ROW = 1024
@@ -101,6 +103,16 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def _prefixes(sized: DataFrame, length: int, similarity: tuple[int, int]) -> DataFrame:
+    """(item_id, n, h): of each item its rarest shingles, so many that no window without one of them is similar enough."""
+    a, b = similarity
+    hashed = sized.select("item_id", "n", F.explode(_position_hashes(F.col("words"), length)).alias("h"))
+    often = hashed.groupBy("h").agg(F.count("*").alias("often"))
+    ranked = hashed.join(often, "h").groupBy("item_id", "n").agg(F.sort_array(F.collect_list(F.struct("often", "h"))).alias("hs"))
+    spare = F.size("hs") - F.ceil(a * F.size("hs") / F.lit(b)).cast("int") + 1
+    return ranked.select("item_id", "n", F.explode(F.array_distinct(F.transform(F.slice("hs", F.lit(1), spare), lambda x: x["h"]))).alias("h"))
+
+
 def contaminated(
     docs: DataFrame,
     items: DataFrame,
@@ -121,16 +133,24 @@ def contaminated(
     # where an item's shingles stand, by the shingle's length: k, and that of each shorter item
     lengths = [k] + [r["n"] for r in known.where(F.col("n") < k).select("n").distinct().collect()]
     worded = docs.withColumn("words", _words(F.col("text")))
-    windows = None
+    windows = asked = None
+    written = []
     for length in lengths:
         sized = known.where(F.col("n") >= k if length == k else F.col("n") == length)
         spots = sized.select("n", F.explode(_position_hashes(F.col("words"), length)).alias("h")).distinct()
         spots = _small(spots)  # made anew from the written items: as many small files as partitions would cost more
         placed = worded.select("doc_id", F.size("words").alias("size"), F.posexplode(_position_hashes(F.col("words"), length)).alias("p", "h"))
-        hits = placed.join(spots, "h").groupBy("doc_id", "size", "n").agg(F.sort_array(F.collect_set("p")).alias("ps"))
-        laid = hits.select("doc_id", "n", F.explode(_starts(F.col("ps"), F.col("size"), F.col("n"), length, similarity)).alias("start"))
-        windows = laid if windows is None else windows.unionByName(laid)
+        hits = materialize(placed.join(spots, "h"), "hits")
+        written.append(hits)
+        sorted_hits = hits.groupBy("doc_id", "size", "n").agg(F.sort_array(F.collect_set("p")).alias("ps"))
+        laid = sorted_hits.select("doc_id", "n", F.explode(_starts(F.col("ps"), F.col("size"), F.col("n"), length, similarity)).alias("start"))
+        # a window over p starts at most its own length before p
+        zone = F.floor(F.col("p") / F.col("n")).cast("int")
+        met = hits.join(_prefixes(sized, length, similarity), ["n", "h"])
+        asks = met.select("doc_id", "n", "item_id", F.explode(F.array(zone, zone - 1)).alias("zone"))
+        windows, asked = (laid, asks) if windows is None else (windows.unionByName(laid), asked.unionByName(asks))
     windows = materialize(windows.distinct(), "windows")
+    asked = asked.distinct()
 
     hit = _small(windows.select("doc_id").distinct())
     texts = worded.join(hit, "doc_id", "left_semi").select("doc_id", "words")
@@ -144,28 +164,36 @@ def contaminated(
 
     masks = _block_masks(radius)
     blocks = lambda fp: F.posexplode(F.array(*[fp.bitwiseAND(F.lit(m).cast("long")) for m in masks])).alias("block", "value")
-    x = cut.select("doc_id", "start", "n", "fp", blocks(F.col("fp"))).alias("x")
-    y = known.select("item_id", "n", "fp", blocks(F.col("fp"))).alias("y")
+    # each distinct fingerprint of a zone once
+    prints = cut.select("doc_id", "n", F.floor(F.col("start") / F.col("n")).cast("int").alias("zone"), "fp").distinct()
+    x = prints.select("doc_id", "n", "zone", "fp", blocks(F.col("fp"))).alias("x")
+    y = asked.join(known.select("item_id", "fp"), "item_id").select("doc_id", "n", "zone", "item_id", "fp", blocks(F.col("fp"))).alias("y")
     differ = F.col("x.fp").bitwiseXOR(F.col("y.fp"))
     agreed = F
     for b, m in enumerate(masks):
         agreed = agreed.when(differ.bitwiseAND(F.lit(m).cast("long")) == 0, F.lit(b))
-    on = (F.col("x.n") == F.col("y.n")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.value") == F.col("y.value"))
-    near = x.join(y, on & (F.col("x.block") == agreed) & (F.bit_count(differ) <= radius))
-    near = near.select("x.doc_id", "x.start", "x.n", "y.item_id").distinct()
+    same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("doc_id", "n", "zone", "block", "value")]
+    on = same[0] & same[1] & same[2] & same[3] & same[4]
+    # a pair comes out at the first block it agrees in
+    near = x.join(y, on & (F.col("x.block") == agreed) & (F.bit_count(differ) <= radius)).select("x.doc_id", "x.n", "x.zone", "x.fp", "y.item_id").distinct()
 
     theirs = known.select("item_id", F.col("shingles").alias("theirs"))
-    pairs = near.join(cut.select("doc_id", "start", "n", "shingles"), ["doc_id", "start", "n"]).join(theirs, "item_id")
+    own = cut.select("doc_id", "start", "n", F.floor(F.col("start") / F.col("n")).cast("int").alias("zone"), "fp", "shingles")
+    pairs = near.join(own, ["doc_id", "n", "zone", "fp"]).join(theirs, "item_id")
     shared = F.size(F.array_intersect(_tagged(F.col("shingles")), _tagged(F.col("theirs"))))
     weighed = pairs.select("doc_id", "item_id", "start", "n", shared.alias("both"), (F.size("shingles") + F.size("theirs")).alias("all"))
     # both / (all - both) >= a / b, in integers
     a, b = similarity
     enough = weighed.where(F.col("both") * (a + b) >= F.col("all") * a).withColumn("similarity", F.col("both") / (F.col("all") - F.col("both")))
     best = enough.groupBy("doc_id", "item_id").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "start", "n")).alias("w"))
-    return best.select("doc_id", "item_id", F.col("w.start").cast("long").alias("start"), F.col("w.n").cast("long").alias("n_words"), (-F.col("w.s")).alias("similarity"))
+    best = best.select("doc_id", "item_id", F.col("w.start").cast("long").alias("start"), F.col("w.n").cast("long").alias("n_words"), (-F.col("w.s")).alias("similarity"))
+    found = materialize(best, "leaks")
+    discard(known, windows, cut, *written)
+    return found
 
 
 def without_contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` whose document matches no item; rows without a doc_id stay."""
-    found = contaminated(docs, items, doc_id, text, **options).select(F.col("doc_id").alias("leaked_id")).distinct()
-    return docs.join(_small(materialize(found, "leaked")), docs[doc_id] == F.col("leaked_id"), "left_anti")
+    leaked = fresh(docs, "leaked_id")
+    found = contaminated(docs, items, doc_id, text, **options).select(F.col("doc_id").alias(leaked)).distinct()
+    return docs.join(_small(found), F.col(doc_id) == F.col(leaked), "left_anti")

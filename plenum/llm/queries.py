@@ -125,7 +125,7 @@ dg AS (SELECT doc_id, size, p, t || ' ' || lead(t, 1) OVER o || ' ' || lead(t, 2
 bt AS (SELECT item_id, unnest(w) AS t, generate_subscripts(w, 1) AS p, len(w) AS n FROM b),
 bg AS (SELECT item_id, n, p, t || ' ' || lead(t, 1) OVER o || ' ' || lead(t, 2) OVER o || ' ' || lead(t, 3) OVER o || ' ' || lead(t, 4) OVER o AS g
   FROM bt WINDOW o AS (PARTITION BY item_id ORDER BY p)),
-s AS (SELECT DISTINCT doc_id, item_id, n, greatest(0, least(dg.p - bg.p, size - n)) AS start FROM dg JOIN bg USING (g)),
+s AS (SELECT DISTINCT doc_id, item_id, n, unnest(generate_series(least(greatest(0, dg.p - n + 4), greatest(0, size - n)), least(dg.p - 1, greatest(0, size - n)))) AS start FROM dg JOIN bg USING (g)),
 x AS (SELECT s.doc_id, s.item_id, s.n, s.start, dg.g, count(*) AS c FROM s JOIN dg ON dg.doc_id = s.doc_id AND dg.p > s.start AND dg.p <= s.start + s.n - 4 AND dg.g IS NOT NULL GROUP BY ALL),
 y AS (SELECT item_id, g, count(*) AS c FROM bg WHERE g IS NOT NULL GROUP BY ALL),
 met AS (SELECT doc_id, item_id, n, start, sum(least(x.c, y.c)) AS m FROM x JOIN y USING (item_id, g) GROUP BY ALL),

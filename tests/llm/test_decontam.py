@@ -51,6 +51,33 @@ def test_against_all_windows(spark):
     assert sorted((str(r.doc_id) for r in kept.collect())) == sorted(str(d) for d, _ in docs if d not in leaked)
 
 
+def test_recall_just_over_the_limit(spark):
+    """Pairs of similarity 0.80 to 0.85: at least nine of ten are found, and those of the next rows not at all."""
+    rng, items, docs = random.Random(8), [], []
+    for i in range(150):
+        own = [f"t{rng.randrange(5000)}" for _ in range(60)]
+        items.append((i, " ".join(own)))
+        edited = list(own)
+        for at in rng.sample(range(60), 1 + i % 3):
+            edited[at] = f"e{i}"
+        docs.append((i, " ".join([*[f"b{rng.randrange(5000)}" for _ in range(30)], *edited, *[f"a{rng.randrange(5000)}" for _ in range(30)]])))
+    want = [w for d, i in zip(docs, items) for w in brute([d], [i])]  # other items have other words
+    got = contaminated(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)).collect()
+    got = {(r.doc_id, r.item_id, r.start, r.n_words, round(r.similarity, 9)) for r in got}
+    near = [w for w in want if w[4] < 0.85]
+    assert len(near) > 30 and len(got & set(near)) >= 0.9 * len(near) and got <= set(want)
+
+
+def test_many_items_alike(spark):
+    """Items and windows of one size that share most of their shingles."""
+    rng = random.Random(9)
+    common = [f"c{i}" for i in range(40)]
+    items = [(i, " ".join([*common[:35], *[f"i{i}w{j}" for j in range(5 * (i % 3))], *common[35:]])) for i in range(30)]
+    docs = [(i, " ".join([*[f"r{rng.randrange(900)}" for _ in range(20)], *items[i][1].split(), "end"])) for i in range(30)]
+    got = contaminated(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)).collect()
+    assert sorted((r.doc_id, r.item_id, r.start, r.n_words, round(r.similarity, 9)) for r in got) == brute(docs, items)
+
+
 def test_empty_tables(spark):
     docs, items = spark.createDataFrame([(1, "a b c d e f g")], DOCS), spark.createDataFrame([(1, "a b c d e f g")], ITEMS)
     assert contaminated(docs.limit(0), items).count() == 0 and contaminated(docs, items.limit(0)).count() == 0
