@@ -37,7 +37,7 @@ from plenum.llm.common import materialize
 
 _BLOCK = 4096  # parameters of a row while means are formed
 _MEAN_OF = 64  # workers whose parameters a task averages at once
-_LANE_TOKENS = 4_000_000  # tokens that a task lays out at once
+_LANE_TOKENS = 4_000_000  # tokens that a task lays in lanes at once, beside one text of any length
 
 
 def words(text: str | None) -> list[bytes]:
@@ -103,10 +103,11 @@ def _frequent(counts: DataFrame, head: int) -> DataFrame:
     return counts.where(size >= least)
 
 
-def fit(docs: DataFrame, text: str = "text", key: str | None = None, vocab: int = 4094, head: int = 65_536, hidden: int = 32, worker_tokens: int = 400_000, rounds: int = 3) -> LanguageModel:
+def fit(docs: DataFrame, text: str = "text", vocab: int = 1022, head: int = 131_072, hidden: int = 16, worker_tokens: int = 2_000_000, rounds: int = 1) -> LanguageModel:
     """A model of the given training texts; the recurrent part, too, is trained on every one of them.
 
-    key: names a text; nothing depends on it.
+    vocab, head: words with a token of their own in the recurrent model, and words whose counts tasks know.
+    worker_tokens: tokens from which a worker makes one set of parameters; their number grows with the corpus.
     """
     spark = docs.sparkSession
     counts = materialize(count_words(docs, text), "word-counts")
@@ -143,11 +144,14 @@ def fit(docs: DataFrame, text: str = "text", key: str | None = None, vocab: int
         def mean(frame: pd.DataFrame) -> pd.DataFrame:
             weights = np.maximum(frame["n"].to_numpy(dtype=np.float64), 1e-9)
             average = np.average(np.stack(frame["values"].to_list()), axis=0, weights=weights)
-            return pd.DataFrame({"block": frame["block"].iloc[:1], "n": [int(frame["n"].sum())], "values": [average.astype(np.float32)]})
-
-        parts = texts.repartition(workers).mapInPandas(trained, means)
-        near = parts.withColumn("few", F.floor(F.spark_partition_id() / _MEAN_OF)).groupBy("block", "few").applyInPandas(mean, means)
-        merged = near.groupBy("block").applyInPandas(mean, means).collect()
+            return pd.DataFrame({"block": frame["block"].iloc[:1], "n": [int(frame["n"].sum())], "values": [average.astype(np.float32)], "part": frame["part"].iloc[:1]})
+
+        parts = texts.repartition(workers).mapInPandas(trained, means).withColumn("part", F.spark_partition_id())
+        left = workers
+        while left > 1:  # a task averages the parameters of few workers, in as many levels as it takes
+            left = -(-left // _MEAN_OF)
+            parts = parts.withColumn("part", F.floor(F.col("part") / _MEAN_OF).cast("int")).groupBy("block", "part").applyInPandas(mean, means + ", part int")
+        merged = parts.collect()
         vector = np.concatenate([np.asarray(r["values"], dtype=np.float32) for r in sorted(merged, key=lambda r: r["block"])])
         model = gru.unpack(vector, model)
     return LanguageModel(lexicon, counts, math.log10(max(1 - inside, 1e-12)), model)

@@ -13,7 +13,7 @@ TEXTS = ["The cat sat", "the dog\tsat on the mat", None, "", "É unseen CAT word
 
 def test_base_score_is_the_formula(spark):
     docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string").withColumn("score", F.lit("extra"))
-    model = lm.fit(docs.where("doc_id <> 4"), key="doc_id", vocab=6, head=8, rounds=1)
+    model = lm.fit(docs.where("doc_id <> 4"), vocab=6, head=8, rounds=1)
     tokens = lambda t: [w.decode() for w in (t or "").encode().lower().split()] + [None]
     seen = Counter(w for i, t in enumerate(TEXTS) if i != 4 for w in tokens(t))
     n, v = sum(seen.values()), len(seen)
@@ -30,7 +30,7 @@ def test_base_score_is_the_formula(spark):
 
 def test_without_training_texts(spark):
     docs = spark.createDataFrame([(1, "a b"), (None, None)], "doc_id long, text string")
-    rows = lm.score(docs, lm.fit(docs.where("false"), key="doc_id")).collect()
+    rows = lm.score(docs, lm.fit(docs.where("false"))).collect()
     assert {(r["n_tokens"], r["n_known"], r["train_tokens"]) for r in rows} == {(3, 0, 0), (1, 0, 0)}
 
 
@@ -63,12 +63,46 @@ def test_training_lowers_the_loss():
     assert gru.log_likelihoods(gru.train(start, texts), texts).sum() > gru.log_likelihoods(start, texts).sum()
 
 
+def test_gradients_against_differences():
+    rng, model = np.random.default_rng(5), {name: v.astype(np.float64) for name, v in _model().items()}
+    texts = [rng.integers(2, 128, n).astype(np.int32) for n in (3, 40, 12)]
+    inputs, targets, used, fresh, _ = next(gru.Lanes(texts, 2).windows())
+    h = 0.1 * rng.standard_normal((2, 8))
+    loss = lambda m: gru.gradients(m, inputs, targets, used, fresh, h)[2]
+    found = gru.gradients(model, inputs, targets, used, fresh, h)[0]
+    for name, g in found.items():
+        at = np.unravel_index(np.argmax(np.abs(g)), g.shape)
+        up, down = ({n: v.copy() for n, v in model.items()} for _ in range(2))
+        up[name][at] += 1e-2
+        down[name][at] -= 1e-2
+        assert math.isclose((loss(up) - loss(down)) / 2e-2, g[at], rel_tol=0.05), name
+
+
+def test_a_very_long_text_among_short_ones():
+    """Memory follows the tokens: as [lanes, longest] these texts would take gigabytes."""
+    import tracemalloc
+
+    rng = np.random.default_rng(6)
+    texts = [rng.integers(2, 128, n).astype(np.int32) for n in (300_000, *[5] * 255)]
+    model = gru.new_model(np.ones(128), hidden=4)
+    tracemalloc.start()
+    found = gru.log_likelihoods(model, texts, lanes=256)
+    assert tracemalloc.get_traced_memory()[1] < 30 << 20
+    tracemalloc.stop()
+    assert math.isclose(found[0], gru.log_likelihoods(model, texts[:1])[0], rel_tol=1e-4) and (found < 0).all()
+
+
+def test_no_rows(spark):
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert lm.score(empty, lm.fit(empty)).count() == 0
+
+
 def test_every_training_text_reaches_the_recurrent_part(spark, monkeypatch):
     monkeypatch.setattr(lm, "_MEAN_OF", 2)
     docs = spark.range(0, 4000, 1, 4).select(F.col("id").alias("doc_id"), F.concat(F.lit("start "), F.repeat(F.lit("common words "), 120)).alias("text"))
     dealt, kind = [], type(docs)
     deal = kind.repartition
     monkeypatch.setattr(kind, "repartition", lambda df, n: dealt.append((df.count(), n)) or deal(df, n))
-    model = lm.fit(docs, key="doc_id", vocab=6, head=8, rounds=1, worker_tokens=200_000)
-    assert dealt == [(4000, 5)]
+    model = lm.fit(docs, vocab=6, head=8, rounds=1, worker_tokens=200_000)
+    assert dealt == [(4000, 5)]  # five workers, averaged in three levels
     assert all(np.isfinite(v).all() for v in model.parameters.values())
