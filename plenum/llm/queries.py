@@ -30,6 +30,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The returned measures are needed of every text, so the cascade can only skip the others here; the pipeline's stage skips all."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     judged = quality.judge(docs, measures=quality.BASE)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))

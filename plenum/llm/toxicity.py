@@ -2,8 +2,8 @@
 
 A sentence's score is a logistic function of the words it has; a document is toxic if any of its
 sentences is: its score is the noisy-or 1 - prod(1 - sentence score).  The weights are trained from
-document labels through that formula, by Adam with a lasso step, on at most ``sample_rows`` labelled
-documents drawn by a hash of their id; equal texts in it count as one.  All texts are then scored
+document labels through that formula, by Adam with a lasso step until the loss no longer falls, on at
+most ``sample_rows`` labelled documents drawn by a hash of their id; equal texts in it count as one.  All texts are then scored
 whole, and the sentences that reach ``threshold`` by themselves are located.
 
 Features are the words, lower-cased and stripped of punctuation, and their first 4 to 7 letters, for
@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plenum.llm.common import materialize
+from plenum.llm.common import discard, materialize
 
 _SENTENCE = re.compile(r"[^.!?\n]+")
 _PUNCTUATION = str.maketrans({c: " " for c in "\"'`,;:()[]{}<>|/\\#$%&*+=~^_-–—…«»“”„‘’¡¿"})
@@ -74,8 +74,24 @@ def _log_miss(z: np.ndarray | float):
     return -np.logaddexp(0.0, z)
 
 
-def fit(texts: list[str], labels: list[int], min_docs: int = 3, rounds: int = 200, rate: float = 0.1, lasso: float = 1e-4) -> tuple[dict[str, float], float]:
-    """Weights by word and the bias, from texts and 0/1 labels."""
+def noisy_or_loss(z: np.ndarray, doc_of: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray]:
+    """The mean loss of documents with sentence logits ``z``, and its derivative by each of them."""
+    miss = np.bincount(doc_of, weights=_log_miss(z), minlength=len(y))  # log of the chance that no sentence is toxic
+    hit = np.maximum(-np.expm1(miss), 1e-12)
+    loss = -np.where(y > 0, np.log(hit), miss).mean()
+    # the derivative by z is the sentence's score, times 1 for clean documents and -(1 - p) / p for toxic ones
+    pull = np.where(y > 0, -np.exp(miss) / hit, 1.0) / len(y)
+    return float(loss), np.exp(z + _log_miss(z)) * pull[doc_of]
+
+
+def fit(
+    texts: list[str], labels: list[int], min_docs: int = 3, rate: float = 0.1, lasso: float = 1e-4, tolerance: float = 1e-3, stretch: int = 50, most_rounds: int = 20_000
+) -> tuple[dict[str, float], float]:
+    """Weights by word and the bias, from texts and 0/1 labels.
+
+    Training ends when a stretch of rounds lowers the penalised loss by less than ``tolerance`` of it; ``most_rounds`` only guards
+    against a fit that never settles.  Within a stretch only those weights move that aren't zero or whose gradient may make them so.
+    """
     seen: dict[str, int] = {}
     for t, y in zip(texts, labels):
         seen[t] = max(seen.get(t, 0), int(y))
@@ -94,20 +110,35 @@ def fit(texts: list[str], labels: list[int], min_docs: int = 3, rounds: int = 20
             words.extend(own)
             doc_of.append(d)
     doc_of, at, words = (np.frombuffer(x, dtype=np.int32) if len(x) else np.zeros(0, dtype=np.int32) for x in (doc_of, at, words))
-    w, b = np.zeros(len(index)), START_BIAS
-    m, v = np.zeros(len(index) + 1), np.zeros(len(index) + 1)
-    for k in range(1, rounds + 1):
-        z = b + np.bincount(at, weights=w[words], minlength=len(doc_of))
-        miss = np.bincount(doc_of, weights=_log_miss(z), minlength=len(y))  # log of the chance that no sentence is toxic
-        # the derivative of the loss by z is the sentence's score, times 1 for clean documents and -(1 - p) / p for toxic ones
-        pull = np.where(y > 0, -1.0 / np.maximum(np.expm1(-miss), 1e-9), 1.0) / len(y)
-        g = np.exp(z + _log_miss(z)) * pull[doc_of]
-        grad = np.append(np.bincount(words, weights=g[at], minlength=len(index)), g.sum())
-        m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
-        step = rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-6)
-        w, b = w - step[:-1], b - step[-1]
-        shrink = rate * lasso / (np.sqrt(v[:-1] / (1 - 0.99**k)) + 1e-6)
-        w = np.sign(w) * np.maximum(np.abs(w) - shrink, 0.0)
+    n, sentences = len(index), len(doc_of)
+    w, b = np.zeros(n), START_BIAS
+    m, v = np.zeros(n + 1), np.zeros(n + 1)
+    best, k = np.inf, 0
+    while k < most_rounds:
+        z = b + np.bincount(at, weights=w[words], minlength=sentences)
+        _, g = noisy_or_loss(z, doc_of, y)
+        moving = (w != 0) | (np.abs(np.bincount(words, weights=g[at], minlength=n)) > 0.5 * lasso)
+        own = np.flatnonzero(moving)
+        place = np.cumsum(moving) - 1
+        kept = moving[words]
+        own_at, own_words, own_w = at[kept], place[words[kept]], w[own]
+        slots, least = np.append(own, n), np.inf
+        own_m, own_v = m[slots], v[slots]
+        for _ in range(stretch):
+            k += 1
+            z = b + np.bincount(own_at, weights=own_w[own_words], minlength=sentences)
+            loss, g = noisy_or_loss(z, doc_of, y)
+            least = min(least, loss + lasso * np.abs(own_w).sum())
+            grad = np.append(np.bincount(own_words, weights=g[own_at], minlength=len(own)), g.sum())
+            own_m, own_v = 0.9 * own_m + 0.1 * grad, 0.99 * own_v + 0.01 * grad**2
+            scale = np.sqrt(own_v / (1 - 0.99**k)) + 1e-6
+            step = rate * (own_m / (1 - 0.9**k)) / scale
+            own_w, b = own_w - step[:-1], b - step[-1]
+            own_w = np.sign(own_w) * np.maximum(np.abs(own_w) - rate * lasso / scale[:-1], 0.0)
+        w[own], m[slots], v[slots] = own_w, own_m, own_v
+        if least > best * (1 - tolerance):
+            break
+        best = least
     return {word: float(w[i]) for word, i in index.items() if w[i]}, float(b)
 
 
@@ -127,9 +158,10 @@ def score_text(text: str | None, weigher: Weigher, bias: float, threshold: float
 
 def sample_labelled(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, sample_rows: int) -> DataFrame:
     """(text, label): at most ``sample_rows`` labelled ids, drawn by hash, with their texts."""
-    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
-    drawn = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows).select(F.col("doc_id").alias("sample_id"), "label")
-    return docs.join(F.broadcast(drawn), F.col(doc_id) == F.col("sample_id")).select(F.coalesce(F.col(text), F.lit("")).alias("text"), "label")
+    known = labels.select(F.col("doc_id").alias("id"), F.col(label).cast("int").alias("label")).where("id IS NOT NULL AND label IS NOT NULL")
+    drawn = known.groupBy("id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(sample_rows)
+    texts = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    return texts.join(F.broadcast(drawn), "id").select("text", "label")
 
 
 def train(sample: DataFrame, **options) -> tuple[dict[str, float], float]:
@@ -162,5 +194,7 @@ def score(docs: DataFrame, model: tuple[dict[str, float], float], text: str = "t
 
 def classify(docs: DataFrame, labels: DataFrame, train_on: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample_rows: int = 6_000) -> DataFrame:
     """``docs`` with score and toxic_spans, learned from ``labels`` (doc_id, label) of the documents ``train_on`` (default: all)."""
-    sample = sample_labelled(docs if train_on is None else train_on, labels, doc_id, text, label, sample_rows)
-    return score(docs, train(materialize(sample, "toxic-sample")), text)
+    sample = materialize(sample_labelled(docs if train_on is None else train_on, labels, doc_id, text, label, sample_rows), "toxic-sample")
+    model = train(sample)
+    discard(sample)
+    return score(docs, model, text)

@@ -48,3 +48,33 @@ def test_nothing_to_learn_from(spark):
     assert 0 < classify(docs, labels).first().score < 0.05
     assert classify(docs.limit(0), labels).count() == 0
     assert fit([], []) == ({}, START_BIAS)
+
+
+def test_noisy_or_and_its_gradient():
+    """Loss and derivative against the formula, document by document."""
+    import numpy as np
+
+    from plenum.llm.toxicity import noisy_or_loss
+
+    rng = np.random.default_rng(2)
+    doc_of, y, z = np.array([0, 0, 1, 2, 2, 2, 3]), np.array([1.0, 0.0, 1.0, 0.0]), rng.normal(size=7)
+
+    def slow(z):
+        total = 0.0
+        for d in range(4):
+            p = 1 - np.prod([1 - 1 / (1 + np.exp(-x)) for x in z[doc_of == d]])
+            total -= np.log(p if y[d] else 1 - p)
+        return total / 4
+
+    loss, g = noisy_or_loss(z, doc_of, y)
+    assert abs(loss - slow(z)) < 1e-9
+    for i in range(7):
+        step = 1e-6 * (np.arange(7) == i)
+        assert abs((slow(z + step) - slow(z - step)) / 2e-6 - g[i]) < 1e-6
+
+
+def test_columns_of_any_name_and_no_rows(spark):
+    docs = spark.createDataFrame([(1, "a vileword here", 3, 4, 5), (None, None, 1, 1, 1)], "doc_id long, text string, sample_id int, label int, id int")
+    labels = spark.createDataFrame([(1, 1, 9, "x")], "doc_id long, toxic int, label int, text string")
+    assert classify(docs, labels).columns == [*docs.columns, "toxic_spans", "score"] and classify(docs, labels).count() == 2
+    assert classify(docs.limit(0), labels.limit(0)).count() == 0
