@@ -1,9 +1,10 @@
 """Quality rules as a short-circuit cascade, built from DataFrame functions only.
 
-Every rule rejects a text by a few measures.  The cost and the rejections of each rule are
-estimated on a sample; the rules then stand in one CASE expression, by rejections among the texts
-that earlier rules left, per second.  A text that one rule rejects isn't measured for the later
-ones.  The order never changes a verdict, only what it costs.
+Every rule rejects a text by a few measures.  One pass over a sample tells which texts each rule
+rejects and how much work its measures are on them; the rules then stand in one CASE expression, by
+rejections per work among the texts that earlier rules left.  A text that one rule rejects isn't
+measured for the later ones.  The order never changes a verdict, only what it costs; work is counted
+in characters and words, not in seconds, so the same table always gets the same order.
 
 Defined results: a null text counts as empty; an empty text has no words and is rejected by
 ``few_words``; repeated rows are judged alike, each by itself; an empty table gives an empty
@@ -12,15 +13,13 @@ result; a column of the input that is named like a measure or verdict is replace
 
 from __future__ import annotations
 
-import time
-from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plenum.llm.common import SPACES, UPPER, bind, discard, fresh, materialize, words_of
+from plenum.llm.common import SPACES, UPPER, bind, fresh, words_of
 
 SYMBOLS = "#*$%&|<>"
 
@@ -64,6 +63,8 @@ MEASURES: dict[str, Callable[[Column, Column], Column]] = {
     "n_capitals": lambda text, words: (F.length(text) - F.length(F.translate(text, UPPER, ""))).cast("long"),
     "n_lines": lambda text, words: F.size(F.split(text, "\n")).cast("long"),
 }
+#: What a measure costs for each character and for each word of a text, by the time it takes on long texts.
+WORK = {"n_words": (0, 1), "word_chars": (1, 0), "n_symbols": (1, 0), "n_dup_lines": (2, 0), "n_repeat_words": (0, 30), "n_capitals": (1, 0), "n_lines": (1, 0)}
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -93,42 +94,40 @@ def _lookup(text: Column, words: Column) -> Callable[[str], Column]:
     return lambda name: MEASURES[name](text, words)
 
 
+def measures_of(rule: Rule) -> list[str]:
+    """The measures that a rule asks for."""
+    asked: list[str] = []
+    rule.reject(lambda name: asked.append(name) or F.lit(0))
+    return sorted(set(asked))
+
+
 def estimate(df: DataFrame, text: str, rules=RULES, sample_rows: int = 2000, seed: int = 17) -> list[tuple[Rule, float, float]]:
-    """The rules in cascade order, each with its seconds on the sample and its share of rejections among what is left.
+    """The rules in cascade order, each with its work and its share of rejections among the sampled texts that are left.
 
-    The sample has about ``sample_rows`` rows; it only decides the order.
+    The sample has about ``sample_rows`` rows; it only decides the order.  Two jobs: a count, and one pass over the sample.
     """
-    n = df.count()
+    n = df.count() if rules else 0
     if n == 0:
         return [(r, 0.0, 0.0) for r in rules]
     texts = df.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
-    sample = materialize(texts.sample(fraction=min(1.0, sample_rows / n), seed=seed), "quality-sample")
-    over = lambda use: bind(words_of(F.col("text")), lambda words: use(_lookup(F.col("text"), words)))
-
-    def seconds(c: Column) -> float:
-        took = []
-        for _ in range(2):
-            began = time.perf_counter()
-            sample.agg(F.sum(c.cast("int"))).collect()
-            took.append(time.perf_counter() - began)
-        return min(took)
-
-    idle = seconds(over(lambda m: m("n_words") >= 0))
-    cost = {r.name: max(seconds(over(r.reject)) - idle, 1e-3) for r in rules}
-    patterns = Counter()
-    flags = [over(r.reject).alias(f"r{i}") for i, r in enumerate(rules)]
-    for row in sample.select(*flags).groupBy(*[f"r{i}" for i in range(len(rules))]).count().collect():
-        patterns[tuple(bool(x) for x in row[:-1])] += row[-1]
-    discard(sample)
+    sample = texts.sample(fraction=min(1.0, sample_rows / n), seed=seed)
+    told = sample.select(F.length("text").alias("chars"), bind(words_of(F.col("text")), lambda words: F.struct(F.size(words).alias("words"), *[r.reject(_lookup(F.col("text"), words)).alias(f"r{i}") for i, r in enumerate(rules)])).alias("t"))
+    flags = [F.col(f"t.r{i}") for i in range(len(rules))]
+    rows = told.groupBy(*flags).agg(F.count("*").alias("n"), F.sum("chars").alias("chars"), F.sum("t.words").alias("words")).collect()
+    patterns = [([bool(row[i]) for i in range(len(rules))], row["n"], row["chars"], row["words"]) for row in rows]
+
+    def work(rule: Rule, chars: float, words: float) -> float:
+        return 1.0 + sum(WORK.get(m, (1, 1))[0] * chars + WORK.get(m, (1, 1))[1] * words for m in measures_of(rule))
 
     order, left = [], list(range(len(rules)))
     while left:
-        total = max(sum(patterns.values()), 1)
-        hits = {i: sum(k for p, k in patterns.items() if p[i]) / total for i in left}
-        best = max(left, key=lambda i: (hits[i] / cost[rules[i].name], -i))
-        order.append((rules[best], cost[rules[best].name], hits[best]))
+        total, chars, words = (sum(p[j] for p in patterns) for j in (1, 2, 3))
+        hits = {i: sum(p[1] for p in patterns if p[0][i]) / max(total, 1) for i in left}
+        cost = {i: work(rules[i], chars, words) for i in left}
+        best = max(left, key=lambda i: (hits[i] / cost[i], -cost[i], -i))
+        order.append((rules[best], cost[best], hits[best]))
         left.remove(best)
-        patterns = Counter({p: k for p, k in patterns.items() if not p[best]})
+        patterns = [p for p in patterns if not p[0][best]]
     return order
 
 
