@@ -5,8 +5,9 @@ piece lengths, which has at most ``max_tokens + 1`` rows, goes to the driver; dy
 finds the ``buckets`` boundaries with the least padding over all pieces.  A batch holds as many
 pieces as the token budget takes when each is padded to its bucket's boundary.
 
-Batches form inside groups of about ``group_rows`` pieces of one bucket, drawn by hash, so that no
-window holds a whole bucket; each group ends with one batch that may not be full.
+Batches form inside groups of about ``group_rows`` pieces of one bucket, dealt by a hash of the row's
+own number and not of its values, so that no window holds a whole bucket, nor all rows of an id that
+repeats; each group ends with one batch that may not be full.
 
 Defined results: a null or empty text is one piece of no tokens; repeated rows are packed once each;
 a null doc_id is packed like any other; ties in length are ordered by doc_id and piece; an empty
@@ -74,7 +75,8 @@ def pack(
     with_text: bool = False,
 ) -> DataFrame:
     """(doc_id, piece, start, n_tokens, bucket, batch, slot[, text]): every piece, its bucket's padded length, its batch and its place there."""
-    cut = materialize(pieces(docs, doc_id, text, max_tokens, with_text), "pieces")
+    # numbered while it is written: the number is a value from then on
+    cut = materialize(pieces(docs, doc_id, text, max_tokens, with_text).withColumn("row", F.monotonically_increasing_id()), "pieces")
     histogram = {r["n_tokens"]: r["n"] for r in cut.groupBy("n_tokens").agg(F.count("*").alias("n")).collect()}
     bounds = boundaries(histogram, buckets)
     if not bounds:
@@ -82,8 +84,8 @@ def pack(
     groups = [-(-sum(n for x, n in histogram.items() if low < x <= high) // group_rows) or 1 for low, high in zip([-1, *bounds], bounds)]
     rank = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b < F.col("n_tokens")))
     placed = cut.withColumn("b", rank).withColumn("bucket", F.get(F.array(*[F.lit(b) for b in bounds]), F.col("b")))
-    placed = placed.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece"), F.get(F.array(*[F.lit(g) for g in groups]), F.col("b"))))
-    nth = F.row_number().over(Window.partitionBy("bucket", "group").orderBy("n_tokens", "doc_id", "piece")) - 1
+    placed = placed.withColumn("group", F.pmod(F.xxhash64("row"), F.get(F.array(*[F.lit(g) for g in groups]), F.col("b"))))
+    nth = F.row_number().over(Window.partitionBy("bucket", "group").orderBy("n_tokens", "doc_id", "piece", "row")) - 1
     room = F.greatest(F.lit(1), F.floor(F.lit(token_budget) / F.greatest(F.col("bucket"), F.lit(1)))).cast("int")
     numbered = placed.withColumn("nth", nth).withColumn("room", room)
     batch = F.concat_ws("-", "bucket", "group", F.floor(F.col("nth") / F.col("room")))

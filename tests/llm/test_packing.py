@@ -1,5 +1,6 @@
 """Packing: optimal boundaries against all choices, and whole results."""
 
+from collections import Counter
 from itertools import combinations
 
 import pytest
@@ -44,3 +45,10 @@ def test_no_token_is_lost_and_budgets_hold(spark):
 
 def test_empty_table(spark):
     assert packing.pack(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_rows_without_an_id_are_dealt_to_many_groups(spark):
+    docs = spark.range(0, 3000, 1, 3).selectExpr("CAST(NULL AS LONG) AS doc_id", "'same text' AS text", "'x' AS row")
+    rows = packing.pack(docs, group_rows=100, token_budget=64).collect()
+    groups = Counter(r["batch"].rsplit("-", 1)[0] for r in rows)
+    assert len(rows) == 3000 and len(groups) == 30 and max(groups.values()) < 200
