@@ -11,8 +11,9 @@ sum of starts and ends is the height of the stack of active rules; the rule on t
 the last one that started at that height.  A rule that reaches over a range's lower bound is
 started again there: it is one of the bound's own prefixes.
 
-Distinct (host, path) pairs are judged once and joined back, so a hot host or url is no hot key in
-the sweep; the join back is a plain equi-join that adaptive execution can split.
+The sweep holds each asked key once: neither a hot url nor the many hosts of a domain that ask for
+the same key make a range large.  Its answers are joined back to the distinct (host, path) pairs that
+asked, and these to the urls, by plain equi-joins that adaptive execution can split.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, fits no rule and
 gets the default verdict; repeated urls are judged alike; rules with the same host and path count
@@ -48,8 +49,8 @@ def _key(labels: Column, path: Column) -> Column:
 
 def _bounds(keys: DataFrame, ranges: int, sample_rows: int) -> list[bytes]:
     """Lower bounds of key ranges, from a bounded sample of distinct keys; they only spread the work."""
-    drawn = keys.orderBy(F.xxhash64("key")).limit(sample_rows).collect()
-    drawn = sorted(bytes(r["key"])[:_BOUND_BYTES] for r in drawn)
+    drawn = keys.orderBy(F.xxhash64("key")).limit(sample_rows).select(F.substring("key", 1, _BOUND_BYTES).alias("key")).collect()
+    drawn = sorted(bytes(r["key"]) for r in drawn)
     step = max(1, len(drawn) // ranges)
     return sorted({b"", *drawn[step::step]})
 
@@ -82,30 +83,29 @@ def judge_urls(
         .select(_key(labels, F.col("path")).alias("key"), F.concat("host", "path").alias("rule"), "verdict")
     )
 
-    bounds = _bounds(asked.select("key").distinct(), ranges, sample_rows)
+    keys = materialize(asked.select("key").distinct(), "url-keys")
+    bounds = _bounds(keys, ranges, sample_rows)
     lower = F.array(*[F.lit(bytearray(b)) for b in bounds])
     at = lambda key: F.size(F.filter(lower, lambda b: b <= key))
     info = F.struct("rule", "verdict").alias("info")
     start, ask, end = 1, 2, 0
-    none = F.lit(None).cast("string")
-    first = known.select(at(F.col("key")).alias("range"), "key", F.lit(start).alias("kind"), info, none.alias("host"), none.alias("path"))
-    last = known.select(
-        at(F.concat("key", F.lit(_LAST))).alias("range"), F.concat("key", F.lit(_LAST)).alias("key"), F.lit(end).alias("kind"), info, none.alias("host"), none.alias("path")
-    )
+    first = known.select(at(F.col("key")).alias("range"), "key", F.lit(start).alias("kind"), info)
+    last = known.select(at(F.concat("key", F.lit(_LAST))).alias("range"), F.concat("key", F.lit(_LAST)).alias("key"), F.lit(end).alias("kind"), info)
     bounded = spark.range(1).select(F.posexplode(lower).alias("at", "bound")).where(F.length("bound") > 1).select((F.col("at") + 1).alias("range"), "bound")
     prefixes = bounded.select("range", F.explode(F.sequence(F.lit(1), F.length("bound") - 1)).alias("n"), "bound").select("range", F.expr("substring(bound, 1, n)").alias("key"))
-    again = prefixes.join(known, "key").select("range", "key", F.lit(start).alias("kind"), info, none.alias("host"), none.alias("path"))
-    probes = asked.select(at(F.col("key")).alias("range"), "key", F.lit(ask).alias("kind"), F.lit(None).cast("struct<rule:string,verdict:string>").alias("info"), "host", "path")
+    again = prefixes.join(known, "key").select("range", "key", F.lit(start).alias("kind"), info)
+    probes = keys.select(at(F.col("key")).alias("range"), "key", F.lit(ask).alias("kind"), F.lit(None).cast("struct<rule:string,verdict:string>").alias("info"))
 
     moves = F.when(F.col("kind") == start, 1).when(F.col("kind") == end, -1).otherwise(0)
     in_order = Window.partitionBy("range").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, 0)
     swept = first.unionByName(again).unionByName(last).unionByName(probes).withColumn("height", F.sum(moves).over(in_order))
     at_height = Window.partitionBy("range", "height").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, 0)
     top = F.last(F.when(F.col("kind") == start, F.col("info")), ignorenulls=True).over(at_height)
-    found = swept.withColumn("top", top).where((F.col("kind") == ask) & (F.col("height") > 0))
+    found = swept.withColumn("top", top).where((F.col("kind") == ask) & (F.col("height") > 0)).select("key", "top")
     longest = F.max(F.struct(F.length("top.rule").alias("n"), F.col("top.rule").alias("rule"), F.col("top.verdict").alias("verdict")))
-    judged = materialize(found.groupBy("host", "path").agg(longest.alias("best")).select("host", "path", "best.rule", "best.verdict"), "url-judged")
-    discard(pairs)
+    met = asked.join(materialize(found, "url-answers"), "key")
+    judged = materialize(met.groupBy("host", "path").agg(longest.alias("best")).select("host", "path", "best.rule", "best.verdict"), "url-judged")
+    discard(pairs, keys)
     out = placed.join(judged, ["host", "path"], "left")
     added = ["host", "path", "rule", "verdict"]
     return out.withColumn("verdict", F.coalesce("verdict", F.lit(default))).select(*[c for c in placed.columns if c not in added], *added)

@@ -57,3 +57,15 @@ def test_empty_tables_and_clashing_columns(spark):
     odd = spark.createDataFrame([(1, "http://a.com/", "h", 3, "v", "k")], "page_id long, url string, host string, rule int, verdict string, key string")
     (row,) = judge_urls(odd, spark.createDataFrame([("com", "/", "block"), ("com", "/", "allow")], RULES)).collect()
     assert (row.host, row.path, row.rule, row.verdict, row.key) == ("a.com", "/", "com/", "block", "k")
+
+
+def test_home_pages_of_one_domain_ask_once(spark, monkeypatch):
+    """The sweep holds a key once, however many hosts ask for it."""
+    from plenum.llm import urlrules
+
+    seen, write = {}, urlrules.materialize
+    monkeypatch.setattr(urlrules, "materialize", lambda df, name: seen.setdefault(name, write(df, name)))
+    urls = spark.range(400).selectExpr("id AS page_id", "concat('http://h', id, '.com/') AS url")
+    rules = spark.createDataFrame([("com", "/", "block"), ("h7.com", "/", "allow")], "host string, path string, verdict string")
+    out = urlrules.judge_urls(urls, rules, ranges=4)
+    assert {r.page_id for r in out.where("verdict = 'allow'").collect()} == {7} and out.where("rule = 'com/'").count() == 399
