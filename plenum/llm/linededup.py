@@ -16,11 +16,15 @@ tells which one a key is in, so deleting takes the right entry out.  Deleting do
 counts, names the next holder and takes keys nobody holds any more out of the filters: the lines
 of the documents left come back as if the deleted ones had never been there.
 
+When an insertion brings more keys than the shards are meant for, twice over, the keys are dealt to
+more shards and the filters made anew from the counts.  ``dedup_lines`` inserts a table in two parts:
+the keys of the second ask the filters that hold those of the first.
+
 Keys are MD5 digests.  A key of very many documents is counted map-side before it is shuffled; its
 postings are joined by a join that adaptive execution can split; a shard holds distinct keys only.
 
 Defined results: a null or empty text has one empty line; rows without a doc_id are neither counted
-nor changed; repeated rows of a doc_id are one document, each row losing the same lines; inserting a
+nor changed; repeated rows of a doc_id are one document, each row losing the same lines; ids may have any type that can be ordered; inserting a
 document again changes nothing; empty tables give empty results; the text may have any length.
 """
 
@@ -35,7 +39,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plenum.llm.common import fresh, materialize
+from plenum.llm.common import discard, fresh, materialize
 from plenum.llm.cuckoo import CuckooFilter
 
 _SPACE = b" \t\n\x0b\x0c\r"
@@ -50,17 +54,19 @@ def line_key(line: str, min_chars: int) -> bytes | None:
 
 
 def _postings(docs: DataFrame, doc_id: str, text: str, min_chars: int) -> DataFrame:
+    kind = docs.schema[doc_id].dataType.simpleString()
+
     def keys(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            ids, found = [], []
-            for i, t in zip(frame["doc_id"], frame["text"]):
+            rows, found = [], []
+            for i, t in enumerate(frame["text"]):
                 own = {line_key(x, min_chars) for x in (t or "").split("\n")} - {None}
-                ids += [i] * len(own)
+                rows += [i] * len(own)
                 found += own
-            yield pd.DataFrame({"key": found, "doc_id": pd.Series(ids, dtype="int64")})
+            yield pd.DataFrame({"key": found, "doc_id": frame["doc_id"].take(rows).to_numpy()})
 
-    named = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return named.mapInPandas(keys, "key binary, doc_id long").distinct()
+    named = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    return named.mapInPandas(keys, f"key binary, doc_id {kind}").distinct()
 
 
 def _hashes(keys) -> np.ndarray:
@@ -110,12 +116,12 @@ _FILTERS = "shard int, seq int, blob binary"
 class LineStore:
     """The lines of the documents inserted and not deleted."""
 
-    def __init__(self, spark: SparkSession, min_chars: int = 10, shard_keys: int = 100_000):
-        """shard_keys: keys a shard is meant for, by the first insertion; it sets their number."""
-        self.spark, self.min_chars, self.shard_keys = spark, min_chars, shard_keys
+    def __init__(self, spark: SparkSession, min_chars: int = 10, shard_keys: int = 100_000, id_type: str = "bigint"):
+        """shard_keys: keys a shard is meant for; id_type: the type of document ids."""
+        self.spark, self.min_chars, self.shard_keys, self.id_type = spark, min_chars, shard_keys, id_type
         self.shards = 0
-        self.postings = spark.createDataFrame([], "key binary, doc_id long")
-        self.counts = spark.createDataFrame([], "key binary, n_docs long, first long, shard int, seq int")
+        self.postings = spark.createDataFrame([], f"key binary, doc_id {id_type}")
+        self.counts = spark.createDataFrame([], f"key binary, n_docs long, first {id_type}, shard int, seq int")
         self.filters = spark.createDataFrame([], _FILTERS)
 
     def _sharded(self, df: DataFrame) -> DataFrame:
@@ -127,37 +133,63 @@ class LineStore:
         told = asked.applyInPandas(lambda new, chain: answer(new, chain), "shard int, key binary, seq int, blob binary")
         return materialize(told, "line-answers")
 
+    def _replace(self, **tables: DataFrame) -> None:
+        """Takes on new tables; the files of the old ones go, so frames made from the store must be written before it changes."""
+        for name, new in tables.items():
+            old = getattr(self, name)
+            setattr(self, name, new)
+            if old is not new:
+                discard(old)
+
+    def _reshard(self, keys: int) -> None:
+        """Deals all keys to as many shards as they need now and makes the filters anew."""
+        self.shards = max(1, -(-keys // self.shard_keys))
+        empty = self.spark.createDataFrame([], _FILTERS)
+        told = self._sharded(self.counts.select("key")).groupBy("shard").cogroup(empty.groupBy("shard"))
+        answers = materialize(told.applyInPandas(lambda new, chain: _inserted(new, chain, sure=True), "shard int, key binary, seq int, blob binary"), "line-answers")
+        counts = self.counts.drop("shard", "seq").join(answers.where("key IS NOT NULL").select("key", "shard", "seq"), "key")
+        filters = materialize(answers.where("key IS NULL").select("shard", "seq", "blob"), "line-filters")
+        self._replace(counts=materialize(counts.select("key", "n_docs", "first", "shard", "seq"), "line-counts"), filters=filters)
+        discard(answers)
+
     def insert(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> None:
         """Adds the documents' lines."""
         new, first_time = materialize(_postings(docs, doc_id, text, self.min_chars), "line-postings"), not self.shards
         if not first_time:
-            new = materialize(new.join(self.postings, ["key", "doc_id"], "left_anti"), "line-postings")
+            own, new = new, materialize(new.join(self.postings, ["key", "doc_id"], "left_anti"), "line-postings")
+            discard(own)
         delta = materialize(new.groupBy("key").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first")), "line-delta")
+        n_keys = delta.count()
         if first_time:
-            self.shards = max(1, -(-delta.count() // self.shard_keys))
+            self.shards = max(1, -(-n_keys // self.shard_keys))
+        elif (total := n_keys + self.counts.count()) > 2 * self.shards * self.shard_keys:
+            self._reshard(total)
         answers = self._ask(delta, _inserted)
-        self.filters = answers.where("key IS NULL").select("shard", "seq", "blob")
         told = delta.join(answers.where("key IS NOT NULL").select("key", "shard", "seq"), "key")
         if first_time:
             # written, so that a join with the postings deals both sides anew and adaptive execution can split a hot key
-            self.counts, self.postings = materialize(told.select("key", "n_docs", "first", "shard", "seq"), "line-counts"), new
+            counts = materialize(told.select("key", "n_docs", "first", "shard", "seq"), "line-counts")
+            self._replace(counts=counts, postings=new, filters=materialize(answers.where("key IS NULL").select("shard", "seq", "blob"), "line-filters"))
+            discard(answers, delta)
             return
         added = told.where("seq >= 0").select("key", "n_docs", "first", "shard", "seq")
-        maybe = told.where("seq < 0").select("key", "n_docs", "first")
+        maybe = materialize(told.where("seq < 0").select("key", "n_docs", "first"), "line-maybe")
         known = maybe.alias("m").join(self.counts.alias("c"), "key")
         merged = known.select("key", F.expr("m.n_docs + c.n_docs AS n_docs"), F.expr("least(m.first, c.first) AS first"), "shard", "seq")
+        self._replace(filters=materialize(answers.where("key IS NULL").select("shard", "seq", "blob"), "line-filters"))
         # what a filter seems to hold and the counts don't have is new after all, and gets an entry of its own
-        false = maybe.join(self.counts, "key", "left_anti")
+        false = materialize(maybe.join(self.counts, "key", "left_anti"), "line-false")
         forced = self._ask(false, partial(_inserted, sure=True))
-        self.filters = forced.where("key IS NULL").select("shard", "seq", "blob")
         late = false.join(forced.where("key IS NOT NULL").select("key", "shard", "seq"), "key")
         rest = self.counts.join(maybe, "key", "left_anti")
-        self.counts = materialize(added.unionByName(merged).unionByName(late).unionByName(rest), "line-counts")
-        self.postings = materialize(self.postings.unionByName(new), "line-postings")
+        counts = materialize(added.unionByName(merged).unionByName(late).unionByName(rest), "line-counts")
+        filters = materialize(forced.where("key IS NULL").select("shard", "seq", "blob"), "line-filters")
+        self._replace(counts=counts, filters=filters, postings=materialize(self.postings.unionByName(new), "line-postings"))
+        discard(answers, delta, maybe, false, forced, new)
 
     def delete(self, ids: DataFrame, doc_id: str = "doc_id") -> None:
         """Takes the documents with these ids out again."""
-        ids = ids.select(F.col(doc_id).cast("long").alias("doc_id")).distinct()
+        ids = ids.select(F.col(doc_id).cast(self.id_type).alias("doc_id")).distinct()
         gone = materialize(self.postings.join(ids, "doc_id", "left_semi"), "line-gone")
         left = materialize(self.postings.join(ids, "doc_id", "left_anti").select("key", "doc_id"), "line-postings")
         fewer = gone.groupBy("key").agg(F.count("*").alias("less"), F.min("doc_id").alias("gone_first"))
@@ -169,9 +201,9 @@ class LineStore:
         rest = self.counts.join(touched, "key", "left_anti")
         dead = touched.where("n_docs = 0").select("key", "shard", "seq")
         filters = dead.groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInPandas(_deleted, _FILTERS)
-        self.counts, self.postings, self.filters = (
-            materialize(again.select(cols).unionByName(rest.select(cols)), "line-counts"), left, materialize(filters, "line-filters")
-        )
+        counts = materialize(again.select(cols).unionByName(rest.select(cols)), "line-counts")
+        self._replace(counts=counts, filters=materialize(filters, "line-filters"), postings=left)
+        discard(gone, touched)
 
     def apply(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
         """``docs`` with ``text`` less the lines that go, and n_lines and n_dropped."""
@@ -180,7 +212,7 @@ class LineStore:
         lost, holder = fresh(docs, "line_keys"), fresh(docs, "line_doc")
         drops = drops.select(F.col("doc_id").alias(holder), F.col("keys").alias(lost))
         plain = docs.drop(*[c for c in docs.columns if c.lower() in ("n_lines", "n_dropped") and c not in (doc_id, text)])
-        joined = plain.join(drops, plain[doc_id].cast("long") == F.col(holder), "left").drop(holder)
+        joined = plain.join(drops, plain[doc_id] == F.col(holder), "left").drop(holder)
         result, min_chars = fresh(joined, "line_result"), self.min_chars
 
         @F.pandas_udf("text string, n_lines long, n_dropped long")
@@ -202,7 +234,9 @@ class LineStore:
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = 10) -> DataFrame:
-    """One pass over a whole table: insert its documents, then drop the lines that others hold."""
-    store = LineStore(docs.sparkSession, min_chars)
-    store.insert(docs, doc_id, text)
+    """``docs`` less the lines that documents with smaller ids hold: inserted in two parts, dealt by a hash of the id."""
+    store = LineStore(docs.sparkSession, min_chars, id_type=docs.schema[doc_id].dataType.simpleString())
+    part = F.pmod(F.xxhash64(doc_id), F.lit(2))
+    store.insert(docs.where(part == 0), doc_id, text)
+    store.insert(docs.where(part == 1), doc_id, text)
     return store.apply(docs, doc_id, text)

@@ -85,3 +85,31 @@ def test_key_length(line, counts):
     from plenum.llm.linededup import line_key
 
     assert (line_key(line, 10) is not None) == counts
+
+
+def test_ids_of_any_type_and_filters_that_are_asked(spark, monkeypatch):
+    from plenum.llm import linededup
+
+    text = "a line of several documents\nown line number {0}"
+    docs = spark.createDataFrame([(f"d{i:02}", text.format(i)) for i in range(30)] + [(None, text.format(0))], "doc_id string, text string")
+    asked, ask = [], linededup.LineStore._ask
+    monkeypatch.setattr(linededup.LineStore, "_ask", lambda store, keys, answer: asked.append(store.filters.count()) or ask(store, keys, answer))
+    rows = {r.doc_id: (r.text, r.n_dropped) for r in linededup.dedup_lines(docs).collect()}
+    assert asked[0] == 0 and min(asked[1:]) > 0
+    assert rows["d00"] == (text.format(0), 0) and rows["d07"] == ("own line number 7", 1) and rows[None] == (text.format(0), 0)
+
+
+def test_more_shards_as_keys_come(spark):
+    from plenum.llm.linededup import LineStore
+
+    docs = lambda a, b: spark.range(a, b).selectExpr("id AS doc_id", "concat('a line that all have\n', 'line of document ', id) AS text")
+    store = LineStore(spark, shard_keys=50)
+    store.insert(docs(0, 20))
+    assert store.shards == 1
+    store.insert(docs(20, 400))
+    assert store.shards == 9 and store.filters.select("shard").distinct().count() == 9
+    store.delete(docs(0, 1))
+    store.insert(docs(390, 420))
+    everything = docs(1, 420)
+    assert store.counts.count() == 420 and store.apply(everything).where("n_dropped = 0").select("doc_id").first()[0] == 1
+    assert store.apply(everything).selectExpr("sum(n_dropped)").first()[0] == 418
