@@ -11,6 +11,9 @@ vector's halves are shifted in turn by a keyed function of the other half.  This
 vectors of each shape, so that equal values stay equal, different ones stay different, the format
 stays and ``restore`` with the same key gives the text back.  Check digits are computed anew.
 
+The keyed function is an HMAC-SHA256.  The key comes from a one-row table that the plan names but
+doesn't show: it is no literal of the query, so neither plans nor event logs hold it.
+
 An e-mail address keeps its domain, a phone number its country code, separators stay.
 
 Defined results: a null text stays null; an empty text stays empty; texts without finds are returned
@@ -20,25 +23,29 @@ are passed on, less any that are named like a count; texts may have any length.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plenum.llm.common import bind
+from plenum.llm.common import bind, fresh
 
+#: The usual groupings of card numbers, tried before any other, so that digits beside one don't hide it.
+_GROUPED = r"(?:\d{4} ){3}\d{4}|(?:\d{4}-){3}\d{4}|\d{4} \d{6} \d{5}|\d{4}-\d{6}-\d{5}|\d{13,19}"
 #: What a candidate of each kind looks like, in the order in which they are tried.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: (?=[A-Z]{0,2}\d)[A-Z0-9]{1,3})?)(?![A-Za-z0-9])",
     "secret": r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![A-Za-z0-9])",
     "ip": r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\d|\.\d)",
     "phone": r"(?<![\d+])\+\d{1,3}[ .-]?\(?\d{2,4}\)?[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<![\d(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d-])\d{3}-\d{3}-\d{4}(?![\d-])",
     "date": r"(?<![\d/.-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4})(?![\d/-])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "card": r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)",
+    "card": rf"(?<!\d)(?:{_GROUPED})(?!\d)|(?<!\d)(?!\d{{1,6}}[ -](?:{_GROUPED})(?!\d))\d(?:[ -]?\d){{12,18}}(?!\d)",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: What a text must have to be searched at all: each kind has one of these.
-HINT = r"[@]|\d[\d ./()-]{6}|[0-9a-fA-F]{32}|[A-Z]{2}\d{2}[A-Z0-9]{11}"
+HINT = r"[@]|\d[\d ./()-]{6}|[0-9a-fA-F]{32}|[A-Z]{2}\d{2} ?[A-Z0-9]{4}"
 KINDS = list(PATTERNS)
 ROUNDS = 8
 #: A day of the 400-year cycle that 1800-01-01 begins is a pair of these radices: 189 * 773 = 146097 days.
@@ -56,7 +63,8 @@ def _permute(values: Column, radices: Column, kind: str, key: Column, inverse: b
     def one(x: Column, r: Column) -> Column:
         odd = r % 2 == 1
         other = F.when(odd, F.slice(x, half + 1, F.size(x))).otherwise(F.slice(x, 1, half))
-        seed = F.sha2(F.concat_ws("|", key, F.lit(kind), r.cast("string"), F.array_join(F.transform(other, lambda v: v.cast("string")), ",")), 256)
+        message = F.concat_ws("|", F.lit(kind), r.cast("string"), F.array_join(F.transform(other, lambda v: v.cast("string")), ","))
+        seed = F.sha2(F.concat(key["outer"], F.unhex(F.sha2(F.concat(key["inner"], message.cast("binary")), 256))), 256)
         return bind(
             seed,
             lambda s: F.transform(
@@ -108,17 +116,17 @@ def _card(value: Column, key: Column, inverse: bool) -> Column:
 
 
 def _mod97(text: Column) -> Column:
-    """The rest by 97 of the number that an IBAN's rearranged letters and digits spell."""
+    """The rest by 97 of the number that an IBAN's rearranged letters and digits spell, spaces apart."""
     step = lambda acc, c: F.when(c.between("0", "9"), (acc * 10 + F.ascii(c) - 48) % 97).otherwise((acc * 100 + F.ascii(c) - 55) % 97)
-    return F.aggregate(F.split(text, ""), F.lit(0), step)
+    return F.aggregate(F.split(F.replace(text, F.lit(" "), F.lit("")), ""), F.lit(0), step)
 
 
 def _is_iban(value: Column) -> Column:
-    return _mod97(F.concat(F.substring(value, 5, 40), F.substring(value, 1, 4))) == 1
+    return _mod97(F.concat(F.substring(value, 5, 50), F.substring(value, 1, 4))) == 1
 
 
 def _iban(value: Column, key: Column, inverse: bool) -> Column:
-    moved = _letters(F.substring(value, 5, 40), "iban", key, inverse)
+    moved = _letters(F.substring(value, 5, 50), "iban", key, inverse)
     country = F.substring(value, 1, 2)
     return bind(moved, lambda m: F.concat(country, F.lpad((98 - _mod97(F.concat(m, country, F.lit("00")))).cast("string"), 2, "0"), m))
 
@@ -224,12 +232,23 @@ def _pseudonym(value: Column, kind: Column, key: Column, inverse: bool) -> Colum
     )
 
 
+def _key_table(spark: SparkSession, key: str) -> DataFrame:
+    """One row with the two padded keys of HMAC-SHA256."""
+    raw = key.encode()
+    block = (hashlib.sha256(raw).digest() if len(raw) > 64 else raw).ljust(64, b"\0")
+    pads = tuple(bytearray(x ^ pad for x in block) for pad in (0x36, 0x5C))
+    return spark.createDataFrame([(pads,)], "secret struct<inner:binary,outer:binary>")
+
+
 def pseudonymize(df: DataFrame, key: str, text: str = "text", inverse: bool = False) -> DataFrame:
     """``df`` with ``text`` rewritten, and a long column ``n_<kind>`` for each kind with the number of finds."""
     counts = [f"n_{k}" for k in KINDS]
     plain = df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in counts or c == text])
     names = [c for c in plain.columns if c != text]
-    whole, secret = F.col(f"`{text}`"), F.lit(key)
+    result, held = fresh(plain, "pii_result"), fresh(plain, "pii_secret")
+    # the key stands beside the text as a column, since no subquery may be asked inside a function of arrays
+    keyed = plain.withColumn(held, _key_table(df.sparkSession, key).select("secret").scalar())
+    whole, secret = F.col(f"`{text}`"), F.col(held)
 
     def rewritten(found: Column) -> Column:
         told = F.transform(found, lambda v: bind(_kind(v), lambda k: F.struct(k.alias("kind"), _pseudonym(v, k, secret, inverse).alias("new"))))
@@ -244,10 +263,10 @@ def pseudonymize(df: DataFrame, key: str, text: str = "text", inverse: bool = Fa
 
     unchanged = F.struct(whole.alias("text"), F.array().cast("array<string>").alias("kinds"))
     done = F.when(whole.rlike(HINT), bind(F.regexp_extract_all(whole, F.lit(f"({ANY})"), 1), lambda m: F.when(F.size(m) > 0, rewritten(m)).otherwise(unchanged))).otherwise(unchanged)
-    out = plain.select(*[F.col(f"`{c}`") for c in names], done.alias("pii__"))
-    found = lambda k: F.size(F.filter("pii__.kinds", lambda x: x == F.lit(k)))
+    out = keyed.select(*[F.col(f"`{c}`") for c in names], done.alias(result))
+    found = lambda k: F.size(F.filter(f"{result}.kinds", lambda x: x == F.lit(k)))
     kinds = [found(k).cast("long").alias(f"n_{k}") for k in KINDS]
-    return out.select(*[F.col("pii__.text").alias(c) if c == text else F.col(f"`{c}`") for c in plain.columns], *kinds)
+    return out.select(*[F.col(f"{result}.text").alias(c) if c == text else F.col(f"`{c}`") for c in plain.columns], *kinds)
 
 
 def restore(df: DataFrame, key: str, text: str = "text") -> DataFrame:

@@ -1,6 +1,7 @@
 """Pseudonyms: round trips, valid formats, stable links, and a plain-Python network."""
 
 import hashlib
+import hmac
 import re
 from datetime import date
 
@@ -69,7 +70,7 @@ def plain_network(values, radices, kind, key):
     for r in range(1, pii.ROUNDS + 1):
         odd = r % 2 == 1
         other = x[half:] if odd else x[:half]
-        seed = hashlib.sha256("|".join([key, kind, str(r), ",".join(map(str, other))]).encode()).hexdigest()
+        seed = hmac.new(key.encode(), "|".join([kind, str(r), ",".join(map(str, other))]).encode(), hashlib.sha256).hexdigest()
         for j in range(len(x)):
             if (j < half) == odd:
                 h = xxhash.xxh64_intdigest(j.to_bytes(4, "little"), seed=xxhash.xxh64_intdigest(seed.encode(), seed=42))
@@ -87,3 +88,22 @@ def test_against_a_plain_network(spark):
 
 def test_empty_table(spark):
     assert pii.pseudonymize(spark.createDataFrame([], SCHEMA), "key").count() == 0
+
+
+def test_cards_beside_digits_and_spaced_ibans(spark):
+    rows = ["card 4111 1111 1111 1111 12/27", "order 12 4111 1111 1111 1111", "4111-1111-1111-1111 123 and 3782 822463 10005 99", "pay DE89 3704 0044 0532 0130 00 EUR or GB29 NWBK 6016 1331 9268 19"]
+    df = spark.createDataFrame(list(enumerate(rows)), SCHEMA)
+    out = pii.pseudonymize(df, "k" * 100)
+    found = sorted(out.collect(), key=lambda r: r.doc_id)
+    assert [r.n_card for r in found] == [1, 1, 2, 0] and found[3].n_iban == 2
+    assert found[0].text.endswith(" 12/27") and found[1].text.startswith("order 12 ") and " 123 and " in found[2].text and " EUR or GB" in found[3].text
+    assert not any(x in r.text for r in found for x in ("1111 1111", "1111-1111", "822463", "3704 0044", "NWBK"))
+    assert texts(pii.restore(out.select("doc_id", "text"), "k" * 100)) == texts(df)
+
+
+def test_key_is_not_in_the_plan_and_names_are_free(spark):
+    df = spark.createDataFrame([(1, "10.0.0.1", "a", "b")], SCHEMA + ", pii__ string, pii_secret string")
+    out = pii.pseudonymize(df, "a secret of its own")
+    plan = out._jdf.queryExecution().toString()
+    assert "a secret of its own" not in plan and "611612061" not in plan.lower() and out.first().pii__ == "a" and out.columns[:4] == df.columns
+    assert pii.pseudonymize(df.limit(0), "k").count() == 0
