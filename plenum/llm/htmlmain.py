@@ -1,26 +1,32 @@
 """Main text of web pages by consensus paths of each host.
 
-1. Every page is cut into tags and text.  What stands in menus, headers, footers, sidebars,
-   notices, adverts, forms, scripts, styles and reader comments, by tag, role or class, isn't main
-   text, nor are lists that are nothing but links.  Each container scores by its share of the page's
-   other text, with a premium for depth and for tags and classes that name an article.
+1. Every page is cut into tags and text.  Menus, headers, footers, sidebars, notices, adverts, forms
+   and reader comments are marked, by tag, role, or a class or id that is called so or ends so, and
+   so are lists of links outside of articles.  A container's text is what it holds without the marked
+   parts inside it; a mark around a container takes nothing from it.
 2. A container's path is its chain of tags and classes from the body down, numbers generalised.
-   Pages vote for paths with these scores; Spark sums the votes by host and path and takes the path
-   with most votes of each host.
-3. Every page is cut again and yields the text of its containers with the host's path; a page that
-   has none of them, or whose host is unknown, yields that of its own best container.
+   Pages vote for paths: each container with a good share of its page's text scores by that share,
+   with a premium for depth and for tags and classes that name an article, and with little weight
+   inside a marked part.  Spark sums the votes by host and path and takes the path with most votes.
+3. Every page is cut again and yields the text of its containers with the host's path.  A page that
+   has none of them, or whose host is unknown, yields that of its own best container; so does one
+   whose best container holds these containers and twice their text, for they are only parts of it.
 
-Character references are decoded, white space inside a block becomes one space, blocks are trimmed
-and joined by a space in page order; nothing else is dropped or capped.
+Scripts, styles and markup are no text.  Character references are decoded, white space inside a block
+becomes one space, blocks are trimmed and joined by a space in page order; nothing else is dropped or
+capped.
 
 Defined results: null and empty pages have an empty text; pages without ``://`` in the url form no
-host; a tag that is never closed ends with what holds it; repeated pages vote and are extracted once
-each; empty tables give empty results; further columns are passed on, less any named text or n_chars.
+host; a tag that is never closed ends with what holds it; of paths with equal votes the longest
+counts, then the last by name; repeated pages vote and are extracted once each; empty tables give
+empty results; further columns are passed on, less any named text or n_chars; pages may be of any
+length.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from html import unescape
 
@@ -46,6 +52,10 @@ DROPPED_ROLES = frozenset("alert alertdialog banner complementary contentinfo di
 DROPPED_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising alert banner breadcrumb breadcrumbs byline captcha comment comments consent cookie cookies disclaimer disqus feedback footer gdpr header hidden login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion recommended related reply replies respond responses search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar widget widgets".split()
 )
+#: Of these the names that also begin what they mean: comment-list is for comments, but sidebar-right may be a layout.
+DROPPED_STARTS = frozenset(
+    "ad ads adv advert adverts advertisement breadcrumb breadcrumbs comment comments cookie cookies disqus menu nav navbar newsletter pagination popup promo promoted related replies reply respond share sharing social sponsor sponsored subscribe widget".split()
+)
 ARTICLE_WORDS = frozenset("article articlebody body content entry main page post story text".split())
 #: An open element that a start tag of the key ends, if nothing of the second set is in between.
 CLOSES = {
@@ -60,23 +70,45 @@ _WORD = re.compile(r"[a-z]+")
 _NUMBER = re.compile(r"\d+")
 
 
+def _names_a_drop(name: str, own_header: bool) -> bool:
+    """Whether a class or id names what isn't main text; an article's own header is part of it."""
+    parts = _WORD.findall(name)
+    if not parts or own_header and parts[-1] == "header":
+        return False
+    return parts[-1] in DROPPED_WORDS or parts[0] in DROPPED_STARTS
+
+
 class Page:
-    """A page's containers and pieces of main text, in page order.
+    """A page's containers, marked parts and pieces of text, in page order.
 
-    containers: (path, depth, first piece, piece after the last, premium); pieces: decoded text, with a space at each block boundary.
+    containers: (path, depth, first piece, piece after the last, premium, whether inside a marked part); marks: (first piece, piece
+    after the last); pieces: decoded text, with a space at each block boundary.
     """
 
     def __init__(self, html: str):
         self.pieces: list[str] = []
-        self.containers: list[tuple[str, int, int, int, float]] = []
-        #: open elements: tag, path of the container it is or is in, container's depth, first piece, dropped, premium or None
+        self.containers: list[tuple[str, int, int, int, float, bool]] = []
+        self.marks: list[tuple[int, int]] = []
+        #: open elements: tag, path of the container it is or is in, container's depth, first piece, whether it is marked, premium or None
         self._open: list[tuple] = [("", "", 0, 0, False, None)]
+        self._inside = [0, 0]  # open marked elements, open elements that name an article
         self._lists: list[list[int]] = []  # open lists: first piece, characters in links, links
         self._in_link = 0
         self._read(html)
         while len(self._open) > 1:
             self._pop()
-        self.containers.append(("", 0, 0, len(self.pieces), 0.0))
+        self.containers.append(("", 0, 0, len(self.pieces), 0.0, False))
+        self.marks.sort(key=lambda m: (m[0], -m[1]))
+        covered, self._upto, self._open_upto = [0] * (len(self.pieces) + 1), [0], [0]
+        for first, end in self.marks:
+            covered[first] += 1
+            covered[end] -= 1
+        depth = 0
+        for x, step in zip(self.pieces, covered):
+            depth += step
+            size = len(x.strip())
+            self._upto.append(self._upto[-1] + size)
+            self._open_upto.append(self._open_upto[-1] + (0 if depth else size))
 
     def _read(self, html: str) -> None:
         at, n = 0, len(html)
@@ -101,10 +133,9 @@ class Page:
                 self._start(tag, m[3])
 
     def _text(self, raw: str) -> None:
-        if not self._open[-1][4]:
-            self.pieces.append(text := unescape(raw))
-            if self._in_link and self._lists:
-                self._lists[-1][1] += len(text.strip())
+        self.pieces.append(text := unescape(raw))
+        if self._in_link and self._lists:
+            self._lists[-1][1] += len(text.strip())
 
     def _start(self, tag: str, attributes: str) -> None:
         if ends := CLOSES.get(tag):
@@ -116,31 +147,33 @@ class Page:
                     break
                 if self._open[i][0] in scope:
                     break
-        _, path, depth, _, dropped, _ = self._open[-1]
         if tag == "br" or tag in BLOCK:
-            if not dropped:
-                self.pieces.append(" ")
+            self.pieces.append(" ")
         if tag in VOID:
             return
+        _, path, depth, _, _, _ = self._open[-1]
         said: dict[str, str] = {}
         if attributes:
             for a in _ATTR.finditer(attributes):
                 said.setdefault(a[1].lower(), a[2] or a[3] or a[4] or "")
         names = [c.lower() for c in said.get("class", "").split()]
-        marks = [set(_WORD.findall(c)) for c in [*names, said.get("id", "").lower()]]
-        if not dropped and tag not in ("html", "body", "main", "article"):
-            # an article's own header, with its title, is part of it
-            own_header = tag == "header" and any(e[5] for e in self._open)
-            dropped = tag in DROPPED and not own_header or said.get("role", "").lower() in DROPPED_ROLES
-            dropped = dropped or any(m & DROPPED_WORDS and not m & {"has", "with", "no", "without"} and not (own_header and m <= {"header", *ARTICLE_WORDS}) for m in marks)
-        elif not dropped and tag == "article":
-            dropped = any(m & {"comment", "comments", "reply", "related", "promo", "ad", "advert", "sponsored"} for m in marks)
+        named, role = [*names, said.get("id", "").lower()], said.get("role", "").lower()
+        in_article = self._inside[1] > 0
+        marked = False
+        if tag not in ("html", "body", "main"):
+            own_header = in_article and tag not in ("nav", "aside", "form")
+            marked = any(_names_a_drop(x, own_header) for x in named)
+            if tag != "article":
+                marked = marked or tag in DROPPED and not (tag == "header" and in_article) or role in DROPPED_ROLES
         premium = None
-        if tag in CONTAINER and not dropped:
+        if tag in CONTAINER:
             path = f"{path}>{tag}" + "".join(f".{_NUMBER.sub('#', c)}" for c in sorted(set(names)))
             depth += 1
-            premium = 0.25 if tag in ("article", "main") or said.get("role") == "main" or any(m & ARTICLE_WORDS for m in marks) and tag != "body" else 0.0
-        self._open.append((tag, path, depth, len(self.pieces), dropped, premium))
+            of_article = tag in ("article", "main") or role == "main" or tag != "body" and any(set(_WORD.findall(x)) & ARTICLE_WORDS for x in named)
+            premium = 0.25 if of_article and not marked else 0.0
+        self._inside[0] += marked
+        self._inside[1] += bool(premium)
+        self._open.append((tag, path, depth, len(self.pieces), marked, premium))
         if tag == "a":
             self._in_link += 1
             if self._lists:
@@ -158,37 +191,75 @@ class Page:
                 return
 
     def _pop(self) -> None:
-        tag, path, depth, first, dropped, premium = self._open.pop()
+        tag, path, depth, first, marked, premium = self._open.pop()
         if tag == "a":
             self._in_link -= 1
         elif tag in ("ul", "ol") and self._lists:
             start, linked, links = self._lists.pop()
-            if links > 2 and linked >= 0.8 * sum(len(x.strip()) for x in self.pieces[start:]):
-                for i in range(start, len(self.pieces)):  # a menu
-                    self.pieces[i] = " "
-        if tag in BLOCK and not dropped:
+            if links > 2 and not self._inside[1] and linked >= 0.8 * sum(len(x.strip()) for x in self.pieces[start:]):
+                self.marks.append((start, len(self.pieces)))  # a menu
+        if marked:
+            self.marks.append((first, len(self.pieces)))
+        self._inside[0] -= marked
+        self._inside[1] -= bool(premium)
+        if tag in BLOCK:
             self.pieces.append(" ")
         if premium is not None:
-            self.containers.append((path, depth, first, len(self.pieces), premium))
+            self.containers.append((path, depth, first, len(self.pieces), premium, self._inside[0] + marked > 0))
+
+    def _kept(self, first: int, end: int) -> list[tuple[int, int]]:
+        """The runs of pieces from ``first`` to ``end`` outside of the marks inside them."""
+        runs, at = [], first
+        for i in range(bisect_left(self.marks, (first, -len(self.pieces)), key=lambda m: (m[0], -m[1])), len(self.marks)):
+            a, b = self.marks[i]
+            if a >= end:
+                break
+            if a == first and b >= end - 1:  # the container's own
+                continue
+            if a > at:
+                runs.append((at, a))
+            at = max(at, b)
+        return [*runs, (at, end)] if at < end else runs
+
+    def _held(self, first: int, end: int, inside: bool) -> int:
+        """Characters of a container outside of marked parts; all of them if it is inside one itself."""
+        upto = self._upto if inside else self._open_upto
+        return upto[end] - upto[first]
 
     def scores(self) -> dict[str, float]:
-        """Path -> score of the page's containers that hold a third of its text or more; none for a page without text."""
-        upto = [0]
-        for x in self.pieces:
-            upto.append(upto[-1] + len(x.strip()))
+        """Path -> score of the page's containers that hold a third as much text as the best, or more; none for a page without text."""
         held: dict[str, list[float]] = {}
-        for path, depth, first, end, premium in self.containers:
+        for path, depth, first, end, premium, inside in self.containers:
             x = held.setdefault(path, [0.0, depth, premium])
-            x[0] += upto[end] - upto[first]
+            x[0] += self._held(first, end, inside) * (0.1 if inside else 1.0)
             x[2] = max(x[2], premium)
-        return {p: (h / upto[-1]) * (1 + 0.05 * d + m) for p, (h, d, m) in held.items() if upto[-1] and h >= upto[-1] / 3}
+        most = max((h for h, _, _ in held.values()), default=0.0)
+        return {p: (h / most) * (1 + 0.05 * d + m) for p, (h, d, m) in held.items() if most and h >= most / 3}
+
+    def _spans(self, path: str) -> list[tuple[int, int, bool]]:
+        """Where the containers with this path are, those inside others apart, and whether they are in a marked part."""
+        spans: list[tuple[int, int, bool]] = []
+        for first, end, inside in sorted((c[2], -c[3], c[5]) for c in self.containers if c[0] == path):
+            if not spans or -end > spans[-1][1]:
+                spans.append((first, -end, inside))
+        return spans
 
     def text(self, path: str) -> str | None:
         """The text of the containers with this path; None without any."""
-        spans = sorted((first, end) for p, _, first, end, _ in self.containers if p == path)
+        spans = self._spans(path)
         if not spans:
             return None
-        return " ".join(" ".join("".join(self.pieces[first:end]) for first, end in spans).split())
+        return " ".join(" ".join("".join(self.pieces[a:b]) for first, end, _ in spans for a, b in self._kept(first, end)).split())
+
+    def is_part(self, path: str, best: str) -> bool:
+        """Whether the containers with this path are inside those of the best one, which hold twice their text."""
+        parts, wholes = self._spans(path), self._spans(best)
+        inside, i = True, 0
+        for first, end, _ in parts:  # both are in page order
+            while i < len(wholes) and wholes[i][1] < end:
+                i += 1
+            inside = inside and i < len(wholes) and wholes[i][0] <= first
+        return inside and 2 * sum(self._held(*s) for s in parts) < sum(self._held(*s) for s in wholes)
 
 
 def best_path(scores: dict[str, float]) -> str:
@@ -206,14 +277,18 @@ def votes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([(h, p, v) for (h, p), v in said.items()], columns=["host", "path", "votes"])
 
 
+def page_text(html: str | None, path: str | None) -> str:
+    """The text at the host's path, or else at the page's own best."""
+    page = Page(html or "")
+    best = best_path(page.scores())
+    if path is None or not page._spans(path) or page.is_part(path, best):
+        path = best
+    return page.text(path) or ""
+
+
 @F.pandas_udf(StringType())
 def main_text(htmls: pd.Series, paths: pd.Series) -> pd.Series:
-    """The text at the given path, or else, without any, at the page's own best."""
-    out = []
-    for html, path in zip(htmls, paths):
-        page = Page(html or "")
-        out.append((page.text(path) if path is not None else None) or page.text(best_path(page.scores())) or "")
-    return pd.Series(out, dtype="object")
+    return pd.Series([page_text(h, p) for h, p in zip(htmls, paths)], dtype="object")
 
 
 def host_paths(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
