@@ -37,6 +37,8 @@ from pyspark.sql.types import StringType
 
 from plenum.llm.common import ascii_lower, fresh, materialize
 
+#: A page's vote for a path is its score by the best one's to this power: what holds every page's text, the body, gets no full vote from any.
+VOTE_POWER = 16
 #: Hosts and bytes of winning paths up to which the join may broadcast them.
 BROADCAST_BYTES = 32 << 20
 
@@ -272,8 +274,10 @@ def votes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         said: dict[tuple[str, str], float] = {}
         for host, html in zip(frame["host"], frame["html"]):
-            for path, score in Page(html or "").scores().items():
-                said[host, path] = said.get((host, path), 0.0) + score
+            scores = Page(html or "").scores()
+            most = max(scores.values(), default=1.0)
+            for path, score in scores.items():
+                said[host, path] = said.get((host, path), 0.0) + (score / most) ** VOTE_POWER
         yield pd.DataFrame([(h, p, v) for (h, p), v in said.items()], columns=["host", "path", "votes"])
 
 
