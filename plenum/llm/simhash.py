@@ -9,15 +9,15 @@ is cut into two halves; of two linked ones, some half differs in at most ``radiu
 Every distinct fingerprint is entered in a table under both halves and asks for all values in the
 Hamming ball of that radius around each half; what is found is verified over all 64 bits.
 
-``similar_texts`` links texts by the share of their five-word shingles, 0.8 or more.  Fingerprints
-have 256 bits of three-word shingles, which an edited word disturbs less.  Ten segments of 20 bits
-are entered in a table; every text asks for the ball of one bit around each; what is found is
-verified over all 256 bits and then by the exact similarity of the shingle sets.  Of pairs of
-similarity 0.8 that differ in single words 0.97 meet, of those where one has a passage more 0.85,
-from 0.9 on all but one in a hundred.
-
-Large groups: the members of one table entry are first compared with the least of them only, and
-what is linked so is contracted; the joins over whole balls then only yield pairs of different
+``similar_texts`` links texts by the share of their five-word shingles, 0.8 or more.  Fingerprints of
+384 bits or more are cut into segments, entered in a table; every text asks for the ball of one bit
+around each; what is found is verified over all bits and then by the exact similarity of the shingle
+sets.  A segment is some bits shorter than the logarithm of the number of texts, so that a table
+entry stays short at any size, and there are so many segments that 0.92 of pairs of similarity 0.8
+meet, and more of those more alike; at most 0.03 of these are more than ``most`` bits apart.
+
+Large groups: the members of one table entry are first compared with few of them only, and what is
+linked so is contracted; the joins over whole balls then only yield pairs of different
 components, never the pairs inside a dense group.
 
 Defined results: null and empty texts have fingerprint zero, linked like any other; repeated rows
@@ -27,6 +27,7 @@ none; empty tables give empty results; a very long text is hashed in chunks.
 
 from __future__ import annotations
 
+import math
 from functools import partial
 from itertools import combinations
 
@@ -35,21 +36,21 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, LongType, StructType
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, LongType, StructType
 
 from plenum.llm.components import connected_components
 from plenum.llm.common import discard, fresh, materialize
 
 _xxh64 = partial(xxhash.xxh64_intdigest, seed=42)
 _CHUNK = 1 << 16
-#: Segments of a long fingerprint and their bits; what is left of the 256 bits is compared before anything else.
-SEGMENTS, SEGMENT_BITS = 10, 20
-#: Differing bits of the 56 that are left, and of all 256, up to which texts of similarity 0.8 are candidates: 2.7 deviations above their mean.
-_NEAR_REST, _NEAR_256 = 16, 54
+#: Share of differing bits of two texts of similarity 0.8, whose shingle sets have a cosine of 0.8 * 2 / 1.8, and of such pairs that must meet.
+_APART, _MEETING = math.acos(1.6 / 1.8) / math.pi, 0.92
 #: Rows of (node, digest, id) up to which a join may broadcast them: 32 MB at most.
 BROADCAST_ROWS = 500_000
 #: Rounds in which the members of an entry are compared with one of them.
-PIVOT_ROUNDS = 3
+PIVOT_ROUNDS = 2
+#: Members of an entry with which all others are compared in a round of ``similar_texts``.
+PIVOTS = 4
 
 
 def _hashes(words: list[bytes], k: int):
@@ -162,20 +163,32 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 # ---- texts by similarity
 
-_LONG = StructType().add("segments", ArrayType(IntegerType())).add("rest", LongType()).add("bits", ArrayType(LongType()))
+def segmentation(texts: int) -> tuple[int, int, int, int]:
+    """Bits of a segment, segments, longs of a fingerprint, and the differing bits up to which two of that many texts are candidates."""
+    bits = max(16, math.ceil(math.log2(max(texts, 1))) - 6)
+    meet = (1 - _APART) ** bits + bits * _APART * (1 - _APART) ** (bits - 1)
+    segments = math.ceil(math.log(1 - _MEETING) / math.log(1 - meet))
+    longs = max(6, -(-segments // (64 // bits)))  # no segment reaches from one long into the next
+    return bits, segments, longs, round(64 * longs * _APART + 2 * math.sqrt(64 * longs * _APART * (1 - _APART)))
 
 
-@F.pandas_udf(_LONG)
-def _long_prints(texts: pd.Series) -> pd.DataFrame:
-    """Segments, the 56 bits that are left, and all bits, of each text's fingerprint."""
-    weights, rows = 1 << np.arange(SEGMENT_BITS, dtype=np.int64), []
-    for t in texts:
-        words = _words(t)
-        bits = _majority(_hashes(words, 3), 4) if words else np.zeros(256, dtype=bool)
-        used = SEGMENTS * SEGMENT_BITS
-        rest = np.packbits(np.concatenate([bits[used:], np.zeros(used - 192, dtype=bool)]), bitorder="little").view("<i8")[0]
-        rows.append((bits[:used].reshape(SEGMENTS, -1) @ weights, int(rest), np.packbits(bits).view("<i8")))
-    return pd.DataFrame(rows, columns=["segments", "rest", "bits"])
+_LONGS = ArrayType(LongType())
+
+
+def _long_prints(bits: int, segments: int, longs: int, shingle: int):
+    """A function of texts: the table keys of each segment, which tell its place too, and all bits of the fingerprint."""
+    weights, place = 1 << np.arange(bits, dtype=np.int64), np.arange(segments, dtype=np.int64) << bits
+
+    @F.pandas_udf(StructType().add("keys", _LONGS).add("bits", _LONGS))
+    def prints(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t in texts:
+            words = _words(t)
+            b = _majority(_hashes(words, shingle), longs) if words else np.zeros(64 * longs, dtype=bool)
+            rows.append((b.reshape(longs, 64)[:, : 64 // bits * bits].reshape(-1, bits)[:segments] @ weights | place, np.packbits(b, bitorder="little").view("<i8")))
+        return pd.DataFrame(rows, columns=["keys", "bits"])
+
+    return prints
 
 
 @F.pandas_udf(BinaryType())
@@ -195,16 +208,24 @@ def _similarities(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-def _bit_distance(a: str, b: str) -> Column:
-    """Differing bits of two arrays of four longs."""
-    return sum((F.bit_count(F.get(a, i).bitwiseXOR(F.get(b, i))) for i in range(4)), F.lit(0))
+def _near(x: str, y: str, longs: int, most: int) -> Column:
+    """Whether two fingerprints of so many longs differ in at most ``most`` bits."""
+    return sum((F.bit_count(F.get(x, i).bitwiseXOR(F.get(y, i))) for i in range(longs)), F.lit(0)) <= most
+
+
+def _first_met(key: str, x: str, y: str, bits: int, segments: int) -> Column:
+    """Whether no segment before the key's own is within one bit too: a pair comes out once."""
+    per, own, mask = 64 // bits, F.shiftright(key, bits), F.lit((1 << bits) - 1)
+    apart = lambda s: F.bit_count(F.shiftright(F.get(x, s // per).bitwiseXOR(F.get(y, s // per)), s % per * bits).bitwiseAND(mask))
+    later = F.lit(True)
+    for s in range(segments - 1):
+        later = later & ((own <= s) | (apart(s) > 1))
+    return later
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of nodes that are near over all bits and similar by their shingles."""
-    side = lambda name: nodes.select(F.col("node").alias(name), F.col("bits").alias(f"{name}_bits"))
-    near = pairs.join(side("a"), "a").join(side("b"), "b").where(_bit_distance("a_bits", "b_bits") <= _NEAR_256).select("a", "b")
-    near = materialize(near, "near-pairs")
+    """The pairs (a, b, ra, rb) of nodes and their roots that are similar by their shingles."""
+    near = materialize(pairs, "near-pairs")
     asked = near.select(F.col("a").alias("node")).union(near.select("b")).distinct().join(nodes.select("node", "digest", "first"), "node")
     asked = materialize(asked, "asked-texts")
     few = F.broadcast(asked) if asked.count() <= BROADCAST_ROWS else asked
@@ -213,42 +234,46 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int
     sets = materialize(found.select("node", _shingle_sets("text", F.lit(shingle)).alias("own")), "shingle-sets")
     side = lambda name: sets.select(F.col("node").alias(name), F.col("own").alias(f"{name}_own"))
     met = near.join(side("a"), "a").join(side("b"), "b")
-    links = materialize(met.where(_similarities("a_own", "b_own") >= similarity).select("a", "b"), "links")
+    links = materialize(met.where(_similarities("a_own", "b_own") >= similarity).select("ra", "rb"), "links")
     discard(near, asked, sets)
-    return links
-
-
-def _entries(nodes: DataFrame) -> DataFrame:
-    """(node, root, rest, key): every node under each of its segments."""
-    place = F.transform("segments", lambda v, s: F.shiftleft(s, SEGMENT_BITS).bitwiseOR(v))
-    return nodes.select("node", "root", "rest", F.explode(place).alias("key"))
+    return links.select(F.col("ra").alias("a"), F.col("rb").alias("b"))
 
 
 def similar_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """(digest, first, root): every distinct text by its digest, with the smallest doc_id that has it and its component."""
-    words = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("digest", F.unhex(F.md5("text")))
-    firsts = words.groupBy("digest").agg(F.min("doc_id").alias("first"))
-    printed = words.select("digest", _long_prints("text").alias("p")).select("digest", "p.*").groupBy("digest").agg(*[F.min(c).alias(c) for c in ("segments", "rest", "bits")])
-    nodes = materialize(printed.join(firsts, "digest").select(F.monotonically_increasing_id().alias("node"), "*"), "texts")
-    texts = words.select("digest", "doc_id", "text")
-
-    near = F.bit_count(F.col("x.rest").bitwiseXOR(F.col("y.rest"))) <= _NEAR_REST
-    entries = _entries(nodes.withColumn("root", F.col("node")))
-    least = entries.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("most")).where("a < most")
-    stars = entries.join(least, "key").where("a < node").select("a", F.col("node").alias("b")).distinct()
-    linked = _verified(stars, nodes, texts, shingle, similarity)
-    rooted = materialize(_contracted(nodes.select("node", F.col("node").alias("root")), linked, "node"), "text-roots")
-
-    entries = _entries(nodes.join(rooted, "node"))
-    ball = F.array(*[F.lit(m) for m in _ball(SEGMENT_BITS, 1)])
-    asked = entries.select("node", "root", "rest", F.explode(F.transform(ball, lambda m: m.bitwiseXOR(F.col("key")))).alias("key"))
-    x, y = asked.alias("x"), entries.alias("y")
-    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & near)
-    pairs = met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    links = _verified(pairs, nodes, texts, shingle, similarity)
-    of = lambda name: rooted.select(F.col("node").alias(name), F.col("root").alias(f"r{name}"))
-    between = links.join(of("a"), "a").join(of("b"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-    return nodes.select("node", "digest", "first").join(_contracted(rooted, between, "node"), "node").select("digest", "first", "root")
+    bits, segments, longs, most = segmentation(docs.count())
+    texts = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("digest", F.unhex(F.md5("text")))
+    firsts = texts.groupBy("digest").agg(F.min("doc_id").alias("first"))
+    printed = texts.select("digest", _long_prints(bits, segments, longs, shingle)("text").alias("p")).groupBy("digest").agg(F.min("p").alias("p"))
+    nodes = materialize(printed.join(firsts, "digest").select(F.monotonically_increasing_id().alias("node"), "digest", "first", "p.keys", "p.bits"), "texts")
+    rooted = materialize(nodes.select("node", F.col("node").alias("root")), "text-roots")
+
+    def contract(pairs: DataFrame) -> None:
+        nonlocal rooted
+        links = _verified(pairs, nodes, texts, shingle, similarity)
+        was, rooted = rooted, materialize(_contracted(rooted, links, "node"), "text-roots")
+        discard(was)
+
+    def entries() -> DataFrame:
+        return nodes.join(rooted, "node").select("node", "root", "bits", F.explode("keys").alias("key"))
+
+    pair = [F.col(c).alias(n) for c, n in (("x.node", "a"), ("y.node", "b"), ("x.root", "ra"), ("y.root", "rb"))]
+    for turn in range(PIVOT_ROUNDS):
+        x = entries()
+        drawn = F.struct(F.xxhash64("node", F.lit(turn)).alias("draw"), "node", "root", "bits")
+        slot = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(PIVOTS)).alias("slot")
+        y = x.groupBy("key", slot).agg(F.min(drawn).alias("p")).select("key", "p.node", "p.root", "p.bits").alias("y")
+        met = x.alias("x").join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & _near("x.bits", "y.bits", longs, most))
+        contract(met.select(*pair).distinct())
+
+    entered = entries()
+    ball = F.array(*[F.lit(m).cast("long") for m in _ball(bits, 1)])
+    asked = entered.select("node", "root", "bits", F.explode(F.transform(ball, lambda m: m.bitwiseXOR(F.col("key")))).alias("key"))
+    x, y = asked.alias("x"), entered.alias("y")
+    differ = (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root"))
+    once = _near("x.bits", "y.bits", longs, most) & _first_met("x.key", "x.bits", "y.bits", bits, segments)
+    contract(x.join(y, (F.col("x.key") == F.col("y.key")) & differ & once).select(*pair).distinct())
+    return nodes.select("node", "digest", "first").join(rooted, "node").select("digest", "first", "root")
 
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
