@@ -2,19 +2,33 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+@F.pandas_udf(StringType())
+def _without_marks(texts: pd.Series) -> pd.Series:
+    return texts.map(fold_marks, na_action="ignore")
+
+
+def fold_marks(text: str) -> str:
+    """NFKD without marks, lower-cased."""
+    return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.category(c).startswith("M")).lower()
 
-#: Letters with marks, and what they are without; for searches that ignore marks.
-MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+
+def folded(text: Column) -> Column:
+    """``fold_marks`` of a text; only texts with other characters than ASCII's leave the JVM."""
+    marked = F.when(text.rlike(r"[^\x00-\x7F]"), text)
+    return F.coalesce(_without_marks(marked), F.lower(text), F.lit(""))
 
 
 def search_tokens(text: Column) -> Column:
     """Lower-case tokens of letters and digits, without marks."""
-    folded = F.translate(F.lower(F.coalesce(text, F.lit(""))), MARKED, PLAIN)
-    bare = F.regexp_replace(folded, r"\p{M}+", "")
-    return F.array_remove(F.split(F.regexp_replace(bare, r"[^\p{L}\p{N}]+", " "), " "), "")
+    return F.array_remove(F.split(F.regexp_replace(folded(text), r"[^\p{L}\p{N}]+", " "), " "), "")
 
 
 def token_match(text: Column, needle: str) -> Column:
@@ -22,11 +36,7 @@ def token_match(text: Column, needle: str) -> Column:
 
     A needle without tokens matches every text.
     """
-    import re
-    import unicodedata
-
-    bare = "".join(c for c in unicodedata.normalize("NFKD", needle) if not unicodedata.combining(c)).lower()
-    wanted = [t for t in re.split(r"[\W_]+", bare) if t]
+    wanted = [t for t in re.split(r"[\W_]+", fold_marks(needle)) if t]
     if not wanted:
         return F.lit(True)
     fits = lambda have, want: have == want if want.isdigit() else F.contains(have, F.lit(want))
@@ -90,18 +100,22 @@ def summary_points(text: Column) -> Column:
     return F.filter(F.transform(points, lambda p: F.trim(p)), lambda p: F.length(p) > 0)
 
 
+#: Words for sizes of amounts.
+SIZES = {"billion": 1e9, "b": 1e9, "million": 1e6, "m": 1e6, "thousand": 1e3, "k": 1e3}
+
+
 def largest_dollars(text: Column) -> Column:
     """The largest dollar amount that a text names, with its unit; 0 without any."""
-    pattern = r"(?i)\$\s?(\d[\d,]*(?:\.\d+)?)\s*(billion|million|thousand|[bmk])?\b"
-    amounts = F.regexp_extract_all(text, F.lit(pattern), 1)
-    units = F.regexp_extract_all(text, F.lit(pattern), 2)
+    # a piece starts where a dollar sign ends: a number, and perhaps the word for its size
+    pieces = F.slice(F.split(F.coalesce(text, F.lit("")), r"\$"), 2, F.greatest(F.lit(0), F.size(F.split(F.coalesce(text, F.lit("")), r"\$")) - 1))
 
-    def dollars(amount: Column, unit: Column) -> Column:
-        first = F.lower(F.left(F.coalesce(unit, F.lit("")), F.lit(1)))
-        times = F.when(first == "b", 1e9).when(first == "m", 1e6).when(first.isin("k", "t"), 1e3).otherwise(1.0)
-        return F.regexp_replace(amount, ",", "").cast("double") * times
+    def dollars(piece: Column) -> Column:
+        number = F.regexp_extract(piece, r"^\s?([0-9,]*[0-9](?:\.[0-9]+)?)", 1)
+        word = F.lower(F.regexp_extract(piece, r"^\s?[0-9][0-9,.]*\s*([A-Za-z]+)", 1))
+        times = F.coalesce(*[F.when(word == unit, size) for unit, size in SIZES.items()], F.lit(1.0))
+        return F.coalesce(F.regexp_replace(number, ",", "").try_cast("double"), F.lit(0.0)) * times
 
-    return F.coalesce(F.array_max(F.zip_with(amounts, units, dollars)), F.lit(0.0))
+    return F.coalesce(F.array_max(F.transform(pieces, dollars)), F.lit(0.0))
 
 
 def money_score(text: Column) -> Column:

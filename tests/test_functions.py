@@ -105,3 +105,24 @@ def test_rate_limit_stream(spark, tmp_path):
     query.awaitTermination(120)
     rows = spark.table("told").orderBy("id").collect()
     assert [(r["allowed"], r["retry_after"]) for r in rows] == ANSWERS
+
+
+@pytest.mark.parametrize(("needle", "said"), [("Škoda", "A ŠKODA bus"), ("dvořák", "Antonín Dvořák hall"), ("skoda", "Škoda"), ("fi", "oﬃce hours"), ("№", "item No 4"), ("łódź", "Łódź street")])
+def test_marks_are_folded_alike_on_both_sides(spark, needle, said):
+    assert one(spark, text.token_match(F.lit(said), needle)) is True
+
+
+@pytest.mark.parametrize(("said", "clock"), [("10 am item; 7/4/2026", 0), ("7/4/2026 - Room 2, 6:30 p. m.", 18), ("July 4, 2026 at 9 a.m. or 3 p.m.", 9), ("7/4/2026 18:05:30", 18), ("2026-07-05T03:00:00Z", 20)])
+def test_clock_after_the_date(spark, said, clock):
+    local = one(spark, F.from_utc_timestamp(civic_time.parse_civic(F.lit(said)), civic_time.ZONE))
+    assert (local.month, local.day, local.hour) == (7, 4, clock)
+
+
+@pytest.mark.parametrize(("said", "has"), [("18:30", False), ("6 pm", True), ("6:30 P.M.", True), ("6:30 p. m. sharp", True), ("item 6", False), ("at 12pm.", True), (None, False)])
+def test_has_clock(spark, said, has):
+    assert one(spark, civic_time.has_clock(F.lit(said).cast("string"))) is has
+
+
+@pytest.mark.parametrize(("said", "dollars"), [("$5 and $1,250.50", 1250.5), ("a $60 million bond", 6e7), ("$3.5M, $2B", 2e9), ("$ 40k", 4e4), ("US$7 mills", 7.0), ("no money $", 0.0), (None, 0.0)])
+def test_largest_dollars(spark, said, dollars):
+    assert one(spark, text.largest_dollars(F.lit(said).cast("string"))) == dollars
