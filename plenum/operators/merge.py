@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 
 def collapse(source: DataFrame, key: Sequence[str], order: str) -> DataFrame:
@@ -58,23 +60,25 @@ def drop_obsolete(target: DataFrame, current: DataFrame, key: Sequence[str], pro
 def write_batches(df: DataFrame, group: Sequence[str], order: Sequence[Column], size: str, most_rows: int, most_size: int) -> DataFrame:
     """``df`` with ``batch``: rows in order, a new batch where the next row would exceed the rows or the size; an oversized row goes alone.
 
-    The batches of a group follow from one another; groups (an owner's rows) bound what one fold sees.
+    A batch starts where the one before ends, so a group's rows pass one task in order; the task holds the state of one group and
+    one Arrow batch, however many rows there are.
     """
-    taken = F.collect_list(F.struct(F.col("nth"), F.col(size).cast("long").alias("size")))
-    numbered = df.withColumn("nth", F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
-    grouped = numbered.groupBy(*group).agg(F.array_sort(taken).alias("sized"))
-    start = F.struct(F.lit(0).alias("batch"), F.lit(0).alias("rows"), F.lit(0).cast("long").alias("size"), F.array().cast("array<int>").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        full = (s["rows"] > 0) & ((s["rows"] >= most_rows) | (s["size"] + x["size"] > most_size))
-        batch = F.when(full, s["batch"] + 1).otherwise(s["batch"])
-        return F.struct(
-            batch.alias("batch"), F.when(full, 1).otherwise(s["rows"] + 1).alias("rows"), F.when(full, x["size"]).otherwise(s["size"] + x["size"]).alias("size"),
-            F.concat(s["out"], F.array(batch)).alias("out"),
-        )
-
-    batches = grouped.select(*group, F.posexplode(F.aggregate("sized", start, step)["out"]).alias("at", "batch"))
-    return numbered.join(batches.withColumn("nth", F.col("at") + 1).drop("at"), [*group, "nth"]).drop("nth")
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, batch, rows, total = None, 0, 0, 0
+        for frame in batches:
+            out = []
+            for own, n in zip(zip(*[frame.column(g).to_pylist() for g in group]), frame.column(size).to_pylist()):
+                if own != current:
+                    current, batch, rows, total = own, 0, 0, 0
+                if rows and (rows >= most_rows or total + (n or 0) > most_size):
+                    batch, rows, total = batch + 1, 0, 0
+                rows, total = rows + 1, total + (n or 0)
+                out.append(batch)
+            yield pa.RecordBatch.from_arrays([*frame.columns, pa.array(out, pa.int32())], [*frame.schema.names, "batch"])
+
+    dealt = df.repartition(*group).sortWithinPartitions(*group, *order)
+    return dealt.mapInArrow(numbered, StructType([*df.schema.fields, StructField("batch", IntegerType())]))
 
 
 def reconcile_status(df: DataFrame, status: str, effective: Column) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -85,7 +85,8 @@ def idempotent(signals: DataFrame, key: list[str], at: str, lateness: str = "1 d
     """The first of each key's signals; over a stream, state is kept for as long as a repeat may come late."""
     if signals.isStreaming:
         return signals.withWatermark(at, lateness).dropDuplicatesWithinWatermark(key)
-    return signals.dropDuplicates(key)
+    first = F.row_number().over(Window.partitionBy(*key).orderBy(at))
+    return signals.withColumn("signal_nth", first).where("signal_nth = 1").drop("signal_nth")
 
 
 def weekly(signals: DataFrame, group: list[str], at: str, lateness: str = "1 day") -> DataFrame:
