@@ -47,7 +47,7 @@ _CHUNK = 1 << 16
 _APART, _MEETING = math.acos(1.6 / 1.8) / math.pi, 0.92
 #: Rows of (node, digest, id) up to which a join may broadcast them: 32 MB at most.
 BROADCAST_ROWS = 500_000
-#: Rounds in which the members of an entry are compared with one of them.
+#: Rounds in which the members of an entry of ``similar_texts`` are compared with few of them.
 PIVOT_ROUNDS = 2
 #: Members of an entry with which all others are compared in a round of ``similar_texts``.
 PIVOTS = 4
@@ -144,7 +144,7 @@ def components(prints: DataFrame, radius: int = 3) -> DataFrame:
     near = connected_components(_neighbours(nodes)).withColumnRenamed("node", "fp")
     rooted = materialize(nodes.join(near, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")), "fps")
     discard(nodes)
-    for turn in range(PIVOT_ROUNDS if radius > 1 else 0):
+    for turn in range(1 if radius > 1 else 0):
         was, rooted = rooted, materialize(_contracted(rooted, _pivot_links(rooted, radius, turn), "fp"), "fps")
         discard(was)
     return _contracted(rooted, hamming_links(rooted, radius).select(F.col("ra").alias("a"), F.col("rb").alias("b")), "fp")
