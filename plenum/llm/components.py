@@ -2,7 +2,8 @@
 
 Every round is two aggregations to a minimum and two equi-joins, so a node with very many
 neighbours is summed map-side and split by adaptive execution.  Rounds are written to the shared
-folder; nothing but a row count and a checksum reaches the driver.
+folder; nothing but a row count and a checksum reaches the driver.  Edges are read in as many
+partitions as their count fills, so that a round over few edges is one task without exchanges.
 """
 
 from __future__ import annotations
@@ -12,6 +13,9 @@ from pyspark.sql import functions as F
 
 from plenum.llm.common import discard, materialize
 
+#: Edges that a partition holds, 16 bytes each: a graph of no more is read as one partition.
+PARTITION_EDGES = 200_000
+
 
 def _print(edges: DataFrame) -> tuple:
     """Row count and checksum: equal for equal edge sets."""
@@ -38,7 +42,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     now = materialize(turned, "edges")
     seen = _print(now)
     while seen[0]:
-        large = materialize(_star(now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b"))), above=True), "edges")
+        parts = max(1, -(-seen[0] // PARTITION_EDGES))
+        now = now.coalesce(parts)
+        both = now.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*")
+        large = materialize(_star(both, above=True), "edges").coalesce(parts)
         small = materialize(_star(large, above=False), "edges")
         was, seen = seen, _print(small)
         discard(now, large)

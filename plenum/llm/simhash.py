@@ -141,12 +141,12 @@ def components(prints: DataFrame, radius: int = 3) -> DataFrame:
     nodes = materialize(prints.select("fp").distinct(), "fps")
     if not radius:
         return nodes.withColumn("root", F.col("fp"))
-    near = connected_components(_neighbours(nodes)).withColumnRenamed("node", "fp")
+    first = _neighbours(nodes)
+    if radius > 1:
+        first = first.union(_pivot_links(nodes.withColumn("root", F.col("fp")), radius, 0))
+    near = connected_components(first).withColumnRenamed("node", "fp")
     rooted = materialize(nodes.join(near, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")), "fps")
     discard(nodes)
-    for turn in range(1 if radius > 1 else 0):
-        was, rooted = rooted, materialize(_contracted(rooted, _pivot_links(rooted, radius, turn), "fp"), "fps")
-        discard(was)
     return _contracted(rooted, hamming_links(rooted, radius).select(F.col("ra").alias("a"), F.col("rb").alias("b")), "fp")
 
 
