@@ -7,8 +7,12 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: A run of what separates words, and the same characters one by one.
 SPACE_RE = r"[\x20\x09-\x0D]+"
@@ -98,3 +102,32 @@ def fresh(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = f"{name}_"
     return name
+
+
+def name_of(column: str) -> Column:
+    """The column of exactly that name, which may hold dots."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def slices(batches: Iterator[pa.RecordBatch], text: str, most: int) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in slices that each hold no more bytes of text than ``most``, or one row."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+        ends, start = np.cumsum(sizes, dtype=np.int64), 0
+        while start < len(sizes):
+            done = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, done + most, side="right")))
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
+def map_in_arrow(df: DataFrame, run, schema: StructType) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` for columns of any names, dots and backquotes among them."""
+    names = df.columns
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in run(batch.rename_columns(names) for batch in batches):
+            yield out.rename_columns([f"c{i}" for i in range(out.num_columns)])
+
+    plain = StructType([StructField(f"c{i}", f.dataType) for i, f in enumerate(schema.fields)])
+    return df.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(named, plain).toDF(*schema.names)

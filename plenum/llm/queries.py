@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plenum.llm import decontam, htmlmain, linededup, lm, packing, pii, quality, simhash, toxicity, urlrules
+from plenum.llm import decontam, fim, htmlmain, linededup, lm, packing, pii, quality, simhash, toxicity, urlrules
 from plenum.llm.common import table
 
 #: The words of a text in DuckDB.
@@ -150,5 +150,27 @@ d AS (SELECT page_id, url, replace(replace(replace(replace(replace(t, '&quot;',
 e AS (SELECT page_id, url, trim(regexp_replace(t, '[\s\x{A0}]+', ' ', 'g')) AS text FROM d)
 SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM e"""
 
-QUERIES = {"op4_packing": op4_packing, "op6_pii": op6_pii, "op7_gru_lm": op7_gru_lm, "op8_decontamination": op8_decontamination, "op10_html_text": op10_html_text, "op9_line_dedup": op9_line_dedup, "op1_simhash": op1_simhash, "op2_toxicity": op2_toxicity, "op3_quality_rules": op3_quality_rules, "op5_url_rules": op5_url_rules}
-ORACLES = {"op10_html_text": OP10, "op8_decontamination": OP8, "op9_line_dedup": OP9, "op3_quality_rules": OP3, "op5_url_rules": OP5}
+
+def _sha256(text):
+    return F.sha2(text.cast("binary"), 256)
+
+
+def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    back = fim.restore(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", _sha256(F.col("output")).alias("output_sha256"), _sha256(back).alias("restored_sha256"))
+
+
+OP13 = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || doc_id) AS x FROM documents),
+h AS (SELECT doc_id, text, regexp_extract_all(text, '[ 	-]*[^ 	-]+|[ 	-]+') AS t,
+  CAST('0x' || x[1:8] AS BIGINT) AS h1, CAST('0x' || x[9:16] AS BIGINT) AS h2, CAST('0x' || x[17:24] AS BIGINT) AS h3, CAST('0x' || x[25:32] AS BIGINT) AS h4 FROM d),
+k AS (SELECT *, least(h1 % (len(t) + 1), h2 % (len(t) + 1)) AS k1, greatest(h1 % (len(t) + 1), h2 % (len(t) + 1)) AS k2,
+  CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM h),
+c AS (SELECT *, array_to_string(list_slice(t, 1, k1), '') AS p, array_to_string(list_slice(t, k1 + 1, k2), '') AS m, array_to_string(list_slice(t, k2 + 1, len(t)), '') AS s FROM k)
+SELECT doc_id, CAST(len(t) AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE '<P>' || p || '<S>' || s || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256
+FROM c"""
+
+QUERIES = {"op13_fim": op13_fim, "op4_packing": op4_packing, "op6_pii": op6_pii, "op7_gru_lm": op7_gru_lm, "op8_decontamination": op8_decontamination, "op10_html_text": op10_html_text, "op9_line_dedup": op9_line_dedup, "op1_simhash": op1_simhash, "op2_toxicity": op2_toxicity, "op3_quality_rules": op3_quality_rules, "op5_url_rules": op5_url_rules}
+ORACLES = {"op13_fim": OP13, "op10_html_text": OP10, "op8_decontamination": OP8, "op9_line_dedup": OP9, "op3_quality_rules": OP3, "op5_url_rules": OP5}
