@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plenum.llm import decontam, fim, htmlmain, linededup, lm, packing, pii, quality, simhash, toxicity, urlrules
-from plenum.llm.common import table
+from plenum.llm import decontam, fim, htmlmain, linededup, lm, packing, pii, quality, runs, simhash, toxicity, urlrules
+from plenum.llm.common import bind, table, words_of
 
 #: The words of a text in DuckDB.
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -163,7 +163,10 @@ def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP13 = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || doc_id) AS x FROM documents),
-h AS (SELECT doc_id, text, regexp_extract_all(text, '[ 	-]*[^ 	-]+|[ 	-]+') AS t,
+h AS (SELECT doc_id, text, regexp_extract_all(text, '[ 	-
+]*[^ 	-
+]+|[ 	-
+]+') AS t,
   CAST('0x' || x[1:8] AS BIGINT) AS h1, CAST('0x' || x[9:16] AS BIGINT) AS h2, CAST('0x' || x[17:24] AS BIGINT) AS h3, CAST('0x' || x[25:32] AS BIGINT) AS h4 FROM d),
 k AS (SELECT *, least(h1 % (len(t) + 1), h2 % (len(t) + 1)) AS k1, greatest(h1 % (len(t) + 1), h2 % (len(t) + 1)) AS k2,
   CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM h),
@@ -172,5 +175,31 @@ SELECT doc_id, CAST(len(t) AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN
   sha256(CASE form WHEN 'plain' THEN text WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE '<P>' || p || '<S>' || s || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256
 FROM c"""
 
-QUERIES = {"op13_fim": op13_fim, "op4_packing": op4_packing, "op6_pii": op6_pii, "op7_gru_lm": op7_gru_lm, "op8_decontamination": op8_decontamination, "op10_html_text": op10_html_text, "op9_line_dedup": op9_line_dedup, "op1_simhash": op1_simhash, "op2_toxicity": op2_toxicity, "op3_quality_rules": op3_quality_rules, "op5_url_rules": op5_url_rules}
+def _planted(words):
+    """The contract's texts: of one document in ten, by its id, the words from some place on are made to repeat."""
+    h = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(1))
+    g = F.floor(h / 10)
+
+    def repeated(w):
+        a = g % F.size(w)
+        p = 1 + F.floor((F.size(w) - a) / (3 + g % 8))
+        return F.transform(w, lambda x, i: F.when(i < a, x).otherwise(F.get(w, (a + (i - a) % p).cast("int"))))
+
+    return bind(words, lambda w: F.when((h % 10 == 0) & (F.size(w) > 0), repeated(w)).otherwise(w))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.array_join(_planted(words_of(F.col("text"))), " ").alias("text"))
+    found = runs.periodic_runs(docs)
+    best = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("size"), r["start"].alias("start"), r["period"].alias("period"))))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    picked = found.select("doc_id", "collapsed", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.when(F.size("runs") > 0, F.concat(listed, F.lit("\n"))).otherwise("").alias("listed"))
+    length = -F.col("best.size")
+    return picked.select(
+        "doc_id", "n_runs", F.col("best.start").alias("start"), length.alias("length"), F.col("best.period").alias("period"), F.floor(1000 * length / F.col("best.period")).alias("exponent_milli"),
+        _sha256(F.col("listed")).alias("runs_sha256"), _sha256(F.col("collapsed")).alias("collapsed_sha256"),
+    )
+
+
+QUERIES = {"op12_periodic_runs": op12_periodic_runs, "op13_fim": op13_fim, "op4_packing": op4_packing, "op6_pii": op6_pii, "op7_gru_lm": op7_gru_lm, "op8_decontamination": op8_decontamination, "op10_html_text": op10_html_text, "op9_line_dedup": op9_line_dedup, "op1_simhash": op1_simhash, "op2_toxicity": op2_toxicity, "op3_quality_rules": op3_quality_rules, "op5_url_rules": op5_url_rules}
 ORACLES = {"op13_fim": OP13, "op10_html_text": OP10, "op8_decontamination": OP8, "op9_line_dedup": OP9, "op3_quality_rules": OP3, "op5_url_rules": OP5}
