@@ -109,10 +109,12 @@ def name_of(column: str) -> Column:
     return F.col("`" + column.replace("`", "``") + "`")
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str, most: int) -> Iterator[pa.RecordBatch]:
-    """The rows of the batches in slices that each hold no more bytes of text than ``most``, or one row."""
+def slices(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in slices that each hold no more than ``most`` bytes of text, or values of a list, or one row."""
     for batch in batches:
-        sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+        values = batch.column(column)
+        lengths = pc.list_value_length(values) if pa.types.is_list(values.type) or pa.types.is_large_list(values.type) else pc.binary_length(values)
+        sizes = pc.fill_null(lengths, 0).to_numpy(zero_copy_only=False)
         ends, start = np.cumsum(sizes, dtype=np.int64), 0
         while start < len(sizes):
             done = ends[start - 1] if start else 0

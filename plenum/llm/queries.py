@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plenum.llm import decontam, fim, htmlmain, linededup, lm, packing, pii, quality, runs, simhash, toxicity, urlrules
+from plenum.llm import bpe, decontam, fim, htmlmain, linededup, lm, packing, pii, quality, runs, simhash, toxicity, urlrules
 from plenum.llm.common import bind, table, words_of
 
 #: The words of a text in DuckDB.
@@ -175,6 +176,14 @@ SELECT doc_id, CAST(len(t) AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN
   sha256(CASE form WHEN 'plain' THEN text WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE '<P>' || p || '<S>' || s || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256
 FROM c"""
 
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = bpe.Vocabulary(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    encoded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary)
+    decoded = bpe.decode(encoded, vocabulary)
+    listed = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), _sha256(listed).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def _planted(words):
     """The contract's texts: of one document in ten, by its id, the words from some place on are made to repeat."""
     h = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(1))
@@ -201,5 +210,5 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op12_periodic_runs": op12_periodic_runs, "op13_fim": op13_fim, "op4_packing": op4_packing, "op6_pii": op6_pii, "op7_gru_lm": op7_gru_lm, "op8_decontamination": op8_decontamination, "op10_html_text": op10_html_text, "op9_line_dedup": op9_line_dedup, "op1_simhash": op1_simhash, "op2_toxicity": op2_toxicity, "op3_quality_rules": op3_quality_rules, "op5_url_rules": op5_url_rules}
+QUERIES = {"op11_bpe": op11_bpe, "op12_periodic_runs": op12_periodic_runs, "op13_fim": op13_fim, "op4_packing": op4_packing, "op6_pii": op6_pii, "op7_gru_lm": op7_gru_lm, "op8_decontamination": op8_decontamination, "op10_html_text": op10_html_text, "op9_line_dedup": op9_line_dedup, "op1_simhash": op1_simhash, "op2_toxicity": op2_toxicity, "op3_quality_rules": op3_quality_rules, "op5_url_rules": op5_url_rules}
 ORACLES = {"op13_fim": OP13, "op10_html_text": OP10, "op8_decontamination": OP8, "op9_line_dedup": OP9, "op3_quality_rules": OP3, "op5_url_rules": OP5}
