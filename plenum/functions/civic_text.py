@@ -1,10 +1,12 @@
 """What a card's text says: its subject, its class, the interest it deserves, and what the official record did with it.
 
-Words stand in plain lists, with ``*`` for any ending; a text has a word or phrase if it holds it between word bounds.
+Words of subjects stand in plain lists, with ``*`` for any ending; a text has a word or phrase if it holds it between word bounds.
 """
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,18 +36,31 @@ CATEGORY_POINTS = {
 CATEGORY_MOST = 44
 STATUS_POINTS = {"Upcoming vote": 32, "Routine approval": -20, "Under discussion": 22, "Passed": 10, "Information only": -8}
 COMMENT_POINTS = 4
-ROUTINE = (
-    "consent calendar minutes, approve minutes, approve the minutes, approve consent calendar minutes, approve the consent calendar minutes, meeting minutes, call to order, roll call, pledge of allegiance, "
-    "adjournment, approval of agenda, recognize, recognition, proclamation, commendation, certificate, presentation only, introduce and welcome, swearing in, swearing-in, oath of office, installation of officers"
-)
-PROCEDURAL = (
-    "ad hoc, nominating, appoint, appoints, appointment, appointments, officer election, bylaw, bylaws, rules of procedure, workplan, workplans, work plan, work plans, elect chair, elect a chair, elect new chair, "
-    "elect a new chair, elect vice chair, elect president, elect secretary, select chair, select a chair, select president, orientation, annual report, receive and file, informational item, informational update, "
-    "informational report, status update, monthly report, quarterly report, midyear report, mid-year report, meeting end time, item rollover, term and limit, terms and limits, term limit, term limits, meeting schedule, "
-    "calendar of meetings, meeting notice, special joint commission, special joint committee, special joint board"
-)
-WITHDRAWN = "withdrawn, removed from agenda, removed from the agenda, no action taken"
-CANCELLED = "canceled, cancelled, cancellation"
+# Patterns of cards that are no subject of a listing, by class; those of announcements are for the agenda item alone.
+ANNOUNCEMENT = [
+    r"^\s*(?:notice of\s+)?(?:an?\s+)?(?:special|regular|adjourned|closed|joint|annual)\s+(?:session|meeting)\b",
+    r"^\s*meeting of the\b",
+    r"^\s*(?:call|notice) of\s+(?:a\s+)?(?:special|closed)\b",
+]
+ROUTINE = [
+    r"\b(consent calendar minutes|approve (?:the )?(?:consent calendar )?minutes|meeting minutes)\b",
+    r"\b(call to order|roll call|pledge of allegiance|adjournment|approval of agenda)\b",
+    r"\b(recognize|recognition|proclamation|commendation|certificate)\b",
+    r"\bnational .+ month\b",
+    r"\bpresentation only\b",
+    r"\b(introduce and welcome|swearing[- ]in|oath of office|installation of officers)\b",
+]
+PROCEDURAL = [
+    r"\b(ad hoc|nominating|appoint(?:ment)?s?|appoint commissioners?|committee appointments?|officer election|bylaws?|rules of procedure|work ?plans?)\b",
+    r"\b(elect|select) (?:a )?(?:new )?(?:chair|vice chair|president|secretary)\b",
+    r"\b(orientation|annual report|receive and file|informational (?:item|update|report)|status update|(?:monthly|quarterly|mid-?year) report)\b",
+    r"\b(meeting end time|item rollover|terms? and limits?|term limits?|meeting schedule|calendar of meetings)\b",
+    r"\bmeeting notice\b",
+    r"\bnotice of (?:a |an )?(?:special|joint|regular|adjourned|closed)\b[^.]{0,24}\bmeeting\b",
+    r"\bspecial joint (?:commission|committee|board)\b",
+]
+WITHDRAWN = [r"\bwithdrawn\b", r"\bremoved from (?:the )?agenda\b", r"\bno action taken\b"]
+CANCELLED = [r"\bcancell?ed\b", r"\bcancellation\b", r"\bnotice of cancellation\b"]
 CLASS_POINTS = {"announcement": -100, "routine": -140, "procedural": -80, "withdrawn": -90, "cancelled": -70}
 THRESHOLD, MONEY_REASON = 58, 12
 RECENCY_DAYS, RECENCY_MOST, STALE_DAYS, STALE_LEAST = 60, 24, 180, 0.5
@@ -55,15 +70,50 @@ RESULTS = [
     ("no_action", "no action"), ("approved", "pass, passed, adopted, approved, carried, accepted, authorized"),
 ]
 SIGNAL_STATUS = {"withdrawn": "Cancelled", "continued": "Tabled", "approved": "Passed", "failed": "Information only", "no_action": "Information only"}
-# Words of an agenda title that don't tell items apart, and words that only reword one.
+# How titles of agenda items are respelled before their words are compared, words that don't tell items apart, and
+# words that only reword a title.
+RESPELLED = [
+    (r"\bcapital improvement program\s*\(\s*cip\s*\)", "cip"),
+    (r"\bcapital improvement program\b", "cip"),
+    (r"\bpublic works\s*(?:and|&)\s*transportation commission\b", "pwtc"),
+    (r"\beast palo alto sanitary district\s*\(\s*epasd\s*\)", "epasd"),
+    (r"\beast palo alto sanitary district\b", "epasd"),
+    (r"\bsenate bill\b", "sb"),
+    (r"\brates?\b", "rate"),
+    (r"\bincreases?\b", "increase"),
+    (r"\bdisruptions?\b", "disruption"),
+    (r"\btemporar(?:y|ily)\b", " "),
+    (r"\bwork[\s-]+plan\b", "workplan"),
+    (r"&", " and "),
+]
 NOT_IDENTITY = (
-    "a ad adjustments adoption advisory an and annual approving change compliance conduct consider discussion during for get hearing hoc in informational maximum near of on presentation public receive resolution review the to vote with"
+    "a ad advisory an and adoption annual approving change compliance conduct consider for get hoc hearing maximum near of on public receive resolution review the to vote with "
+    "adjustments during in informational presentation discussion"
 ).split()
 REWORDING = "accept approve consistency law replace state update".split()
-SYNONYMS = [
-    ("capital improvement program ( cip )", "cip"), ("capital improvement program", "cip"), ("public works and transportation commission", "pwtc"), ("senate bill", "sb"), ("rates", "rate"),
-    ("increases", "increase"), ("disruptions", "disruption"), ("temporary", ""), ("temporarily", ""), ("work plan", "workplan"),
-]
+
+
+def _base_letters() -> tuple[str, str, dict[str, str]]:
+    """Characters whose compatibility form without marks holds plain letters or digits: (characters, one letter for each), and those with more."""
+    one, more = {}, {}
+    for c in map(chr, [*range(0x80, 0x3000), *range(0xFB00, 0xFB07), *range(0xFF00, 0xFF5F)]):
+        folded = "".join(x for x in unicodedata.normalize("NFKD", c.lower()) if not "̀" <= x <= "ͯ")
+        if folded != c and any(x.isascii() and x.isalnum() for x in folded):
+            (one if len(folded) == 1 else more)[c] = folded
+    marks = "".join(map(chr, range(0x300, 0x370)))
+    return "".join(one) + marks, "".join(one.values()), more
+
+
+_MARKED, _UNMARKED, _LIGATURES = _base_letters()
+
+
+def unmarked(text: Column) -> Column:
+    """Lower case, with letters and digits in their plain forms and without marks; in the JVM."""
+    lower = F.translate(F.lower(F.coalesce(text, F.lit(""))), _MARKED, _UNMARKED)
+    spelled = lower
+    for c, letters in _LIGATURES.items():
+        spelled = F.replace(spelled, F.lit(c), F.lit(letters))
+    return F.when(lower.rlike("[" + "".join(_LIGATURES) + "]"), spelled).otherwise(lower)
 
 
 def words_pattern(words: str) -> str:
@@ -90,21 +140,15 @@ def daily_life_score(text: Column) -> Column:
     return F.least(F.lit(DAILY_LIFE_MOST), _points(text, DAILY_LIFE))
 
 
-def is_announcement(item: Column) -> Column:
-    """Whether an agenda item only says that a meeting is held: its first words name the meeting."""
-    opening = F.regexp_replace(F.lower(F.trim(F.coalesce(item, F.lit("")))), r"^notice of\s+|^an?\s+", "")
-    opening = F.regexp_replace(opening, r"^an?\s+", "")
-    kinds = words_pattern("special, regular, adjourned, closed, joint, annual").removeprefix("(?i)\\b")
-    return opening.rlike("^" + kinds + r"\s+(?:session|meeting)\b") | opening.startswith("meeting of the ") | opening.rlike(r"^call of\s+(?:a\s+)?(?:special|closed)\b")
+def has_any(text: Column, patterns: list[str]) -> Column:
+    """Whether a text holds any of the patterns, in any case."""
+    return F.coalesce(text.rlike("(?i)" + "|".join(patterns)), F.lit(False))
 
 
 def card_classes(text: Column, item: Column) -> dict[str, Column]:
     """The classes of cards that aren't for listings, each as a boolean."""
-    month = F.coalesce(text.rlike(r"(?i)\bnational .+ month\b"), F.lit(False))
-    return {
-        "announcement": is_announcement(item), "routine": has_words(text, ROUTINE) | month, "procedural": has_words(text, PROCEDURAL),
-        "withdrawn": has_words(text, WITHDRAWN), "cancelled": has_words(text, CANCELLED),
-    }
+    patterns = {"routine": ROUTINE, "procedural": PROCEDURAL, "withdrawn": WITHDRAWN, "cancelled": CANCELLED}
+    return {"announcement": has_any(F.trim(item), ANNOUNCEMENT), **{name: has_any(text, p) for name, p in patterns.items()}}
 
 
 def interest_score(text: Column, item: Column, categories: Column, status: Column, has_comment: Column, is_fallback: Column) -> Column:
@@ -155,14 +199,20 @@ def official_status(signal: Column) -> Column:
 
 
 def item_tokens(title: Column) -> Column:
-    """Distinct words that identify an agenda item, synonyms made one."""
-    text = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(title, F.lit(""))), "&", " and "), r"[^a-z0-9.()]+", " ")), F.lit(" "))
-    for phrase, word in SYNONYMS:
-        text = F.replace(text, F.lit(f" {phrase} "), F.lit(f" {word} "))
+    """Distinct words that identify an agenda item, respelled and without marks."""
+    text = unmarked(title)
+    for pattern, word in RESPELLED:
+        text = F.regexp_replace(text, pattern, word)
     bare = F.split(F.regexp_replace(text, r"[^a-z0-9.]+", " "), " ")
     return F.array_except(F.array_distinct(bare), F.array(*[F.lit(w) for w in ["", *NOT_IDENTITY]]))
 
 
+def agenda_number(number: Column) -> Column:
+    """The number of an agenda item without white space around it and full stops at its end, in upper case; null for none."""
+    bare = F.upper(F.regexp_replace(F.trim(number), r"[.\s]+$", ""))
+    return F.when(bare != "", bare)
+
+
 def item_key(tokens: Column) -> Column:
     return F.array_join(F.array_sort(tokens), " ")
 

@@ -18,6 +18,7 @@ PHRASES = [
     "Special meeting of the council", "Rezoning of Elm Street for affordable housing", "Item withdrawn by staff", "Public hearing on water rates", "Annual report of the parks division", "Notice of cancellation",
     "Receive and file the quarterly report", "Bond measure of $60 million for schools", "A closed session", "Bike lanes and crosswalks near the train station", "Accessibility at the health clinic", "Sister city visit",
     "Budget hearing with a $250 thousand shortfall", "Capital improvement program", "Meeting of the planning board", "Solar power for the community center", "Update of the general plan, land use and density", "No action taken",
+    "Notice of special election", "Notice of a regular board meeting", "Notice of public hearing on parking", "Elect a new vice chair",
 ]
 CATEGORIES = [*said.CATEGORY_POINTS][:7]
 STATUSES = ["Upcoming vote", "Routine approval", "Under discussion", "Passed", "Information only", "Cancelled"]
@@ -25,7 +26,7 @@ ACTIONS = ["Approve", "Item withdrawn", "Withdrawn from the agenda", "The motion
 RESULTS = ["Passed", "motion failed", "Continued to May", "No action taken", "Motion carried", "Denied", "", "Tabled", "Passage of time", "rejected 3-2", "Referred to staff"]
 TITLES = [
     "Adopt the work plan 2026", "Approve work plan update 2026", "Public hearing: sewer rates increase", "Sewer rate increases", "Sewer rate increase 2025", "Library contract with Acme for books", "Park contract with Acme for books",
-    "Accept state law consistency update of the housing element program text", "Housing element program text", "Senate Bill 9 lots", "SB 9 lots", "Consider the", "Street trees and benches on Main", "Street trees and benches on Main Street north",
+    "Accept state law consistency update of the housing element program text", "Housing element program text", "Senate Bill 9 lots", "SB 9 lots", "Consider the", "Street trees and benches on Main", "Street trees and benches on Main Street north", "Café tables of the East Palo Alto Sanitary District (EPASD)", "Cafe tables of EPASD",
 ]
 
 
@@ -40,18 +41,22 @@ def _sql_pick(values: list[str], key: str) -> str:
 
 def _told(spark, sf_dir):
     key = F.col("p_partkey")
-    parts = table(spark, sf_dir, "part", "p_partkey").select("p_partkey", _pick(PHRASES, key).alias("item"), _pick(STATUSES, F.floor(key / 5)).alias("status"), F.array(_pick(CATEGORIES, key), _pick(CATEGORIES, F.floor(key / 3))).alias("tags"))
-    return parts.withColumn("told", said.card_text(F.col("item"), F.col("status"))).withColumns({"has_comment": key % 3 == 0, "is_fallback": key % 11 == 0})
+    parts = table(spark, sf_dir, "part", "p_partkey", "p_name").select("p_partkey", "p_name", _pick(PHRASES, key).alias("item"), _pick(STATUSES, F.floor(key / 5)).alias("status"), F.array(_pick(CATEGORIES, key), _pick(CATEGORIES, F.floor(key / 3))).alias("tags"))
+    return parts.withColumn("told", said.card_text(F.col("item"), F.col("p_name"), F.col("status"))).withColumns({"has_comment": key % 3 == 0, "is_fallback": key % 11 == 0})
 
 
 def _rx(words: str) -> str:
     return f"regexp_matches(told, '{said.words_pattern(words)}')"
 
 
-_TOLD = f"""told AS (SELECT *, item || ' ' || status AS told, p_partkey % 3 = 0 AS has_comment, p_partkey % 11 = 0 AS is_fallback FROM (SELECT p_partkey, {_sql_pick(PHRASES, "p_partkey")} AS item,
+_TOLD = rf"""told AS (SELECT *, item || ' ' || p_name || ' ' || status AS told, p_partkey % 3 = 0 AS has_comment, p_partkey % 11 = 0 AS is_fallback FROM (SELECT p_partkey, p_name, {_sql_pick(PHRASES, "p_partkey")} AS item,
 {_sql_pick(STATUSES, "(p_partkey // 5)")} AS status, {_sql_pick(CATEGORIES, "p_partkey")} AS c1, {_sql_pick(CATEGORIES, "(p_partkey // 3)")} AS c2 FROM part)),
-classes AS (SELECT *, item IN ('Special meeting of the council', 'A closed session', 'Meeting of the planning board') AS announcement, {_rx(said.ROUTINE)} OR regexp_matches(told, '(?i)national .+ month') AS routine,
-{_rx(said.PROCEDURAL)} AS procedural, {_rx(said.WITHDRAWN)} AS withdrawn, {_rx(said.CANCELLED)} AS cancelled,
+classes AS (SELECT *,
+  regexp_matches(item, '(?i)^\s*(?:notice of\s+)?(?:an?\s+)?(?:special|regular|adjourned|closed|joint|annual)\s+(?:session|meeting)\b|^\s*meeting of the\b|^\s*(?:call|notice) of\s+(?:a\s+)?(?:special|closed)\b') AS announcement,
+  regexp_matches(told, '(?i)\b(?:consent calendar minutes|approve (?:the )?(?:consent calendar )?minutes|meeting minutes|call to order|roll call|pledge of allegiance|adjournment|approval of agenda|recognize|recognition|proclamation|commendation|certificate|national .+ month|presentation only|introduce and welcome|swearing[- ]in|oath of office|installation of officers)\b') AS routine,
+  regexp_matches(told, '(?i)\b(?:ad hoc|nominating|appoint|appoints|appointments?|officer election|bylaws?|rules of procedure|work ?plans?|(?:elect|select) (?:a )?(?:new )?(?:chair|vice chair|president|secretary)|orientation|annual report|receive and file|informational (?:item|update|report)|status update|(?:monthly|quarterly|mid-?year) report|meeting end time|item rollover|terms? and limits?|term limits?|meeting schedule|calendar of meetings|meeting notice|special joint (?:commission|committee|board))\b')
+    OR regexp_matches(told, '(?i)\bnotice of (?:a |an )?(?:special|joint|regular|adjourned|closed)\b[^.]{{0,24}}\bmeeting\b') AS procedural,
+  regexp_matches(told, '(?i)\b(?:withdrawn|removed from (?:the )?agenda|no action taken)\b') AS withdrawn, regexp_matches(told, '(?i)\b(?:cancell?ed|cancellation)\b') AS cancelled,
 CASE WHEN contains(item, '$1,200,000') THEN 16 WHEN contains(item, '$60 million') THEN 23 WHEN contains(item, '$250 thousand') THEN 14 ELSE 0 END AS money,
 least(62, {" + ".join(f"CASE WHEN {_rx(w)} THEN {n} ELSE 0 END" for n, w in said.DAILY_LIFE)}) AS daily FROM told),
 scored AS (SELECT *, least(44, {" + ".join(f"CASE {c} " + " ".join(f"WHEN '{k}' THEN {said.CATEGORY_POINTS[k]}" for k in CATEGORIES) + " END" for c in ("c1", "c2"))})
@@ -109,15 +114,16 @@ def official_signals(spark, sf_dir):
 
 
 #: Which of the titles above name one item, by their places; stated by hand.
-_SAME = [(2, 3), (7, 8), (9, 10), (12, 13), (2, 4), (3, 4)]
+_SAME = [(2, 3), (7, 8), (9, 10), (12, 13), (2, 4), (3, 4), (14, 15)]
 
 
-@query("same_item", "WITH p AS (SELECT CAST(p_partkey % {n} AS INTEGER) AS l, CAST(p_partkey // {n} % {n} AS INTEGER) AS r FROM part WHERE p_partkey < {m}) SELECT l, r FROM p WHERE l = r AND l <> 11 OR (least(l, r), greatest(l, r)) IN ({s})".format(n=len(TITLES), m=len(TITLES) ** 2, s=", ".join(str(x) for x in _SAME)))
+@query("same_item", "WITH p AS (SELECT p_partkey, p_name, CAST(p_partkey % {n} AS INTEGER) AS l, CAST(p_partkey // {n} % {n} AS INTEGER) AS r FROM part) SELECT p_partkey, l, r FROM p WHERE l = r OR (least(l, r), greatest(l, r)) IN ({s})".format(n=len(TITLES), s=", ".join(str(x) for x in _SAME)))
 def same_item(spark, sf_dir):
+    """Two titles of each part, its name after them: the same item or not."""
     n, key = len(TITLES), F.col("p_partkey")
-    places = table(spark, sf_dir, "part", "p_partkey").where(key < n * n).select((key % n).cast("int").alias("l"), (F.floor(key / n) % n).cast("int").alias("r"))
-    named = places.select("l", "r", said.item_tokens(_pick(TITLES, F.col("l"))).alias("lt"), said.item_tokens(_pick(TITLES, F.col("r"))).alias("rt"))
-    return named.where(said.same_item(F.col("lt"), F.col("rt"))).select("l", "r")
+    places = table(spark, sf_dir, "part", "p_partkey", "p_name").select("p_partkey", "p_name", (key % n).cast("int").alias("l"), (F.floor(key / n) % n).cast("int").alias("r"))
+    title = lambda c: said.item_tokens(F.concat_ws(" ", _pick(TITLES, F.col(c)), "p_name"))
+    return places.where(said.same_item(title("l"), title("r"))).select("p_partkey", "l", "r")
 
 
 @query("meeting_search", with_roles("""SELECT meeting_id, CASE WHEN contains(lower(title), '0012') THEN 'title' WHEN lower(body) LIKE 'build%' THEN 'type' END AS field FROM meetings
