@@ -94,9 +94,9 @@ REWORDING = "accept approve consistency law replace state update".split()
 
 
 def _base_letters() -> tuple[str, str, dict[str, str]]:
-    """Characters whose compatibility form without marks holds plain letters or digits: (characters, one letter for each), and those with more."""
+    """Latin characters, small and full-width ones whose plain form without marks is of letters or digits: (characters, one letter for each), and those with more."""
     one, more = {}, {}
-    for c in map(chr, [*range(0x80, 0x3000), *range(0xFB00, 0xFB07), *range(0xFF00, 0xFF5F)]):
+    for c in map(chr, [*range(0x80, 0x250), *range(0x1E00, 0x1F00), *range(0x2070, 0x20A0), *range(0xFB00, 0xFB07), *range(0xFF00, 0xFF5F)]):
         folded = "".join(x for x in unicodedata.normalize("NFKD", c.lower()) if not "̀" <= x <= "ͯ")
         if folded != c and any(x.isascii() and x.isalnum() for x in folded):
             (one if len(folded) == 1 else more)[c] = folded
@@ -217,14 +217,18 @@ def item_key(tokens: Column) -> Column:
     return F.array_join(F.array_sort(tokens), " ")
 
 
-def same_item(left: Column, right: Column) -> Column:
-    """Whether two token lists name one item: equal; or, without a conflict of numbers, nearly equal but for rewording, or one expands the other."""
+def numbers_differ(left: Column, right: Column) -> Column:
+    """Whether both token lists have tokens with digits and those aren't the same."""
     numbers = lambda t: F.filter(t, lambda x: x.rlike("[0-9]"))
     missing = lambda a, b: F.size(F.array_except(a, b))
-    conflict = (F.size(numbers(left)) > 0) & (F.size(numbers(right)) > 0) & (missing(numbers(left), numbers(right)) + missing(numbers(right), numbers(left)) > 0)
+    return (F.size(numbers(left)) > 0) & (F.size(numbers(right)) > 0) & (missing(numbers(left), numbers(right)) + missing(numbers(right), numbers(left)) > 0)
+
+
+def same_item(left: Column, right: Column) -> Column:
+    """Whether two token lists name one item: equal; or, without a conflict of numbers, nearly equal but for rewording, or one expands the other."""
     least, shared = F.least(F.size(left), F.size(right)), F.size(F.array_intersect(left, right))
     differing = F.concat(F.array_except(left, right), F.array_except(right, left))
     reworded = (least >= 5) & (shared >= 0.8 * least) & (F.size(F.array_except(differing, F.array(*[F.lit(w) for w in REWORDING]))) == 0)
     expands = (F.size(left) != F.size(right)) & (least >= 3) & (shared == least)
     there = (F.size(left) > 0) & (F.size(right) > 0)
-    return there & ((item_key(left) == item_key(right)) | ~conflict & (reworded | expands))
+    return there & ((item_key(left) == item_key(right)) | ~numbers_differ(left, right) & (reworded | expands))

@@ -1,7 +1,6 @@
 """Joins of the platform: overlays, neighbours, unique and guarded matches, anti-joins.
 
-Similarity joins never compare all pairs: candidates meet on a shared block (a meeting, a day) or on
-a shared token, and ties or runners-up are judged by a window over the candidates of one row.
+Matches by several rules and by the words of titles are in ``matching``.
 """
 
 from __future__ import annotations
@@ -11,8 +10,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plenum.functions.text import numbers_conflict, overlap
-
 
 def fingerprint(*cols: Column) -> Column:
     """A digest of the columns' white-space-normalised values; null and blank count alike."""
@@ -71,33 +68,6 @@ def duplicate_pairs(df: DataFrame, key: str, at: Sequence[str], title: str, is_m
     return met.groupBy("duplicate").agg(best.alias("best")).select("duplicate", F.col("best.canonical").alias("canonical"))
 
 
-def guarded_match(left: DataFrame, right: DataFrame, block: Sequence[str], left_key: str, right_key: str, tokens: str = "tokens", least: float = 0.72, shared: int = 3, margin: float = 0.15) -> DataFrame:
-    """(left_key, right_key, score): the best right row of the same block for each left row, if nothing speaks against it.
-
-    Needs a similarity of ``least``, ``shared`` common tokens, no conflict of numbers, and a lead of
-    ``margin`` over the runner-up; otherwise the row has no match.  Candidates share a token.
-    """
-    of = lambda df, key, name: df.select(*block, F.col(key).alias(name), F.col(tokens).alias(f"{name}_tokens"))
-    a, b = of(left, left_key, "l"), of(right, right_key, "r")
-    # rows meet only where they share a token of their block
-    pairs = a.withColumn("token", F.explode("l_tokens")).join(b.withColumn("token", F.explode("r_tokens")), [*block, "token"])
-    met = pairs.groupBy(*block, "l", "r").agg(F.count("*").alias("common"), F.first("l_tokens").alias("lt"), F.first("r_tokens").alias("rt"))
-    scored = met.where(~numbers_conflict(F.col("lt"), F.col("rt"))).withColumn("score", overlap(F.col("lt"), F.col("rt")))
-    order = Window.partitionBy(*block, "l").orderBy(F.desc("score"), "r")
-    ranked = scored.withColumns({"place": F.row_number().over(order), "next": F.lead("score").over(order)})
-    won = (F.col("place") == 1) & (F.col("score") >= least) & (F.col("common") >= shared) & (F.col("score") - F.coalesce("next", F.lit(0.0)) >= margin)
-    return ranked.where(won).select(F.col("l").alias(left_key), F.col("r").alias(right_key), "score")
-
-
-def best_match(left: DataFrame, right: DataFrame, block: Sequence[str], left_key: str, right_key: str, tokens: str = "tokens", least: float = 0.6) -> DataFrame:
-    """(left_key, right_key, score): the most similar right row of the same block, the first of equals, if it reaches ``least``."""
-    a = left.select(*block, F.col(left_key).alias("l"), F.explode(tokens).alias("token"), F.size(tokens).alias("ln"))
-    b = right.select(*block, F.col(right_key).alias("r"), F.explode(tokens).alias("token"), F.size(tokens).alias("rn"))
-    met = a.join(b, [*block, "token"]).groupBy(*block, "l", "r").agg((F.count("*") / F.min(F.least("ln", "rn"))).alias("score"))
-    best = met.where(F.col("score") >= least).groupBy(*block, "l").agg(F.min(F.struct((-F.col("score")).alias("s"), "r")).alias("best"))
-    return best.select(F.col("l").alias(left_key), F.col("best.r").alias(right_key), (-F.col("best.s")).alias("score"))
-
-
 def protected(pairs: DataFrame, owned: Sequence[DataFrame], key: str = "duplicate") -> DataFrame:
     """The pairs, with whether any of the tables in ``owned`` (first column: owner) has rows of the duplicate."""
     owners = None

@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from plenum.functions import civic_time, text
-from plenum.operators import aggregates, joins, ranking
+from plenum.operators import aggregates, joins, matching, ranking
 from plenum.plans.registry import query
 from plenum.plans.roles import CARDS, ITEMS, MEETINGS, cards, items, meetings, with_roles
 from plenum.sources.readers import table
@@ -203,7 +203,7 @@ SELECT lk AS left_id, rk AS right_id, s AS score FROM k WHERE p = 1 AND s >= 0.6
 def guarded_match(spark, sf_dir):
     parts = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("b"), F.array_distinct(F.split(F.lower(F.concat_ws(" ", "p_name", "p_type")), " ")).alias("tokens"))
     left, right = parts.where("p_partkey % 2 = 0").withColumnRenamed("p_partkey", "left_id"), parts.where("p_partkey % 2 = 1").withColumnRenamed("p_partkey", "right_id")
-    return joins.guarded_match(left, right, ["b"], "left_id", "right_id", least=0.6, shared=2)
+    return matching.guarded_match(left, right, ["b"], "left_id", "right_id", least=0.6, shared=2)
 
 
 @query("best_item", """WITH l AS (SELECT p_partkey AS lk, p_brand AS b, list_distinct(string_split(lower(p_name || ' ' || p_type), ' ')) AS t FROM part WHERE p_partkey % 2 = 0),
@@ -213,7 +213,7 @@ SELECT lk AS left_id, rk AS right_id, s AS score FROM (SELECT *, row_number() OV
 def best_item(spark, sf_dir):
     parts = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("b"), F.array_distinct(F.split(F.lower(F.concat_ws(" ", "p_name", "p_type")), " ")).alias("tokens"))
     left, right = parts.where("p_partkey % 2 = 0").withColumnRenamed("p_partkey", "left_id"), parts.where("p_partkey % 2 = 1").withColumnRenamed("p_partkey", "right_id")
-    return joins.best_match(left, right, ["b"], "left_id", "right_id", least=0.4)
+    return matching.best_match(left, right, ["b"], "left_id", "right_id", least=0.4)
 
 
 @query("archive_attach_unique", with_roles("""SELECT card_id, sole AS archive_id FROM cards LEFT JOIN (SELECT m, d, min(s) AS sole FROM (SELECT meeting_id AS m, CAST(sort_at AS DATE) AS d, card_id AS s FROM cards WHERE status = 'F') GROUP BY m, d HAVING count(*) = 1) ON m = meeting_id AND d = CAST(sort_at AS DATE)
