@@ -6,6 +6,8 @@ is encoded once (``_word_ids``).  The ids of a chunk's words come back to its se
 position.  A word travels once a chunk, however often the chunk has it, so no frequent word makes a hot group: the rows of one
 word are as many as there are chunks, in each bucket alike.
 
+What is shuffled is the words of each chunk, their ids and the numbers of all positions, each deflated.
+
 The table is read twice alike, once for the words and once for the positions; a chunk is named by its place and a digest
 of its texts, so that a table which reads otherwise the second time fails and gives no wrong ids.
 
@@ -32,7 +34,7 @@ import regex
 import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
 from plenum.llm.common import map_in_arrow, name_of, slices
 
@@ -101,6 +103,27 @@ def _repeat(name: tuple, n: int) -> list[pa.Array]:
     return [pa.array([v] * n, t) for v, t in zip(name, (pa.int32(), pa.int32(), pa.int64()))]
 
 
+def _deflated(numbers) -> bytes:
+    return zlib.compress(np.asarray(numbers, dtype=np.uint32).tobytes(), 1)
+
+
+def _inflated(blob: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(blob), dtype=np.uint32)
+
+
+def _words_deflated(words: list[str]) -> bytes:
+    """How many words, the length of each in bytes, and all of them in a row."""
+    raw = [w.encode() for w in words]
+    return zlib.compress(np.array([len(raw), *map(len, raw)], dtype=np.uint32).tobytes() + b"".join(raw), 1)
+
+
+def _words_inflated(blob: bytes) -> list[bytes]:
+    raw = zlib.decompress(blob)
+    n = int(np.frombuffer(raw, dtype=np.uint32, count=1)[0])
+    ends = 4 * (n + 1) + np.cumsum(np.frombuffer(raw, dtype=np.uint32, count=n, offset=4))
+    return [raw[a:b] for a, b in zip([4 * (n + 1), *ends[:-1].tolist()], ends.tolist())]
+
+
 def _word_blocks(docs: DataFrame, text: str, pattern: str, chunk_bytes: int, buckets: int) -> DataFrame:
     """(chunk, bucket, numbers, words): the distinct words of each chunk by bucket."""
 
@@ -110,12 +133,11 @@ def _word_blocks(docs: DataFrame, text: str, pattern: str, chunk_bytes: int, buc
             by_bucket: dict[int, list[int]] = defaultdict(list)
             for n, word in enumerate(words):
                 by_bucket[zlib.crc32(word.encode()) % buckets].append(n)
-            numbers = [by_bucket[b] for b in by_bucket]
-            own = [[words[n] for n in block] for block in numbers]
-            cols = [*_repeat(name, len(own)), pa.array(list(by_bucket), pa.int32()), pa.array(numbers, pa.list_(pa.int32())), pa.array(own, pa.list_(pa.string()))]
+            cols = [*_repeat(name, len(by_bucket)), pa.array(list(by_bucket), pa.int32())]
+            cols += [pa.array([_deflated(n) for n in by_bucket.values()], pa.binary()), pa.array([_words_deflated([words[n] for n in block]) for block in by_bucket.values()], pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, schema.names)
 
-    schema = StructType([*_CHUNK, StructField("bucket", IntegerType()), StructField("numbers", ArrayType(IntegerType())), StructField("words", ArrayType(StringType()))])
+    schema = StructType([*_CHUNK, StructField("bucket", IntegerType()), StructField("numbers", BinaryType()), StructField("words", BinaryType())])
     return map_in_arrow(docs, run, schema)
 
 
@@ -127,25 +149,25 @@ def _word_ids(blocks: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         encode, memo = _encoder(name, pattern, ranks).encode_ordinary, {}
         for batch in batches:
             counts, ids = [], []
-            for words in batch.column("words").to_pylist():
+            for blob in batch.column("words"):
                 if len(memo) > MEMO_WORDS:
                     memo.clear()
-                for word in words:
+                own = []
+                for word in _words_inflated(blob.as_py()):
                     if word not in memo:
-                        memo[word] = encode(word)
-                own = [memo[word] for word in words]
-                counts.append([len(x) for x in own])
-                ids.append([i for x in own for i in x])
-            cols = [*[batch.column(f.name) for f in _CHUNK], batch.column("numbers"), pa.array(counts, pa.list_(pa.int32())), pa.array(ids, pa.list_(pa.int32()))]
+                        memo[word] = encode(word.decode())
+                    own.append(memo[word])
+                counts.append(_deflated([len(x) for x in own]))
+                ids.append(_deflated([i for x in own for i in x]))
+            cols = [*[batch.column(f.name) for f in _CHUNK], batch.column("numbers"), pa.array(counts, pa.binary()), pa.array(ids, pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, schema.names)
 
-    lists = [StructField(c, ArrayType(IntegerType())) for c in ("numbers", "counts", "ids")]
-    schema = StructType([*_CHUNK, *lists])
+    schema = StructType([*_CHUNK, *[StructField(c, BinaryType()) for c in ("numbers", "counts", "ids")]])
     return map_in_arrow(blocks.repartition("bucket"), run, schema)
 
 
 def _positions(docs: DataFrame, text: str, pattern: str, chunk_bytes: int) -> DataFrame:
-    """``docs`` without the text, each row with its chunk and its words' numbers by position, deflated: they are most of what is shuffled."""
+    """``docs`` without the text, each row with its chunk and its words' numbers by position."""
     kept = [f for f in docs.schema.fields if f.name != text]
 
     def run(batches):
@@ -155,7 +177,7 @@ def _positions(docs: DataFrame, text: str, pattern: str, chunk_bytes: int) -> Da
             for part in rows:
                 own = codes[start : start + len(part)]
                 start += len(part)
-                blobs = pa.array([zlib.compress(c.tobytes(), 1) for c in own], pa.binary())
+                blobs = pa.array([_deflated(c) for c in own], pa.binary())
                 yield pa.RecordBatch.from_arrays([*[part.column(f.name) for f in kept], *_repeat(name, len(part)), blobs], schema.names)
 
     schema = StructType([*kept, *_CHUNK, StructField("positions", BinaryType())])
@@ -177,14 +199,14 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: str
     asked = _positions(plain, "text", vocabulary.pattern, chunk_bytes)
 
     def put_together(left: pa.Table, right: pa.Table) -> pa.Table:
-        flat = lambda c: np.concatenate([np.zeros(0, np.int64), *[x.flatten().to_numpy() for x in right.column(c).chunks]]).astype(np.int64)
+        flat = lambda c: np.concatenate([np.zeros(0, np.int64), *[_inflated(x.as_py()) for x in right.column(c)]])
         numbers, counts, all_ids = flat("numbers"), flat("counts"), flat("ids").astype(np.int32)
         sizes = np.zeros(numbers.max(initial=-1) + 1, dtype=np.int64)
         starts = np.zeros_like(sizes)
         sizes[numbers], starts[numbers] = counts, np.cumsum(counts) - counts
         made, ends = [], [0]
         for blob in left.column("positions"):
-            codes = np.frombuffer(zlib.decompress(blob.as_py()), dtype=np.uint32)
+            codes = _inflated(blob.as_py())
             if len(codes) and (codes.max() >= len(sizes) or not sizes[codes].all()):
                 raise RuntimeError("the table of texts read otherwise the second time: write it before it is encoded")
             made.append(all_ids[_gather(starts[codes], sizes[codes])])
