@@ -57,6 +57,50 @@ def drop_obsolete(target: DataFrame, current: DataFrame, key: Sequence[str], pro
     return alive.where(F.coalesce("is_current", F.lit(False)) | F.coalesce(protected, F.lit(False))).select(*target.columns)
 
 
+def guarded_write(target: DataFrame, source: DataFrame, key: Sequence[str], derived: dict, checks: dict, stamp: str | None = None, now: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(the target after the write, rejected rows of the source with ``reasons``): an upsert that keeps dependent columns in step and refuses rows.
+
+    derived: column -> function of ``new``, ``old`` and ``is_insert`` that gives its value; ``new(c)`` and ``old(c)`` are a column's value in the row written and the one
+    it replaces, null without one.  They are set in order, each seeing those before.  checks: name -> function of ``value`` (a column's value in the finished row),
+    false for a violation, null for none.  stamp: a column that is set to ``now`` where a row replaces one.  A rejected row leaves the stored one as it was.  Each side has
+    one row per key at most, and source columns that the target lacks don't count.
+    """
+    cols = target.columns
+    t = target.select(*[F.col(c).alias(f"t_{c}") for c in cols], F.lit(True).alias("in_target"))
+    s = source.select(*[(F.col(c) if c in source.columns else F.lit(None).cast(target.schema[c].dataType)).alias(f"s_{c}") for c in cols], F.lit(True).alias("in_source"))
+    on = None
+    for k in key:
+        same = F.col(f"s_{k}").eqNullSafe(F.col(f"t_{k}"))
+        on = same if on is None else on & same
+    met = s.join(t, on, "full")
+    is_insert = F.col("in_target").isNull()
+    # a column that the source doesn't have keeps its stored value
+    fresh = {c: F.col(f"s_{c}") if c in source.columns else F.col(f"t_{c}") for c in cols}
+    met = met.select("*", *[v.alias(f"n_{c}") for c, v in fresh.items()])
+    for c, make in derived.items():
+        met = met.withColumn(f"n_{c}", make(lambda x: F.col(f"n_{x}"), lambda x: F.col(f"t_{x}"), is_insert))
+    if stamp is not None:
+        met = met.withColumn(f"n_{stamp}", F.when(is_insert, F.col(f"n_{stamp}")).otherwise(now))
+    broken = [F.when(~F.coalesce(check(lambda x: F.col(f"n_{x}")), F.lit(True)), F.lit(name)) for name, check in checks.items()]
+    met = met.withColumn("reasons", F.filter(F.array(*broken), lambda r: r.isNotNull()) if broken else F.array().cast("array<string>"))
+    takes = F.coalesce("in_source", F.lit(False)) & (F.size("reasons") == 0)
+    after = met.where(takes | F.col("in_target").isNotNull()).select(*[F.when(takes, F.col(f"n_{c}")).otherwise(F.col(f"t_{c}")).alias(c) for c in cols])
+    refused = met.where(F.col("in_source").isNotNull() & (F.size("reasons") > 0)).select(*[F.col(f"n_{c}").alias(c) for c in cols], "reasons")
+    return after, refused
+
+
+def points_in_step(points: str, text: str) -> dict:
+    """Derived columns for a list of points and their text: the text follows the list where that came or changed, else the list follows the text's lines."""
+    joined = lambda p: F.array_join(p, "\n")
+    lines = lambda t: F.filter(F.transform(F.split(t, r"\r?\n"), lambda x: F.trim(x)), lambda x: x != "")
+    listed = lambda new, old, ins: new(points).isNotNull() & (ins | ~new(points).eqNullSafe(old(points)))
+    told = lambda new, old, ins: new(text).isNotNull() & (ins | ~new(text).eqNullSafe(old(text)))
+    return {
+        text: lambda new, old, ins: F.when(listed(new, old, ins), joined(new(points))).otherwise(new(text)),
+        points: lambda new, old, ins: F.when(told(new, old, ins), lines(new(text))).otherwise(new(points)),
+    }
+
+
 def write_batches(df: DataFrame, group: Sequence[str], order: Sequence[Column], size: str, most_rows: int, most_size: int) -> DataFrame:
     """``df`` with ``batch``: rows in order, a new batch where the next row would exceed the rows or the size; an oversized row goes alone.
 
