@@ -5,12 +5,10 @@ Words of subjects stand in plain lists, with ``*`` for any ending; a text has a
 
 from __future__ import annotations
 
-import unicodedata
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from plenum.functions.text import money_score
+from plenum.functions.text import folded, money_score
 
 # Subjects of daily life and their points; actions that bind; points of categories and statuses.
 DAILY_LIFE = [
@@ -93,29 +91,6 @@ NOT_IDENTITY = (
 REWORDING = "accept approve consistency law replace state update".split()
 
 
-def _base_letters() -> tuple[str, str, dict[str, str]]:
-    """Latin characters, small and full-width ones whose plain form without marks is of letters or digits: (characters, one letter for each), and those with more."""
-    one, more = {}, {}
-    for c in map(chr, [*range(0x80, 0x250), *range(0x1E00, 0x1F00), *range(0x2070, 0x20A0), *range(0xFB00, 0xFB07), *range(0xFF00, 0xFF5F)]):
-        folded = "".join(x for x in unicodedata.normalize("NFKD", c.lower()) if not "̀" <= x <= "ͯ")
-        if folded != c and any(x.isascii() and x.isalnum() for x in folded):
-            (one if len(folded) == 1 else more)[c] = folded
-    marks = "".join(map(chr, range(0x300, 0x370)))
-    return "".join(one) + marks, "".join(one.values()), more
-
-
-_MARKED, _UNMARKED, _LIGATURES = _base_letters()
-
-
-def unmarked(text: Column) -> Column:
-    """Lower case, with letters and digits in their plain forms and without marks; in the JVM."""
-    lower = F.translate(F.lower(F.coalesce(text, F.lit(""))), _MARKED, _UNMARKED)
-    spelled = lower
-    for c, letters in _LIGATURES.items():
-        spelled = F.replace(spelled, F.lit(c), F.lit(letters))
-    return F.when(lower.rlike("[" + "".join(_LIGATURES) + "]"), spelled).otherwise(lower)
-
-
 def words_pattern(words: str) -> str:
     """A pattern for any of the words and phrases of a list, between word bounds, in any case."""
     spelled = [w.strip().replace("*", r"\w+") for w in words.split(",")]
@@ -200,7 +175,7 @@ def official_status(signal: Column) -> Column:
 
 def item_tokens(title: Column) -> Column:
     """Distinct words that identify an agenda item, respelled and without marks."""
-    text = unmarked(title)
+    text = folded(title)
     for pattern, word in RESPELLED:
         text = F.regexp_replace(text, pattern, word)
     bare = F.split(F.regexp_replace(text, r"[^a-z0-9.]+", " "), " ")

@@ -5,25 +5,42 @@ from __future__ import annotations
 import re
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
-@F.pandas_udf(StringType())
-def _without_marks(texts: pd.Series) -> pd.Series:
-    return texts.map(fold_marks, na_action="ignore")
+
+def _plain_forms() -> tuple[dict[str, str], dict[str, str]]:
+    """Characters that one letter or nothing stands for once marks are off (NFKD, lower case), and Latin ones that several do."""
+    one, more = {}, {}
+    for n in [*range(0x80, 0xAC00), *range(0xF900, 0xFFF0)]:
+        c = chr(n)
+        if unicodedata.category(c).startswith("M"):
+            one[c] = ""
+            continue
+        plain = "".join(x for x in unicodedata.normalize("NFKD", c.lower()) if not unicodedata.category(x).startswith("M")).lower()
+        if plain != c and len(plain) == 1:
+            one[c] = plain
+        elif plain != c.lower() and (n < 0x250 or 0xFB00 <= n <= 0xFB06):
+            more[c] = plain
+    return one, more
+
+
+_ONE, _MORE = _plain_forms()
+_TO_PLAIN = sorted(_ONE, key=lambda c: not _ONE[c])  # translate drops what the second string is too short for
 
 
 def fold_marks(text: str) -> str:
-    """NFKD without marks, lower-cased."""
-    return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.category(c).startswith("M")).lower()
+    """Lower case without marks, compatibility forms as plain letters; what ``folded`` gives for a column."""
+    return "".join(_MORE.get(c, _ONE.get(c, c)) for c in text.lower())
 
 
 def folded(text: Column) -> Column:
-    """``fold_marks`` of a text; only texts with other characters than ASCII's leave the JVM."""
-    marked = F.when(text.rlike(r"[^\x00-\x7F]"), text)
-    return F.coalesce(_without_marks(marked), F.lower(text), F.lit(""))
+    """``fold_marks`` of a text, in the JVM; empty for null."""
+    lower = F.translate(F.lower(F.coalesce(text, F.lit(""))), "".join(_TO_PLAIN), "".join(_ONE[c] for c in _TO_PLAIN))
+    spelled = lower
+    for c, letters in _MORE.items():
+        spelled = F.replace(spelled, F.lit(c), F.lit(letters))
+    return F.when(lower.rlike("[" + "".join(_MORE) + "]"), spelled).otherwise(lower)
 
 
 def search_tokens(text: Column) -> Column:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plenum.operators.bands import last_at_or_before
+
 #: Characters that a stored text of each type keeps.
 STORED_CHARS = {"Minutes": 2_000_000, "raw": 4_000}
 STORED_OTHER = 500_000
@@ -47,9 +49,9 @@ def capped_text(text: Column, kind: Column) -> Column:
 
 
 def once_per_batch(df: DataFrame, batch: str, order: str, payload: str) -> DataFrame:
-    """``df`` with a bulky payload only in the first row of each batch that has one."""
-    first = F.min(F.when(F.col(payload).isNotNull(), F.struct(order))).over(Window.partitionBy(batch))
-    return df.withColumn(payload, F.when(first.getField(order) == F.col(order), F.col(payload)))
+    """``df`` with a bulky payload only in the first row of each batch that has one; of rows at one place in the order one keeps it."""
+    nth = F.row_number().over(Window.partitionBy(batch).orderBy(F.col(payload).isNull(), order))
+    return df.withColumn("once_nth", nth).withColumn(payload, F.when(F.col("once_nth") == 1, F.col(payload))).drop("once_nth")
 
 
 def refresh(target: DataFrame, wanted: DataFrame, owner: str) -> DataFrame:
@@ -70,11 +72,23 @@ def rolled_up(df: DataFrame, group: Sequence[str], status: str) -> DataFrame:
     return df.groupBy(*group).agg(total.alias(status), F.count("*").alias("runs"))
 
 
-def digest_marks(subscriptions: DataFrame, signals: DataFrame, key: str, topic: str, at: str, mark: str) -> DataFrame:
-    """Each subscription with the signals of its topic after its mark, their number, and the mark that sending them sets."""
-    later = signals.select(F.col(topic).alias("of_topic"), F.col(at).alias("of_at"))
-    met = subscriptions.join(later, (F.col(topic) == F.col("of_topic")) & (F.col("of_at") > F.coalesce(F.col(mark), F.lit("1970-01-01").cast("timestamp"))), "left")
-    return met.groupBy(key, topic, mark).agg(F.count("of_at").alias("new_signals"), F.coalesce(F.max("of_at"), F.first(mark)).alias("new_mark"))
+def digest_marks(subscriptions: DataFrame, signals: DataFrame, key: str, topic: str, at: str, mark: str, width: int = 86_400) -> DataFrame:
+    """Each subscription with the signals of its topic after its mark, their number, and the mark that sending them sets.
+
+    Signals are counted by topic and instant first; how many there were up to a mark is the running count at the last instant at or before it,
+    so the work is the subscriptions and the signals, sorted, and not one times the other.  width: seconds of a topic that one task sweeps.
+    """
+    counted = signals.where(F.col(topic).isNotNull() & F.col(at).isNotNull()).groupBy(F.col(topic), F.unix_micros(F.col(at).cast("timestamp")).alias("us")).agg(F.count("*").alias("n"))
+    sliced = counted.withColumn("part", F.floor(F.col("us") / F.lit(width * 1_000_000)))
+    parts = sliced.groupBy(topic, "part").agg(F.sum("n").alias("part_n"))
+    before = parts.withColumn("n_before", F.coalesce(F.sum("part_n").over(Window.partitionBy(topic).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    within = F.sum("n").over(Window.partitionBy(topic, "part").orderBy("us"))
+    running = sliced.withColumn("within", within).join(before, [topic, "part"]).select(topic, "us", (F.col("within") + F.col("n_before")).alias("upto"))
+    totals = running.groupBy(topic).agg(F.max("upto").alias("total"), F.max("us").alias("last_us"))
+    asked = subscriptions.select(key, topic, mark, F.coalesce(F.unix_micros(F.col(mark).cast("timestamp")), F.lit(0)).alias("us"))
+    met = last_at_or_before(asked, running, [topic], "us", ["upto"], width * 1_000_000).join(totals, topic, "left")
+    new = F.coalesce(F.col("total") - F.coalesce("upto", F.lit(0)), F.lit(0))
+    return met.select(key, topic, mark, new.alias("new_signals"), F.when(new > 0, F.timestamp_micros("last_us")).otherwise(F.col(mark)).alias("new_mark"))
 
 
 def water_filled(df: DataFrame, group: Sequence[str], size: str, key: str, total: int) -> DataFrame:
@@ -89,17 +103,48 @@ def water_filled(df: DataFrame, group: Sequence[str], size: str, key: str, total
     return ranked.withColumn("granted", F.least(F.col(size), F.coalesce("fill_level", F.col(size)))).drop("fill_n", "fill_i", "fill_before", "fill_level")
 
 
-def nearest(left: DataFrame, right: DataFrame, block: Sequence[str], at: str, key: str, name: str) -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, block: Sequence[str], at: str, key: str, name: str, width: float = 1000) -> DataFrame:
     """``left`` with the key of the right row of its block whose position is nearest; of equals the first.
 
-    Both sides are sorted once by position: the nearest is the last before or the first after.
+    The nearest is the last at or before or the first at or after, each found by a sliced sweep; positions and keys keep their types.
+    """
+    spots = right.groupBy(*block, F.col(at)).agg(F.min(key).alias("spot_key")).select(*block, at, "spot_key", F.col(at).alias("spot_at"))
+    lower = last_at_or_before(left, spots, block, at, ["spot_key", "spot_at"], width).withColumnsRenamed({"spot_key": "low_key", "spot_at": "low_at"})
+    turned = lambda df: df.withColumn("turned_at", -F.col(at))
+    both = last_at_or_before(turned(lower), turned(spots), block, "turned_at", ["spot_key", "spot_at"], width)
+    above = F.col("low_at").isNull() | (F.col("spot_at") - F.col(at) < F.col(at) - F.col("low_at"))
+    return both.select(*left.columns, F.when(above, F.col("spot_key")).otherwise(F.col("low_key")).alias(name))
+
+
+def union_by_id(frames: Sequence[DataFrame], key: str) -> DataFrame:
+    """All rows of the frames, each key once: that of the first frame that has it, in its own table the smallest row."""
+    tagged = None
+    for n, df in enumerate(frames):
+        one = df.withColumn("union_nth", F.lit(n))
+        tagged = one if tagged is None else tagged.unionByName(one, allowMissingColumns=True)
+    rest = [c for c in tagged.columns if c not in (key, "union_nth")]
+    return tagged.groupBy(key).agg(F.min(F.struct("union_nth", *rest)).alias("kept")).select(key, *[F.col(f"kept.{c}") for c in rest])
+
+
+def without_leaked(links: DataFrame, meeting: str, day: str, url: str, url_day: Column) -> tuple[DataFrame, DataFrame]:
+    """(links that stay, links that leak): a url that names a day and is linked from meetings of several days belongs to that day's alone."""
+    several = links.groupBy(url).agg(F.min(day).alias("least_day"), F.max(day).alias("most_day")).where("least_day <> most_day").select(url, F.lit(True).alias("is_shared"))
+    told = links.withColumn("named_day", url_day).join(several, url, "left")
+    leaks = F.coalesce(F.col("is_shared"), F.lit(False)) & F.col("named_day").isNotNull() & ~F.col("named_day").eqNullSafe(F.col(day))
+    return told.where(~leaks).select(*links.columns), told.where(leaks).select(*links.columns, "named_day")
+
+
+def folded_releases(meetings: DataFrame, key: Sequence[str], meeting: str, is_release: Column, has_agenda: Column, documents: str, text: str) -> DataFrame:
+    """``meetings`` with each early release folded into the regular meeting of its body and day, the last with an agenda: documents united, texts joined in order.
+
+    A release without such a meeting stays.  A null in the key is a value like any other.
     """
-    of_left = left.select(*block, F.col(at).alias("pos"), F.struct(*left.columns).alias("own"), F.lit(None).cast("struct<pos:double,key:string>").alias("spot"))
-    of_right = right.groupBy(*block, F.col(at).alias("pos")).agg(F.min(key).alias("k"))
-    of_right = of_right.select(*block, "pos", F.lit(None).cast(of_left.schema["own"].dataType).alias("own"), F.struct(F.col("pos").cast("double").alias("pos"), F.col("k").cast("string").alias("key")).alias("spot"))
-    w = Window.partitionBy(*block).orderBy("pos", F.col("own").isNotNull())
-    both = of_left.unionByName(of_right).withColumns({
-        "before": F.last("spot", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "after": F.first("spot", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    }).where("own IS NOT NULL")
-    closer = F.when(F.col("before").isNull() | (F.col("after.pos") - F.col("pos") < F.col("pos") - F.col("before.pos")), F.col("after.key")).otherwise(F.col("before.key"))
-    return both.select("own.*", closer.alias(name))
+    told = meetings.withColumns({"is_release": F.coalesce(is_release, F.lit(False)), "is_regular": F.coalesce(has_agenda & ~F.coalesce(is_release, F.lit(False)), F.lit(False))})
+    same = lambda a, b: [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in key]
+    regular = told.where("is_regular").groupBy(*key).agg(F.max(meeting).alias("owner"))
+    owned = told.alias("m").join(regular.alias("r"), same("m", "r"), "left").select("m.*", "r.owner")
+    extra = owned.where("is_release AND owner IS NOT NULL").groupBy(F.col("owner").alias("of")).agg(F.array_sort(F.collect_list(F.struct(F.col(meeting).alias("id"), F.col(documents).alias("d"), F.col(text).alias("t")))).alias("more"))
+    left = owned.where("NOT is_release OR owner IS NULL").join(extra, F.col(meeting) == F.col("of"), "left")
+    docs = F.array_distinct(F.concat(F.coalesce(F.col(documents), F.array().cast(meetings.schema[documents].dataType)), F.flatten(F.transform("more", lambda x: F.coalesce(x["d"], F.array().cast(meetings.schema[documents].dataType))))))
+    texts = F.trim(F.regexp_replace(F.concat_ws(" ", F.array(F.col(text)), F.transform("more", lambda x: x["t"])), r"\s+", " "))
+    return left.select(*[(F.when(F.col("of").isNotNull(), docs).otherwise(F.col(c)) if c == documents else F.when(F.col("of").isNotNull(), texts).otherwise(F.col(c)) if c == text else F.col(c)).alias(c) for c in meetings.columns])

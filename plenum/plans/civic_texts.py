@@ -213,14 +213,14 @@ def prefer_upcoming(spark, sf_dir):
 _MARK = "TIMESTAMP '2024-01-01' + INTERVAL 1 DAY * (c_custkey % 30)"
 
 
-@query("digest_marks", f"""WITH s AS (SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'click' WHEN 1 THEN 'purchase' ELSE 'none' END AS topic, CASE WHEN c_custkey % 5 > 0 THEN {_MARK} END AS mark FROM customer WHERE c_custkey <= 150),
+@query("digest_marks", f"""WITH s AS (SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'click' WHEN 1 THEN 'purchase' ELSE 'none' END AS topic, CASE WHEN c_custkey % 5 > 0 THEN {_MARK} END AS mark FROM customer),
 m AS (SELECT s.*, ts FROM s LEFT JOIN events ON event_type = topic AND ts > coalesce(mark, TIMESTAMP '1970-01-01'))
 SELECT c_custkey, topic, count(ts) AS new_signals, {TS.format("coalesce(max(ts), any_value(mark))")} AS new_mark FROM m GROUP BY c_custkey, topic""")
 def digest_marks(spark, sf_dir):
     key = F.col("c_custkey")
     mark = F.when(key % 5 > 0, F.timestamp_seconds(F.unix_timestamp(F.lit("2024-01-01").cast("timestamp")) + 86_400 * (key % 30)))
     topic = F.when(key % 3 == 0, "click").when(key % 3 == 1, "purchase").otherwise("none")
-    asked = table(spark, sf_dir, "customer", "c_custkey").where(key <= 150).select("c_custkey", topic.alias("topic"), mark.alias("mark"))
+    asked = table(spark, sf_dir, "customer", "c_custkey").select("c_custkey", topic.alias("topic"), mark.alias("mark"))
     signals = table(spark, sf_dir, "events", "event_type", "ts").select(F.col("event_type").alias("topic"), F.col("ts").cast("timestamp").alias("ts"))
     return upkeep.digest_marks(asked, signals, "c_custkey", "topic", "ts", "mark").select("c_custkey", "topic", "new_signals", F.date_format("new_mark", "yyyy-MM-dd HH:mm:ss").alias("new_mark"))
 
@@ -240,7 +240,7 @@ def nearest_line(spark, sf_dir):
     marks = items(spark, sf_dir).where("flag = 'N'").distinct().select("card_id", "number", "part", "supplier", "quantity")
     lines = items(spark, sf_dir).where("flag <> 'N'")
     found = upkeep.nearest(marks, lines, ["card_id"], "quantity", "number", "line")
-    return found.where("line IS NOT NULL").select("card_id", "number", F.col("line").cast("long").alias("line"))
+    return found.where("line IS NOT NULL").select("card_id", "number", "line")
 
 
 @query("month_grid", "SELECT d AS civic_day, count(c_custkey) AS n FROM (SELECT strftime(DATE '1999-05-30' + CAST(i AS INTEGER), '%Y-%m-%d') AS d FROM range(42) AS r(i)) LEFT JOIN (SELECT o_custkey AS c_custkey, strftime(o_orderdate, '%Y-%m-%d') AS od FROM orders) ON od = d GROUP BY d")
