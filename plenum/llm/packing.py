@@ -11,16 +11,17 @@ repeats; each group ends with one batch that may not be full.
 
 Defined results: a null or empty text is one piece of no tokens; repeated rows are packed once each;
 a null doc_id is packed like any other; ties in length are ordered by doc_id and piece; an empty
-table gives an empty result; a very long text becomes many pieces and loses no token.
+table gives an empty result; a very long text becomes many pieces and loses no token; a piece's text is the
+original one from its first token's white space on, so the pieces of a text in order are the text.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plenum.llm.common import materialize, words_of
+from plenum.llm.common import SPACES, bind, materialize, words_of
 
 
 def boundaries(histogram: dict[int, int], buckets: int) -> list[int]:
@@ -50,18 +51,24 @@ def boundaries(histogram: dict[int, int], buckets: int) -> list[int]:
 
 def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_tokens: int = 2048, with_text: bool = False) -> DataFrame:
     """(doc_id, piece, start, n_tokens[, text]): the pieces of each row, from token ``start`` on."""
-    at = F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size("tokens") - 1) / max_tokens)).cast("int")))
-    cut = docs.select(F.col(doc_id).alias("doc_id"), words_of(F.col(text)).alias("tokens"))
     if not with_text:
-        cut = cut.select("doc_id", F.size("tokens").alias("size"))
+        cut = docs.select(F.col(doc_id).alias("doc_id"), F.size(words_of(F.col(text))).alias("size"))
         at = F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.col("size") - 1) / max_tokens)).cast("int")))
         placed = cut.select("doc_id", "size", at.alias("piece"))
         return placed.select("doc_id", "piece", (F.col("piece") * max_tokens).alias("start"), F.least(F.lit(max_tokens), F.col("size") - F.col("piece") * max_tokens).alias("n_tokens"))
-    sliced = F.transform(
-        F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size("tokens") - 1) / max_tokens)).cast("int")), lambda i: F.slice("tokens", i * max_tokens + 1, max_tokens)
-    )
-    placed = cut.select("doc_id", F.posexplode(sliced).alias("piece", "own"))
-    return placed.select("doc_id", "piece", (F.col("piece") * max_tokens).alias("start"), F.size("own").alias("n_tokens"), F.array_join("own", " ").alias("text"))
+    # each token with the white space before it, and what is left at the end: the pieces of a text in order are the text
+    whole = F.coalesce(F.col(text), F.lit(""))
+    spaced = F.regexp_extract_all(whole, F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"))
+    end = F.substring(whole, F.length(F.rtrim(whole, F.lit(SPACES))) + 1, F.length(whole))
+
+    def sliced(tokens: Column) -> Column:
+        last = F.greatest(F.lit(0), F.floor((F.size(tokens) - 1) / max_tokens)).cast("int")
+        own = lambda i: F.slice(tokens, i * max_tokens + 1, max_tokens)
+        piece = lambda i: F.struct(F.size(own(i)).alias("n_tokens"), F.concat(F.array_join(own(i), ""), F.when(i == last, end).otherwise("")).alias("text"))
+        return F.transform(F.sequence(F.lit(0), last), piece)
+
+    placed = docs.select(F.col(doc_id).alias("doc_id"), F.posexplode(bind(spaced, sliced)).alias("piece", "own"))
+    return placed.select("doc_id", "piece", (F.col("piece") * max_tokens).alias("start"), "own.n_tokens", "own.text")
 
 
 def pack(

@@ -1,5 +1,6 @@
 """Packing: optimal boundaries against all choices, and whole results."""
 
+import random
 from collections import Counter
 from itertools import combinations
 
@@ -52,3 +53,18 @@ def test_rows_without_an_id_are_dealt_to_many_groups(spark):
     rows = packing.pack(docs, group_rows=100, token_budget=64).collect()
     groups = Counter(r["batch"].rsplit("-", 1)[0] for r in rows)
     assert len(rows) == 3000 and len(groups) == 30 and max(groups.values()) < 200
+
+
+def test_pieces_keep_the_text(spark):
+    rng = random.Random(1)
+    texts = ["a\n\nb\tc  d", "  lead and trail \n\t", " \n ", "", None, "one", "é ü\x0b\x0c\r中\xa0文 x", *["".join(rng.choices(" \n\tab.", k=rng.randrange(60))) for _ in range(40)], "word\n" * 30_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    for with_text in (packing.pieces(docs, max_tokens=3, with_text=True), packing.pack(docs, max_tokens=3, with_text=True)):
+        found = {}
+        for r in with_text.orderBy("doc_id", "piece").collect():
+            found.setdefault(r.doc_id, []).append(r)
+        assert {i: "".join(r.text for r in rows) for i, rows in found.items()} == {i: t or "" for i, t in enumerate(texts)}
+        for rows in found.values():
+            assert [r.n_tokens for r in rows] == [len(r.text.encode().split()) for r in rows]
+    plain = packing.pieces(docs, max_tokens=3).collect()
+    assert sorted(map(tuple, plain)) == sorted((r.doc_id, r.piece, r.start, r.n_tokens) for r in packing.pieces(docs, max_tokens=3, with_text=True).collect())
