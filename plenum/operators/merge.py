@@ -43,10 +43,23 @@ def upsert(target: DataFrame, source: DataFrame, key: Sequence[str], preserve: S
     return joined.select(*cols)
 
 
-def replace_children(target: DataFrame, source: DataFrame, parent: str, key: Sequence[str], flags: Sequence[str]) -> DataFrame:
-    """The target with the children of the source's parents replaced; flags survive where the key does.  Parents that the source hasn't keep theirs."""
-    kept = target.select(parent, *key, *[F.col(f).alias(f"old_{f}") for f in flags]).groupBy(parent, *key).agg(*[F.max(f"old_{f}").alias(f"old_{f}") for f in flags])
-    fresh = source.join(kept, [parent, *key], "left").withColumns({f: F.coalesce(F.col(f"old_{f}"), F.col(f)) for f in flags})
+def replace_children(target: DataFrame, source: DataFrame, parent: str, key: Sequence[str], flags: Sequence[str], title: str | None = None) -> DataFrame:
+    """The target with the children of the source's parents replaced; flags survive where the key does, or else the ``title``, in any case and spacing.
+
+    Parents that the source hasn't, and so those for which it came empty, keep theirs.
+    """
+
+    def kept(on: dict[str, Column], prefix: str) -> DataFrame:
+        named = target.select(F.col(parent), *[c.alias(n) for n, c in on.items()], *[F.col(f).alias(f"{prefix}{f}") for f in flags])
+        return named.groupBy(parent, *on).agg(*[F.max(f"{prefix}{f}").alias(f"{prefix}{f}") for f in flags], F.lit(True).alias(f"{prefix}is"))
+
+    plain = {} if title is None else {"plain_title": F.lower(F.trim(F.regexp_replace(F.coalesce(F.col(title), F.lit("")), r"\s+", " ")))}
+    fresh = source.withColumns(plain).join(kept({k: F.col(k) for k in key}, "key_"), [parent, *key], "left")
+    old = {f: F.col(f"key_{f}") for f in flags}
+    if plain:
+        fresh = fresh.join(kept(plain, "title_"), [parent, "plain_title"], "left")
+        old = {f: F.when(F.col("key_is"), F.col(f"key_{f}")).otherwise(F.col(f"title_{f}")) for f in flags}
+    fresh = fresh.withColumns({f: F.coalesce(old[f], F.col(f)) for f in flags})
     rest = target.join(source.select(parent).distinct(), parent, "left_anti")
     return rest.select(*target.columns).unionByName(fresh.select(*target.columns))
 

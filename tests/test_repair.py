@@ -165,3 +165,15 @@ def test_raw_documents(spark):
     rows = [(1, '{"documents":[{"type":"Video","label":"v","url":"u"},{"url":7,"source_url":"s"},{"label":"none"},3,null,{"url":""}]}'), (2, "{}"), (3, "not json"), (4, None), (5, '{"documents":5}')]
     out = nested.raw_documents(spark.createDataFrame(rows, "id int, raw string"), "raw", ["id"])
     assert [tuple(r) for r in out.collect()] == [(1, 0, "Video", "v", "u"), (1, 1, None, None, "s")]
+
+
+def test_replaced_children_keep_flags_by_key_or_title(spark):
+    shape = "meeting int, item string, url string, featured boolean"
+    target = spark.createDataFrame([(1, "Street trees", "u", True), (1, "Pool  Hours", "v", True), (1, "Old", "w", True), (2, "Stays", "x", True), (3, "Bus", "y", False)], shape)
+    source = spark.createDataFrame([(1, "Street trees", "u", False), (1, "pool hours ", "moved", False), (1, "New", "n", False), (3, "bus", "z", None)], shape)
+    out = merge.replace_children(target, source, "meeting", ["item", "url"], ["featured"], "item")
+    assert {(r.meeting, r.item, r.url): r.featured for r in out.collect()} == {
+        (1, "Street trees", "u"): True, (1, "pool hours ", "moved"): True, (1, "New", "n"): False, (2, "Stays", "x"): True, (3, "bus", "z"): False,
+    }
+    plain = merge.replace_children(target, source, "meeting", ["item", "url"], ["featured"])
+    assert {r.item for r in plain.where("featured").collect()} == {"Street trees", "Stays"}
