@@ -59,13 +59,37 @@ def unique_match(left: DataFrame, right: DataFrame, on: Sequence[str], right_key
     return left.join(only.join(alone, list(on), "left_semi"), list(on), "left")
 
 
+#: Characters of the pieces by which titles meet that hold one another.
+GRAM = 4
+
+
+def _grams(title: str, sizes: Column) -> Column:
+    """The distinct pieces of a title, of each of the sizes, with their size before them."""
+    of_size = lambda g: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(title) - g + 1)), lambda i: F.concat(g.cast("string"), F.lit(":"), F.substring(F.col(title), i, g)))
+    return F.array_distinct(F.flatten(F.transform(F.filter(sizes, lambda g: g <= F.length(title)), of_size)))
+
+
 def duplicate_pairs(df: DataFrame, key: str, at: Sequence[str], title: str, is_malformed: Column) -> DataFrame:
-    """(duplicate, canonical): each malformed row and the row of the same place and time whose title, the longest such, its title contains."""
-    bad = df.where(is_malformed).select(*at, F.col(key).alias("duplicate"), F.lower(F.col(title)).alias("long_title"))
-    good = df.where(~is_malformed).select(*at, F.col(key).alias("canonical"), F.lower(F.col(title)).alias("short_title"))
-    met = bad.join(good, list(at)).where(F.contains("long_title", "short_title") & (F.length("short_title") > 0))
+    """(duplicate, canonical): each malformed row and the row of the same place and time whose title, the longest such, its title contains.
+
+    A title that is contained has all of its pieces in the other, so it asks with the one that the fewest malformed titles of its block hold; one that has
+    a piece no other title holds asks for nothing.  Titles are compared once, however many rows have them.
+    """
+    titled = df.select(*at, F.col(key).alias("key"), F.lower(F.col(title)).alias("plain"), is_malformed.alias("bad"))
+    bad = titled.where("bad").select(*at, "key", F.col("plain").alias("long_title"))
+    long = bad.select(*at, "long_title").distinct().withColumn("long_id", F.xxhash64("long_title"))
+    short = titled.where("NOT bad AND plain <> ''").groupBy(*at, F.col("plain").alias("short_title")).agg(F.min("key").alias("canonical"))
+    size = F.least(F.lit(GRAM), F.length("short_title"))
+    wanted = short.groupBy(*at).agg(F.collect_set(size).alias("sizes"))  # four sizes at most
+    held = long.join(wanted, list(at)).select(*at, "long_id", F.explode(_grams("long_title", F.col("sizes"))).alias("gram"))
+    often = held.groupBy(*at, "gram").agg(F.count("*").alias("often"))
+    asking = short.withColumn("own", _grams("short_title", F.array(size)))
+    asked = asking.select(*at, "short_title", "canonical", F.size("own").alias("pieces"), F.explode("own").alias("gram")).join(often, [*at, "gram"])
+    rarest = asked.groupBy(*at, "short_title", "canonical", "pieces").agg(F.count("*").alias("there"), F.min(F.struct("often", "gram")).alias("ask")).where("there = pieces")
+    met = rarest.select(*at, "short_title", "canonical", F.col("ask.gram").alias("gram")).join(held, [*at, "gram"]).join(long, [*at, "long_id"])
     best = F.min(F.struct((-F.length("short_title")).alias("n"), F.col("canonical")))
-    return met.groupBy("duplicate").agg(best.alias("best")).select("duplicate", F.col("best.canonical").alias("canonical"))
+    found = met.where(F.contains("long_title", "short_title")).groupBy(*at, "long_title").agg(best.alias("best"))
+    return bad.join(found, [*at, "long_title"]).select(F.col("key").alias("duplicate"), F.col("best.canonical").alias("canonical"))
 
 
 def protected(pairs: DataFrame, owned: Sequence[DataFrame], key: str = "duplicate") -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plenum.functions import civic_text as said
-from plenum.operators import matching
+from plenum.operators import joins, matching
 
 SHAPE = "card_id int, parent string, ord int, source_item_id string, title string, url string, flag boolean"
 
@@ -169,3 +169,17 @@ def test_classes_of_cards(spark):
     df = spark.createDataFrame([(t,) for t in items], "t string").select("t", *[c.alias(n) for n, c in said.card_classes(F.col("t"), F.col("t")).items()])
     of = {r.t: {n for n in said.CLASS_POINTS if r[n]} for r in df.collect()}
     assert of == {items[0]: {"announcement"}, items[1]: {"procedural"}, items[2]: set(), items[3]: set(), items[4]: {"announcement"}, items[5]: {"procedural"}, items[6]: {"routine"}, items[7]: {"withdrawn"}}
+
+
+def test_contained_titles_lose_no_pair(spark):
+    rng = random.Random(11)
+    word = lambda n: "".join(rng.choices("ab ", k=n))
+    rows = [(i, rng.choice("xy"), word(rng.randrange(0, 14)) if i % 2 else word(rng.randrange(0, 6)), i % 2 == 1) for i in range(300)] + [(900, "x", None, True), (901, "x", None, False), (902, None, "a", False)]
+    df = spark.createDataFrame(rows, "id int, block string, title string, bad boolean")
+    want = {}
+    for i, b, t, is_bad in rows:
+        fits = [(-len(u), j) for j, c, u, other in rows if is_bad and not other and b is not None and b == c and t and u and u in t]
+        if fits:
+            want[i] = min(fits)[1]
+    out = joins.duplicate_pairs(df, "id", ["block"], "title", F.col("bad"))
+    assert {r.duplicate: r.canonical for r in out.collect()} == want and len(want) > 50
