@@ -1,7 +1,7 @@
 """Main text of web pages by consensus paths of each host.
 
 1. Every page is cut into tags and text.  Menus, headers, footers, sidebars, notices, adverts, forms
-   and reader comments are marked, by tag, role, or a class or id that is called so or ends so, and
+   and reader comments are marked, by tag, role, or a class or id that is called so, ends so or is a known compound, and
    so are lists of links outside of articles.  A container's text is what it holds without the marked
    parts inside it; a mark around a container takes nothing from it.
 2. A container's path is its chain of tags and classes from the body down, numbers generalised.
@@ -44,7 +44,7 @@ BROADCAST_BYTES = 32 << 20
 
 # HTML elements by what they mean here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math xmp".split())
+RAW = frozenset("script style noscript template textarea title iframe svg xmp".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
@@ -54,10 +54,14 @@ DROPPED_ROLES = frozenset("alert alertdialog banner complementary contentinfo di
 DROPPED_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising alert banner breadcrumb breadcrumbs byline captcha comment comments consent cookie cookies disclaimer disqus feedback footer gdpr header hidden login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion recommended related reply replies respond responses search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar widget widgets".split()
 )
-#: Of these the names that also begin what they mean: comment-list is for comments, but sidebar-right may be a layout.
+#: Of these the names that also begin what they mean, if only the words below follow: comment-list is for comments, but
+#: social-issues is a subject and sidebar-right may be a layout.
 DROPPED_STARTS = frozenset(
     "ad ads adv advert adverts advertisement breadcrumb breadcrumbs comment comments cookie cookies disqus menu nav navbar newsletter pagination popup promo promoted related replies reply respond share sharing social sponsor sponsored subscribe widget".split()
 )
+PART_WORDS = frozenset(
+    "area articles bar block bottom box button buttons column container content count desktop feed form group holder icon icons inner item items label left link links list mobile module outer panel post posts right row section slot space stories thread top unit wrap wrapper zone".split()
+)
 ARTICLE_WORDS = frozenset("article articlebody body content entry main page post story text".split())
 #: An open element that a start tag of the key ends, if nothing of the second set is in between.
 CLOSES = {
@@ -77,7 +81,7 @@ def _names_a_drop(name: str, own_header: bool) -> bool:
     parts = _WORD.findall(name)
     if not parts or own_header and parts[-1] == "header":
         return False
-    return parts[-1] in DROPPED_WORDS or parts[0] in DROPPED_STARTS
+    return parts[-1] in DROPPED_WORDS or parts[0] in DROPPED_STARTS and all(p in PART_WORDS or p in DROPPED_WORDS for p in parts[1:])
 
 
 class Page:

@@ -53,6 +53,11 @@ SHAPES = {
     "list of sources": ('<article><p>See:</p><ul><li><a href=1>One</a></li><li><a href=2>Two</a></li><li><a href=3>Three</a></li></ul></article>', "See: One Two Three"),
     "article around comments and adverts": (
         '<article><p>Body.</p><div class="comment-list"><p>First!</p></div><div id="ad-slot-3">Buy</div><div class="share">Tell</div><form>Name</form></article>', "Body."),
+    "subjects named like parts": (
+        '<article><div class="social-issues"><p>One.</p></div><div class="promoted-text"><p>Two.</p></div><p class="related-work">Three.</p><ul class="menu-of-the-day"><li>Four.</li></ul><p>Let <math><mi>x</mi></math> be.</p></article>',
+        "One. Two. Three. Four. Let x be.",
+    ),
+    "compounds of parts": ('<article><p>Body.</p><div class="related-posts">More</div><div class="ad-slot-top">Buy</div><div class="social-share-buttons">Tell</div><div id="menu-left">Go</div></article>', "Body."),
     "everything in a wrapper named like a dialog": ('<div class="modal"><div class="content"><p>Body text here.</p></div><nav>Menu</nav></div>', "Body text here."),
     "article in parts": (f'<div class="wrap"><article><p>{LONG}</p></article><article><p>Second part.</p></article></div>', f"{LONG}Second part."),
     "broken markup": ("<article><p>One <b>two<p>three</i></div></section> four &lt; &#233; &bogus; <", "One two three four < é &bogus; <"),
