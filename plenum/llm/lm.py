@@ -35,6 +35,8 @@ from pyspark.sql import functions as F
 from plenum.llm import gru
 from plenum.llm.common import materialize
 
+#: Bytes of the longest word that tasks are told of.
+WORD_BYTES = 64
 _BLOCK = 4096  # parameters of a row while means are formed
 _MEAN_OF = 64  # workers whose parameters a task averages at once
 _LANE_TOKENS = 4_000_000  # tokens that a task lays in lanes at once, beside one text of any length
@@ -106,7 +108,8 @@ def _frequent(counts: DataFrame, head: int) -> DataFrame:
 def fit(docs: DataFrame, text: str = "text", vocab: int = 1022, head: int = 131_072, hidden: int = 16, worker_tokens: int = 2_000_000, rounds: int = 1) -> LanguageModel:
     """A model of the given training texts; the recurrent part, too, is trained on every one of them.
 
-    vocab, head: words with a token of their own in the recurrent model, and words whose counts tasks know.
+    vocab, head: words with a token of their own in the recurrent model, and words whose counts tasks know; words of more than
+    ``WORD_BYTES`` have neither, so what is broadcast has a bound in bytes, and find their counts by a join.
     worker_tokens: tokens from which a worker makes one set of parameters; their number grows with the corpus.
     """
     spark = docs.sparkSession
@@ -114,8 +117,8 @@ def fit(docs: DataFrame, text: str = "text", vocab: int = 1022, head: int = 131_
     n_words, distinct = counts.agg(F.sum("c"), F.count("*")).first()
     ends = docs.count()
     n_words = n_words or 0
-    top = [(bytes(r["word"]), r["c"]) for r in _frequent(counts, head).orderBy(F.desc("c"), "word").limit(head).collect()]
-    lexicon = Lexicon({w: i for i, (w, _) in enumerate(top)}, np.array([]), min(vocab, len(top)), ends, n_words + ends, distinct + 1)
+    top = [(bytes(r["word"]), r["c"]) for r in _frequent(counts.where(F.length("word") <= WORD_BYTES), head).orderBy(F.desc("c"), "word").limit(head).collect()]
+    lexicon = Lexicon({w: i for i, (w, _) in enumerate(top)}, np.array([]), min(vocab, len(top)), ends, n_words + ends, distinct + (ends > 0))
     lexicon = Lexicon(lexicon.rank, np.array([lexicon.log10(c) for _, c in top]), lexicon.vocab, ends, lexicon.tokens, lexicon.distinct)
 
     own = np.zeros(-(-(vocab + 2) // gru.WIDTH) * gru.WIDTH)

@@ -32,6 +32,19 @@ def test_without_training_texts(spark):
     docs = spark.createDataFrame([(1, "a b"), (None, None)], "doc_id long, text string")
     rows = lm.score(docs, lm.fit(docs.where("false"))).collect()
     assert {(r["n_tokens"], r["n_known"], r["train_tokens"]) for r in rows} == {(3, 0, 0), (1, 0, 0)}
+    assert all(r["base_score"] == 0 for r in rows)  # no token, no end: 0.5 / (0 + 0.5)
+
+
+def test_long_words_find_their_counts_by_join(spark):
+    long = "x" * 500
+    docs = spark.createDataFrame([(1, f"{long} a {long}"), (2, "a b"), (3, None)], "doc_id long, text string")
+    model = lm.fit(docs)
+    assert long.encode() not in model.lexicon.rank and b"a" in model.lexicon.rank
+    c, total = {long: 2, "a": 2, "b": 1}, 8
+    log = lambda n: math.log10((n + 0.5) / (total + 0.5 * 5))
+    for r in lm.score(docs, model).collect():
+        words = {1: [long, "a", long], 2: ["a", "b"], 3: []}[r.doc_id]
+        assert r.n_known == len(words) + 1 and abs(r.base_score - sum(log(c[w]) for w in words) - log(3)) < 1e-9
 
 
 def _model():
