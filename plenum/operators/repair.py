@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from plenum.functions import civic_text as said
 from plenum.functions.text import collapse
 from plenum.operators import matching
+from plenum.sources.stages import staged
 
 
 @dataclass(frozen=True)
@@ -36,7 +37,8 @@ def consolidate(pairs: DataFrame, cards: DataFrame, outcomes: DataFrame, childre
     A loser's card goes if the survivor has one with its title or one that names the same item, and moves else; other children move.  A
     card that would go but has an outcome makes the pair a conflict, whose rows all keep their place.  outcomes: card, meeting; they follow their card.
     """
-    found = _duplicates(pairs, cards, meeting, card, title)
+    # four frames read it: written once
+    found = staged(_duplicates(pairs, cards, meeting, card, title), "duplicates")
     conflicts = found.join(outcomes.select(card).distinct(), card, "left_semi").select("loser", "survivor", card)
     sound = pairs.join(conflicts.select("loser").distinct(), "loser", "left_anti").select(F.col("loser").alias(meeting), "survivor")
     doomed = found.select(card).withColumn("is_copy", F.lit(True))
