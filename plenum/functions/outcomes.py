@@ -36,6 +36,17 @@ SECTION_START = r"^[A-Z]\s*[.):-]\s*[A-Z][\s\S]{1,100}$"
 SECTION_CAPITALS = r"^[A-Z][A-Z0-9/&,'’() -]{3,100}[.:]?$"
 SEPARATED = r"\b(?:pulled|removed|separate(?:ly)?|continued)\b"
 LONGEST = 700
+# What a listing says comes next, by what was done.
+WITHDRAWN_STEP = "The item was withdrawn, so the body did not act on it."
+RESCINDED_STEP = "The earlier vote was undone, so the item may return for another vote."
+RECONSIDERED_STEP = "The body reopened its earlier vote on this item."
+ADVICE_STEP = "This is an advisory recommendation, not a final county decision."
+ADVISORY_STEP = "This is an advisory action, not a final county decision."
+BOARD_STEP = "This was a committee action, not final approval by the Board of Supervisors."
+COMMITTEE_STEP = "This was a committee action, not final approval by the next legislative body."
+FAILED_STEP = "The recommendation did not advance."
+TO_BOARD_STEP = "The item advances to the full Board of Supervisors for further action."
+ONWARD_STEP = "The item advances to the next legislative body for further action."
 
 
 def _has(text: Column, pattern: str) -> Column:
@@ -148,21 +159,20 @@ def interpret(action: Column, result: Column, title: Column, is_advisory: Column
 def _decided(act: Column, res: Column, source: Column, of: Column, title: Column, is_advisory: Column, full_board: Column) -> Column:
     failed = _has(source, FAILURE)
     told = lambda k, status, head, step: F.struct(F.lit(k).alias("kind") if isinstance(k, str) else k.alias("kind"), F.lit(status).alias("status") if isinstance(status, str) else status.alias("status"), (F.lit(head) if isinstance(head, str) else head).alias("headline"), (F.lit(step).cast("string") if step is None or isinstance(step, str) else step).alias("next_step"))
-    advice = "This is an advisory recommendation, not a final county decision."
-    not_final = F.when(full_board, "This was a committee action, not final approval by the Board of Supervisors.").otherwise("This was a committee action, not final approval by the next legislative body.")
-    onward = F.when(failed, "The recommendation did not advance.").when(full_board, "The item advances to the full Board of Supervisors for further action.").otherwise("The item advances to the next legislative body for further action.")
+    not_final = F.when(full_board, BOARD_STEP).otherwise(COMMITTEE_STEP)
+    onward = F.when(failed, FAILED_STEP).when(full_board, TO_BOARD_STEP).otherwise(ONWARD_STEP)
     none = _has(source, r"\bno action(?: taken)?\b")
     passed_in_committee = _has(title, r"\bcommittee\b") & _has(source, r"\bpass(?:ed)?\b")
     plain = F.when(of != "other", of).when(none, "no_action").when(_has(source, r"\b(?:directed|provided direction|gave direction)\b"), "direction").otherwise("recorded")
     return (
-        F.when(_has(source, WITHDRAWN_ITEM), told("other", "withdrawn", "Withdrawn from the agenda", "The item was withdrawn, so the body did not act on it."))
-        .when(_has(source, RESCINDED_VOTE), told("other", "rescinded", "Previous vote rescinded", "The earlier vote was undone, so the item may return for another vote."))
-        .when(_has(source, RECONSIDERED_VOTE), told("other", "reconsidered", "Previous vote reconsidered", "The body reopened its earlier vote on this item."))
+        F.when(_has(source, WITHDRAWN_ITEM), told("other", "withdrawn", "Withdrawn from the agenda", WITHDRAWN_STEP))
+        .when(_has(source, RESCINDED_VOTE), told("other", "rescinded", "Previous vote rescinded", RESCINDED_STEP))
+        .when(_has(source, RECONSIDERED_VOTE), told("other", "reconsidered", "Previous vote reconsidered", RECONSIDERED_STEP))
         .when(is_advisory & (of == "continued"), told("continued", "continued", headline(F.lit("continued"), source), next_step(source, F.lit("continued"))))
-        .when(is_advisory & (of == "approved"), told("other", "recommended", "Recommended approval", advice))
-        .when(is_advisory & (of == "rejected"), told("other", "recommended", "Recommended denial", advice))
-        .when(is_advisory & (of == "amended"), told("other", "recommended", "Recommendation amended", advice))
-        .when(is_advisory, told("other", "recorded", F.when(none, "No recommendation made").otherwise("Advisory action recorded"), "This is an advisory action, not a final county decision."))
+        .when(is_advisory & (of == "approved"), told("other", "recommended", "Recommended approval", ADVICE_STEP))
+        .when(is_advisory & (of == "rejected"), told("other", "recommended", "Recommended denial", ADVICE_STEP))
+        .when(is_advisory & (of == "amended"), told("other", "recommended", "Recommendation amended", ADVICE_STEP))
+        .when(is_advisory, told("other", "recorded", F.when(none, "No recommendation made").otherwise("Advisory action recorded"), ADVISORY_STEP))
         .when(_has(act, r"\brecommend(?:ed|ation)?\b"), told("other", "recommended", F.when(failed, "Recommendation failed").otherwise("Recommended for approval"), onward))
         .when(_has(act, r"\bheard\s+and\s+filed\b"), told("other", "heard_and_filed", "Heard and filed", None))
         .when(_has(source, r"\b(?:amend(?:ed|ment|ments)?|continued|postponed|tabled|deferred|referred)\b") & _has(res, FAILURE), told("rejected", "rejected", headline(F.lit("rejected"), res), None))
