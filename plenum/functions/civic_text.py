@@ -175,11 +175,17 @@ def official_status(signal: Column) -> Column:
 
 def item_tokens(title: Column) -> Column:
     """Distinct words that identify an agenda item, respelled and without marks."""
-    text = folded(title)
-    for pattern, word in RESPELLED:
-        text = F.regexp_replace(text, pattern, word)
-    bare = F.split(F.regexp_replace(text, r"[^a-z0-9.]+", " "), " ")
-    return F.array_except(F.array_distinct(bare), F.array(*[F.lit(w) for w in ["", *NOT_IDENTITY]]))
+
+    def respelled(text: Column) -> Column:
+        out = text
+        for pattern, word in RESPELLED:
+            out = F.regexp_replace(out, pattern, word)
+        # most titles have none of these words, and one look tells
+        return F.when(text.rlike("|".join(p for p, _ in RESPELLED)), out).otherwise(text)
+
+    text = F.transform(F.array(folded(title)), respelled)[0]
+    words = F.regexp_extract_all(text, F.lit(r"[a-z0-9.]+"), F.lit(0))
+    return F.array_except(F.array_distinct(words), F.array(*[F.lit(w) for w in NOT_IDENTITY]))
 
 
 def agenda_number(number: Column) -> Column:

@@ -36,11 +36,22 @@ def fold_marks(text: str) -> str:
 
 def folded(text: Column) -> Column:
     """``fold_marks`` of a text, in the JVM; empty for null."""
-    lower = F.translate(F.lower(F.coalesce(text, F.lit(""))), "".join(_TO_PLAIN), "".join(_ONE[c] for c in _TO_PLAIN))
+    # bound, so that the text is folded once, however often the result is looked at
+    return F.transform(F.array(without_marks(text)), spelled_out)[0]
+
+
+def without_marks(text: Column) -> Column:
+    """Lower case without marks, but for characters that several letters stand for; empty for null."""
+    return F.translate(F.lower(F.coalesce(text, F.lit(""))), "".join(_TO_PLAIN), "".join(_ONE[c] for c in _TO_PLAIN))
+
+
+def spelled_out(lower: Column) -> Column:
+    """``without_marks`` with the letters that its other characters stand for."""
     spelled = lower
     for c, letters in _MORE.items():
         spelled = F.replace(spelled, F.lit(c), F.lit(letters))
-    return F.when(lower.rlike("[" + "".join(_MORE) + "]"), spelled).otherwise(lower)
+    # what has no more bytes than characters is plain already
+    return F.when(F.octet_length(lower) == F.length(lower), lower).when(lower.rlike("[" + "".join(_MORE) + "]"), spelled).otherwise(lower)
 
 
 def search_tokens(text: Column) -> Column:

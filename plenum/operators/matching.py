@@ -3,7 +3,8 @@
 Word sets meet through their rarest words only.  If two sets share k words of the smaller, which has m, then one of its m - k + 1
 rarest words is among the shared ones; so the smaller set asks with those, and the other answers with all of its words.
 Copies are one class of their block until the end: the pairs compared are pairs of different word sets, however many rows have them.
-A word that many sets of a block hold is asked for only by sets that have no rarer ones.
+A word that many sets of a block hold is asked for only by sets that have no rarer ones.  Each set carries marks of its words, so that
+sets which lack too many of another's are told where they meet, before a pair of them is written or their words are fetched.
 """
 
 from __future__ import annotations
@@ -17,34 +18,61 @@ from plenum.functions import civic_text as said
 from plenum.functions.text import collapse, numbers_conflict
 from plenum.sources.stages import staged
 
+#: Longs of 64 bits that mark a set's words.
+MARKS = 4
+
 
 def classes(df: DataFrame, block: Sequence[str], key: str, tokens: str) -> DataFrame:
     """(block, set, tokens, rows, first): the different word sets of each block, how many rows have each, and their smallest key."""
     sets = df.select(*block, F.col(key).alias("key"), F.array_sort(F.array_distinct(F.col(tokens))).alias("tokens")).where("size(tokens) > 0")
     grouped = sets.groupBy(*block, "tokens").agg(F.count("*").alias("rows"), F.min("key").alias("first"))
-    # a set's name within its block; two sets with one name would only meet as a pair that fails the rule
-    return grouped.withColumn("set", F.xxhash64("tokens"))
-
-
-def _asked(mine: DataFrame, theirs: DataFrame, block: Sequence[str], wanted: Callable[[Column], Column]) -> DataFrame:
-    """(block, set, theirs): pairs of sets where one of mine's rarest words, all but ``wanted(size) - 1`` of them, is in a set of theirs."""
-    words = theirs.select(*block, F.col("set").alias("other"), F.explode("tokens").alias("word"))
-    often = words.groupBy(*block, "word").agg(F.count("*").alias("often"))
-    own = mine.select(*block, "set", F.size("tokens").alias("size"), F.explode("tokens").alias("word")).join(often, [*block, "word"], "left")
+    # a set's name; two sets with one name would only meet as a pair that fails the rule
+    return grouped.withColumn("set", F.xxhash64(*block, "tokens"))
+
+
+def _marked(sets: DataFrame) -> DataFrame:
+    """Classes with ``MARKS`` longs that have a bit for each word: a bit that another set lacks stands for a word that it lacks."""
+    bits = sets.withColumn("bits", F.transform("tokens", lambda w: F.xxhash64(w).bitwiseAND(F.lit(64 * MARKS - 1)).cast("int")))
+    none = F.lit(0).cast("long")
+    of = lambda j: F.aggregate("bits", none, lambda a, b: F.when(F.shiftright(b, 6) == j, a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), b.bitwiseAND(F.lit(63))))).otherwise(a))
+    return bits.withColumns({f"m{j}": of(j) for j in range(MARKS)}).drop("bits")
+
+
+def _asked(left: DataFrame, right: DataFrame, block: Sequence[str], wanted: Callable[[Column], Column]) -> DataFrame:
+    """(set, other): pairs where one of the smaller set's rarest words, all but ``wanted(size) - 1`` of them, is in the other, and marks don't tell that too few are."""
+    marks = [f"m{j}" for j in range(MARKS)]
+    of = lambda df, is_left: df.select(F.lit(is_left).alias("is_left"), "set", F.size("tokens").alias("size"), *marks, F.explode("tokens").alias("word"), *block)
+    # the hash of a block's word finds pairs only, which are compared whole, block and words
+    words = of(left, True).union(of(right, False)).select("is_left", "set", "size", *marks, F.xxhash64(*block, "word").alias("at"))
+    at = Window.partitionBy("at")
+    there = F.when(F.col("is_left"), F.sum(F.when(~F.col("is_left"), 1).otherwise(0)).over(at)).otherwise(F.sum(F.when(F.col("is_left"), 1).otherwise(0)).over(at))
+    met = words.withColumn("often", there).where("often > 0")
+    own = Window.partitionBy("is_left", "set")
     # words that the other side lacks come first: they are asked for in vain, and cost nothing
-    place = F.row_number().over(Window.partitionBy(*block, "set").orderBy(F.coalesce("often", F.lit(0)), "word"))
-    rare = own.withColumn("place", place).where((F.col("place") <= F.col("size") - wanted(F.col("size")) + 1) & F.col("often").isNotNull())
-    return rare.select(*block, "set", "word").join(words, [*block, "word"]).select(*block, "set", "other").distinct()
+    place = F.col("size") - F.count("*").over(own) + F.row_number().over(own.orderBy("often", "at"))
+    rare = met.withColumn("place", place).where(F.col("place") <= F.col("size") - wanted(F.col("size")) + 1)
+    asks = rare.select("at", *[F.col(c).alias(f"my_{c}") for c in ("is_left", "set", "size", *marks)])
+    lacking = sum((F.bit_count(F.col(f"my_{m}").bitwiseAND(F.bitwise_not(F.col(m)))) for m in marks), F.lit(0))
+    smaller = (F.col("my_size") < F.col("size")) | (F.col("my_size") == F.col("size")) & F.col("my_is_left")
+    found = asks.join(met, "at").where((F.col("my_is_left") != F.col("is_left")) & smaller & (lacking <= F.col("my_size") - wanted(F.col("my_size"))))
+    pick = lambda a, b: F.when(F.col("my_is_left"), F.col(a)).otherwise(F.col(b))
+    return found.select(pick("my_set", "set").alias("set"), pick("set", "my_set").alias("other")).distinct()
+
+
+def _paired(named: DataFrame, left: DataFrame, right: DataFrame, block: Sequence[str]) -> DataFrame:
+    """Pairs of names as pairs of classes of one block."""
+    l = left.select(*block, "set", F.col("tokens").alias("lt"), F.col("rows").alias("l_rows"), F.col("first").alias("l_first"))  # noqa: E741
+    r = right.select(*[F.col(b).alias(f"r_{i}") for i, b in enumerate(block)], F.col("set").alias("other"), F.col("tokens").alias("rt"), F.col("rows").alias("r_rows"), F.col("first").alias("r_first"))
+    same = F.lit(True)
+    for i, b in enumerate(block):
+        same = same & (F.col(b) == F.col(f"r_{i}"))
+    return named.join(l, "set").join(r, "other").where(same).drop("set", "other", *[f"r_{i}" for i in range(len(block))])
 
 
-def class_pairs(left: DataFrame, right: DataFrame, block: Sequence[str], wanted: Callable[[Column], Column], smaller_only: bool = True) -> DataFrame:
+def class_pairs(left: DataFrame, right: DataFrame, block: Sequence[str], wanted: Callable[[Column], Column]) -> DataFrame:
     """(block, lt, rt, l_rows, l_first, r_rows, r_first): pairs of word sets of which the smaller has ``wanted(its size)`` words in common with the other, and perhaps others."""
-    a = _asked(left, right, block, wanted)
-    b = _asked(right, left, block, wanted).select(*block, F.col("other").alias("set"), F.col("set").alias("other"))
-    pairs = a.union(b).distinct()
-    l = left.select(*block, "set", F.col("tokens").alias("lt"), F.col("rows").alias("l_rows"), F.col("first").alias("l_first"))  # noqa: E741
-    r = right.select(*block, F.col("set").alias("other"), F.col("tokens").alias("rt"), F.col("rows").alias("r_rows"), F.col("first").alias("r_first"))
-    return pairs.join(l, [*block, "set"]).join(r, [*block, "other"]).drop("set", "other")
+    l, r = staged(_marked(left), "left"), staged(_marked(right), "right")  # noqa: E741
+    return _paired(_asked(l, r, block, wanted), l, r, block)
 
 
 def _at_least(share: float, shared: int) -> Callable[[Column], Column]:
@@ -95,11 +123,12 @@ def same_item_classes(left: DataFrame, right: DataFrame, block: Sequence[str]) -
     Titles that differ in rewording words alone are alike without those, so they meet by an equi-join; of a title that expands another, the
     shorter has all its words in the other, so its rarest one finds it.
     """
+    l, r = staged(_marked(left), "left"), staged(_marked(right), "right")  # noqa: E741
     reworded = F.array_except("tokens", F.array(*[F.lit(w) for w in said.REWORDING]))
-    side = lambda df, t, n, f: df.select(*block, reworded.alias("bare"), F.col("tokens").alias(t), F.col("rows").alias(n), F.col("first").alias(f))
-    alike = side(left, "lt", "l_rows", "l_first").join(side(right, "rt", "r_rows", "r_first"), [*block, "bare"]).drop("bare")
-    expanded = class_pairs(left, right, block, lambda size: size)
-    return alike.unionByName(expanded).where(said.same_item(F.col("lt"), F.col("rt"))).distinct()
+    bare = lambda df, name: df.select(F.xxhash64(*block, reworded).alias("bare"), F.col("set").alias(name))
+    alike = bare(l, "set").join(bare(r, "other"), "bare").select("set", "other")
+    named = alike.union(_asked(l, r, block, lambda size: size)).distinct()
+    return _paired(named, l, r, block).where(said.same_item(F.col("lt"), F.col("rt")))
 
 
 # Claims
@@ -135,7 +164,7 @@ def adopt_children(target: DataFrame, source: DataFrame, parent: str, key: str,
     cards = source.select(F.col(key).alias("card_id"), F.col(order).alias("ord"), F.col(parent).alias("parent"), *[c.alias(n) for n, c in sides.items()])
     once = F.when(F.col("has"), F.struct(F.col("identity").alias("a"), F.lit("").alias("b"), F.lit(True).alias("c"))).otherwise(F.struct(F.col("at").alias("a"), F.col("link").alias("b"), F.lit(False).alias("c")))
     cards = staged(cards.withColumn("n", F.row_number().over(Window.partitionBy("parent", once).orderBy("ord", "card_id"))).where("n = 1").drop("n"), "cards")
-    rows = target.select(F.col(key).alias("row_id"), F.col(parent).alias("parent"), *[c.alias(n) for n, c in sides.items()])
+    rows = staged(target.select(F.col(key).alias("row_id"), F.col(parent).alias("parent"), *[c.alias(n) for n, c in sides.items()]), "rows")
     claims = cards.where("has").join(rows.where("has"), ["parent", "identity"]).select("row_id", "card_id", F.lit("identity").alias("rule"))
     # an identity that several stored rows have goes to the last of them
     claims = staged(claims.groupBy("card_id", "rule").agg(F.max("row_id").alias("row_id")).select("row_id", "card_id", "rule"), "identity")
@@ -166,9 +195,9 @@ def match_cascade(cards: DataFrame, items: DataFrame, block: str, key: str, item
     several narrow the choice to them; none, while the block has numbered items, ends without a match.  Last the title, guarded.
     """
     clean = lambda c: F.when(F.trim(F.col(c)) != "", F.trim(F.col(c)))
-    asks = cards.select(F.col(block).alias("block"), F.col(key).alias("k"), clean(url).alias("u"), said.agenda_number(F.col(number)).alias("n"), said.item_tokens(F.col(title)).alias("tokens"))
+    asks = staged(cards.select(F.col(block).alias("block"), F.col(key).alias("k"), clean(url).alias("u"), said.agenda_number(F.col(number)).alias("n"), said.item_tokens(F.col(title)).alias("tokens")), "asks")
     urls = F.col(url) if items.schema[url].dataType.typeName() == "array" else F.array(F.col(url))
-    has = items.select(F.col(block).alias("block"), F.col(item_key).alias("i"), F.array_distinct(F.transform(urls, lambda u: F.trim(u))).alias("us"), said.agenda_number(F.col(number)).alias("n"), said.item_tokens(F.col(title)).alias("tokens"))
+    has = staged(items.select(F.col(block).alias("block"), F.col(item_key).alias("i"), F.array_distinct(F.transform(urls, lambda u: F.trim(u))).alias("us"), said.agenda_number(F.col(number)).alias("n"), said.item_tokens(F.col(title)).alias("tokens")), "has")
     by_url = has.select("block", "i", F.explode("us").alias("u")).where("u IS NOT NULL AND u <> ''").groupBy("block", "u").agg(F.count("*").alias("many"), F.min("i").alias("i")).where("many = 1").drop("many")
     numbers = has.where("n IS NOT NULL").groupBy("block", "n").agg(F.count("*").alias("same"), F.min("i").alias("by_number"))
     numbered = numbers.select("block").distinct().withColumn("is_numbered", F.lit(True))

@@ -183,3 +183,16 @@ def test_contained_titles_lose_no_pair(spark):
             want[i] = min(fits)[1]
     out = joins.duplicate_pairs(df, "id", ["block"], "title", F.col("bad"))
     assert {r.duplicate: r.canonical for r in out.collect()} == want and len(want) > 50
+
+
+def test_sets_that_lack_too_many_words_are_not_paired(spark):
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(40)]
+    sets = spark.createDataFrame([(i, "m", sorted(rng.sample(words, 10))) for i in range(400)], "id int, block string, tokens array<string>")
+    side = lambda cond: matching._marked(matching.classes(sets.where(cond), ["block"], "id", "tokens"))
+    named = matching._asked(side("id < 200"), side("id >= 200"), ["block"], lambda size: size - 4)
+    share = lambda df, name, t: df.select(F.col("set").alias(name), F.col("tokens").alias(t))
+    pairs = share(side("id < 200"), "set", "lt").crossJoin(share(side("id >= 200"), "other", "rt")).where(F.size(F.array_intersect("lt", "rt")) >= 6)
+    want, found = ({(r.set, r.other) for r in df.select("set", "other").collect()} for df in (pairs, named))
+    # of 40,000 pairs nearly all share one of the words asked for
+    assert want and want <= found and len(found) < 2 * len(want) + 100
