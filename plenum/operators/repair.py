@@ -56,7 +56,8 @@ def consolidate(pairs: DataFrame, cards: DataFrame, outcomes: DataFrame, childre
 
 def _duplicates(pairs: DataFrame, cards: DataFrame, meeting: str, card: str, title: str) -> DataFrame:
     """(loser, survivor, card): cards of losers that the survivor has too."""
-    titled = cards.select(F.col(meeting), F.col(card), _norm(title).alias("plain"), said.item_tokens(F.col(title)).alias("tokens"))
+    # both sides read it: the words of a title are made once
+    titled = staged(cards.select(F.col(meeting), F.col(card), _norm(title).alias("plain"), said.item_tokens(F.col(title)).alias("tokens")), "titled")
     losing = titled.join(pairs.select(F.col("loser").alias(meeting), "survivor"), meeting).withColumnRenamed(meeting, "loser")
     staying = titled.join(pairs.select(F.col("survivor").alias(meeting)).distinct(), meeting).withColumnRenamed(meeting, "survivor")
     same_title = losing.join(staying.select("survivor", "plain").distinct(), ["survivor", "plain"], "left_semi").select("loser", "survivor", card)
