@@ -18,26 +18,36 @@ def _pattern(query: str) -> str | None:
     return r"[^\p{L}\p{N}]+".join(re.escape(w) for w in words) if words else None
 
 
+def _bind(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once a row, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def first_match(text: Column, query: str) -> Column:
     """(start, length) of the first place of a query, in characters from 0: as it is spelled, in any case, else by its words without marks; null for none."""
     needle = query.strip().lower()
     exact = F.instr(F.lower(text), needle)
     pattern = _pattern(query)
-    hit = F.struct((exact - 1).alias("start"), F.lit(len(needle)).alias("length"))
+    hit = lambda exact: F.struct((exact - 1).alias("start"), F.lit(len(needle)).alias("length"))
     if not needle:
         return F.lit(None).cast("struct<start:int,length:int>")
     if pattern is None:
-        return F.when(exact > 0, hit)
-    # ligatures would move what stands behind them, so they stay
-    plain = F.when(F.length(folded(text)) == F.length(text), folded(text)).otherwise(F.lower(text))
-    at = F.regexp_instr(plain, F.lit(pattern))
-    return F.when(exact > 0, hit).when(at > 0, F.struct((at - 1).alias("start"), F.length(F.regexp_extract(plain, f"({pattern})", 1)).alias("length")))
+        return _bind(exact, lambda e: F.when(e > 0, hit(e)))
+
+    def by_words(plain: Column) -> Column:
+        found = lambda at: F.when(at > 0, F.struct((at - 1).alias("start"), F.length(F.regexp_extract(plain, f"({pattern})", 1)).alias("length")))
+        return _bind(F.regexp_instr(plain, F.lit(pattern)), found)
+
+    # a text that has the query as it is spelled is not folded at all; ligatures would move what stands behind them, so they stay
+    whole = lambda told: F.when(F.length(told) == F.length(text), told).otherwise(F.lower(text))
+    plain = _bind(folded(text), whole)
+    return _bind(exact, lambda e: F.when(e > 0, hit(e)).otherwise(_bind(plain, by_words)))
 
 
 def excerpt(text: Column, query: str, most: int = 180) -> Column:
     """So many characters of a text around the first place of a query, cut at spaces, two fifths of the room before it; null without a match, the whole of a short text."""
-    content = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
-    bind = lambda value, use: F.transform(F.array(value), use)[0]
+    # single spaces, which most are, stay as they are
+    content = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s{2,}|[\t\n\x0B\f\r]", " "))
 
     def around(t: Column) -> Column:
         c, m, size = t["c"], t["m"], F.length(t["c"])
@@ -54,4 +64,4 @@ def excerpt(text: Column, query: str, most: int = 180) -> Column:
         cut = F.concat(F.when(begin > 0, ELLIPSIS).otherwise(""), F.substring(c, begin + 1, stop - begin), F.when(stop < size, ELLIPSIS).otherwise(""))
         return F.when(m.isNotNull(), F.when(size <= most, c).otherwise(cut))
 
-    return bind(content, lambda c: bind(F.struct(c.alias("c"), first_match(c, query).alias("m")), around))
+    return _bind(content, lambda c: _bind(F.struct(c.alias("c"), first_match(c, query).alias("m")), around))

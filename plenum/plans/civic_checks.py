@@ -33,8 +33,8 @@ w AS (SELECT *, instr(substr(c, beg + 1), ' ') AS space, CASE WHEN contains(subs
 x AS (SELECT *, CASE WHEN beg > 0 AND space > 0 AND beg + space - 1 < s THEN beg + space ELSE beg END AS begin, CASE WHEN fin < size AND back > s + n THEN back ELSE fin END AS stop FROM w)
 SELECT doc_id, CASE WHEN size <= 180 THEN c ELSE CASE WHEN begin > 0 THEN '…' ELSE '' END || substr(c, begin + 1, stop - begin) || CASE WHEN stop < size THEN '…' ELSE '' END END AS excerpt FROM x""")
 def search_excerpts(spark, sf_dir):
-    found = table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", highlight.excerpt(F.col("text"), "Es, En").alias("excerpt"))
-    return found.where("excerpt IS NOT NULL")
+    # a filter beside the projection would make each excerpt twice
+    return table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.explode(F.array_compact(F.array(highlight.excerpt(F.col("text"), "Es, En")))).alias("excerpt"))
 
 
 _CLAIMS = r"list_sort(list_transform(regexp_extract_all({}, '[$€£¥]?\s*\d+(?:[.,]\d+)*(?:\s*%)?'), lambda c: regexp_extract(c, '[$€£¥]') || array_to_string(regexp_extract_all(c, '\d+'), ':') || CASE WHEN contains(c, '%') THEN '%' ELSE '' END))"

@@ -135,3 +135,33 @@ def test_leaks_and_releases(spark):
 def test_union_by_id(spark):
     a, b = spark.createDataFrame([(1, "x"), (2, None)], "id int, v string"), spark.createDataFrame([(2, "y", 5), (3, "z", None), (3, "w", 1)], "id int, v string, more int")
     assert sorted(map(tuple, upkeep.union_by_id([a, b], "id").collect())) == [(1, "x", None), (2, None, None), (3, "w", 1)]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_an_excerpt_folds_its_text_once(spark):
+    from plenum.functions import highlight
+
+    df = spark.createDataFrame([("Meses,\tenero",), ("Mesés - énero",), ("es  ,\n en",), (None,), ("Es, En\nb",)], "t string").select(highlight.excerpt(F.col("t"), "Es, En").alias("e"))
+    assert [r.e for r in df.collect()] == ["Meses, enero", "Mesés - énero", "es , en", None, "Es, En b"]
+    assert _plan(df).count("translate(") == 1
+
+
+def test_leaks_shuffle_no_links(spark):
+    from plenum.operators import upkeep
+
+    rows = [("a", "2026-01-01", "u1"), ("b", "2026-01-02", "u1"), ("c", "2026-01-02", "u2"), ("d", None, "u1"), ("e", "2026-01-01", None)]
+    links = spark.createDataFrame(rows, "meeting string, day string, url string")
+    stay, leak = upkeep.without_leaked(links, "meeting", "day", "url", F.when(F.col("url") == "u1", "2026-01-01"))
+    assert sorted(r.meeting for r in stay.collect()) == ["a", "c", "e"] and sorted(r.meeting for r in leak.collect()) == ["b", "d"]
+    for df in (stay, leak):
+        assert "hashpartitioning" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_titles_of_a_pair_are_tokenized_once(spark):
+    from plenum.plans import registry
+
+    plan = _plan(registry.QUERIES["same_item"](spark, "/root/testdata/sf0.001"))
+    assert plan.count("translate(") == 2
