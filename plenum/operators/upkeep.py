@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plenum.operators.bands import last_at_or_before
+from plenum.sources.readers import LOOKUP_ROWS
+from plenum.sources.stages import staged
 
 #: Characters that a stored text of each type keeps.
 STORED_CHARS = {"Minutes": 2_000_000, "raw": 4_000}
@@ -128,10 +130,14 @@ def union_by_id(frames: Sequence[DataFrame], key: str) -> DataFrame:
 
 def without_leaked(links: DataFrame, meeting: str, day: str, url: str, url_day: Column) -> tuple[DataFrame, DataFrame]:
     """(links that stay, links that leak): a url that names a day and is linked from meetings of several days belongs to that day's alone."""
-    several = links.groupBy(url).agg(F.min(day).alias("least_day"), F.max(day).alias("most_day")).where("least_day <> most_day").select(url, F.lit(True).alias("is_shared"))
-    told = links.withColumn("named_day", url_day).join(several, url, "left")
-    leaks = F.coalesce(F.col("is_shared"), F.lit(False)) & F.col("named_day").isNotNull() & ~F.col("named_day").eqNullSafe(F.col(day))
-    return told.where(~leaks).select(*links.columns), told.where(leaks).select(*links.columns, "named_day")
+    days = links.select(url, day).where(F.col(url).isNotNull()).distinct()
+    several = staged(days.groupBy(url).agg(F.min(day).alias("least_day"), F.max(day).alias("most_day")).where("least_day <> most_day").select(url), "several")
+    # links of a url that names no other day stay, whatever else links it; where few urls are shared, no link is shuffled for them
+    shared = F.broadcast(several) if several.count() <= LOOKUP_ROWS else several
+    told = links.withColumn("named_day", url_day)
+    other = F.col("named_day").isNotNull() & ~F.col("named_day").eqNullSafe(F.col(day))
+    stay = told.where(~other).union(told.where(other).join(shared, url, "left_anti").select(*told.columns))
+    return stay.select(*links.columns), told.where(other).join(shared, url, "left_semi").select(*links.columns, "named_day")
 
 
 def folded_releases(meetings: DataFrame, key: Sequence[str], meeting: str, is_release: Column, has_agenda: Column, documents: str, text: str) -> DataFrame:
