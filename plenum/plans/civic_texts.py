@@ -123,7 +123,9 @@ def same_item(spark, sf_dir):
     n, key = len(TITLES), F.col("p_partkey")
     places = table(spark, sf_dir, "part", "p_partkey", "p_name").select("p_partkey", "p_name", (key % n).cast("int").alias("l"), (F.floor(key / n) % n).cast("int").alias("r"))
     title = lambda c: said.item_tokens(F.concat_ws(" ", _pick(TITLES, F.col(c)), "p_name"))
-    return places.where(said.same_item(title("l"), title("r"))).select("p_partkey", "l", "r")
+    # the tokens come out of a generator, so that they are made once a row and not for each use in the rule
+    told = places.select("p_partkey", "l", "r", F.inline(F.array(F.struct(title("l").alias("lt"), title("r").alias("rt")))))
+    return told.where(said.same_item(F.col("lt"), F.col("rt"))).select("p_partkey", "l", "r")
 
 
 @query("meeting_search", with_roles("""SELECT meeting_id, CASE WHEN contains(lower(title), '0012') THEN 'title' WHEN lower(body) LIKE 'build%' THEN 'type' END AS field FROM meetings
