@@ -66,7 +66,7 @@ def clean(text: Column) -> Column:
 def normal_lines(text: Column) -> Column:
     """A text with plain line breaks and spaces, at most one empty line in a row, trimmed."""
     out = F.regexp_replace(F.coalesce(text, F.lit("")), r"\r\n?", "\n")
-    for pattern, by in ((r" ", " "), (r"[ \t]+", " "), (r" *\n *", "\n"), (r"\n{3,}", "\n\n")):
+    for pattern, by in ((r" ", " "), (r"[ \t]{2,}|\t", " "), (r" +\n *|\n +", "\n"), (r"\n{3,}", "\n\n")):
         out = F.regexp_replace(out, pattern, by)
     return F.regexp_replace(out, r"^\s+|\s+$", "")
 

@@ -167,3 +167,15 @@ def test_result_texts_of_whole_documents(spark):
     found = {r.doc_id: r.result for r in civic_outcomes.result_texts(spark, DATA).collect()}
     assert {k: found[k] for k in want if found[k] != want[k]} == {}
     assert sum(v is not None for v in want.values()) > 50
+
+
+def test_large_sections_meet_their_items_by_word(spark, monkeypatch):
+    text = "A. Call to Order\nConsent Calendar\n4.1 Lease of the harbor office\n4.2 Paint of bridge rails\nACTION: Motion to approve the consent calendar passed 5-0.\n\nC. Public Hearings"
+    minutes = spark.createDataFrame([("m", text)], "meeting string, text string")
+    rows = [("m", "a", "4.1", "Lease of the harbor office", "Consent Calendar"), ("m", "b", "4.2", "Purchase of fire engines abroad", "Consent Calendar")]
+    items = spark.createDataFrame(rows, "meeting string, item string, number string, title string, item_type string")
+    found = []
+    for most in (0, 2_000):
+        monkeypatch.setattr(consent, "WHOLE_SECTION", most)
+        found.append([tuple(r) for r in consent.consent_results(minutes, items, "meeting", "item").collect()])
+    assert found[0] == found[1] and [r[0] for r in found[0]] == ["a"]
