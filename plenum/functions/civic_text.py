@@ -5,6 +5,8 @@ Words of subjects stand in plain lists, with ``*`` for any ending; a text has a
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -173,6 +175,13 @@ def official_status(signal: Column) -> Column:
     return out
 
 
+def _start(pattern: str) -> str:
+    """The plain characters that each match of a pattern of ``RESPELLED`` starts with."""
+    plain = re.match(r"[a-z &]+", pattern.removeprefix(r"\b"))[0]
+    # the last one may be optional
+    return plain[:-1] if pattern.removeprefix(r"\b")[len(plain):].startswith(("?", "*")) else plain
+
+
 def item_tokens(title: Column) -> Column:
     """Distinct words that identify an agenda item, respelled and without marks."""
 
@@ -180,8 +189,11 @@ def item_tokens(title: Column) -> Column:
         out = text
         for pattern, word in RESPELLED:
             out = F.regexp_replace(out, pattern, word)
-        # most titles have none of these words, and one look tells
-        return F.when(text.rlike("|".join(p for p, _ in RESPELLED)), out).otherwise(text)
+        # most titles have none of these words, and a search for what a pattern starts with tells before the pattern is tried
+        found = F.lit(False)
+        for pattern, _ in RESPELLED:
+            found = found | (F.contains(text, F.lit(_start(pattern))) & text.rlike(pattern))
+        return F.when(found, out).otherwise(text)
 
     text = F.transform(F.array(folded(title)), respelled)[0]
     words = F.regexp_extract_all(text, F.lit(r"[a-z0-9.]+"), F.lit(0))

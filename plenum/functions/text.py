@@ -36,13 +36,18 @@ def fold_marks(text: str) -> str:
 
 def folded(text: Column) -> Column:
     """``fold_marks`` of a text, in the JVM; empty for null."""
-    # bound, so that the text is folded once, however often the result is looked at
-    return F.transform(F.array(without_marks(text)), spelled_out)[0]
+    # bound, so that the text is folded once, however often the result is looked at; what has no more bytes than characters has no marks
+    lower = F.transform(F.array(F.lower(F.coalesce(text, F.lit("")))), lambda t: F.when(F.octet_length(t) == F.length(t), t).otherwise(_unmarked(t)))
+    return F.transform(lower, spelled_out)[0]
 
 
 def without_marks(text: Column) -> Column:
     """Lower case without marks, but for characters that several letters stand for; empty for null."""
-    return F.translate(F.lower(F.coalesce(text, F.lit(""))), "".join(_TO_PLAIN), "".join(_ONE[c] for c in _TO_PLAIN))
+    return _unmarked(F.lower(F.coalesce(text, F.lit(""))))
+
+
+def _unmarked(lower: Column) -> Column:
+    return F.translate(lower, "".join(_TO_PLAIN), "".join(_ONE[c] for c in _TO_PLAIN))
 
 
 def spelled_out(lower: Column) -> Column:

@@ -38,6 +38,11 @@ def _marked(sets: DataFrame) -> DataFrame:
     return bits.withColumns({f"m{j}": of(j) for j in range(MARKS)}).drop("bits")
 
 
+def listed(sets: DataFrame, name: str = "listed") -> DataFrame:
+    """Classes written with their marks; those that are so already are as they were, so that several searches share them."""
+    return sets if "m0" in sets.columns else staged(_marked(sets), name)
+
+
 def _asked(left: DataFrame, right: DataFrame, block: Sequence[str], wanted: Callable[[Column], Column]) -> DataFrame:
     """(set, other): pairs where one of the smaller set's rarest words, all but ``wanted(size) - 1`` of them, is in the other, and marks don't tell that too few are."""
     marks = [f"m{j}" for j in range(MARKS)]
@@ -71,7 +76,7 @@ def _paired(named: DataFrame, left: DataFrame, right: DataFrame, block: Sequence
 
 def class_pairs(left: DataFrame, right: DataFrame, block: Sequence[str], wanted: Callable[[Column], Column]) -> DataFrame:
     """(block, lt, rt, l_rows, l_first, r_rows, r_first): pairs of word sets of which the smaller has ``wanted(its size)`` words in common with the other, and perhaps others."""
-    l, r = staged(_marked(left), "left"), staged(_marked(right), "right")  # noqa: E741
+    l, r = listed(left, "left"), listed(right, "right")  # noqa: E741
     return _paired(_asked(l, r, block, wanted), l, r, block)
 
 
@@ -99,8 +104,13 @@ def guarded_match(left: DataFrame, right: DataFrame, block: Sequence[str], left_
     Needs a similarity of ``least``, ``shared`` common tokens, no conflict of numbers, and a lead of
     ``margin`` over the runner-up, a copy among them; otherwise the row has no match.
     """
+    return _guarded(left, classes(right, block, right_key, tokens), block, left_key, right_key, tokens, least, shared, margin, conflict)
+
+
+def _guarded(left: DataFrame, right: DataFrame, block: Sequence[str], left_key: str, right_key: str, tokens: str = "tokens", least: float = 0.72, shared: int = 3, margin: float = 0.15, conflict: Callable[[Column, Column], Column] = numbers_conflict) -> DataFrame:
+    """``guarded_match`` with the classes of the right rows."""
     # a runner-up that trails by the margin or more can't hinder
-    met = similar_classes(classes(left, block, left_key, tokens), classes(right, block, right_key, tokens), block, max(least - margin, 1e-9), shared)
+    met = similar_classes(classes(left, block, left_key, tokens), right, block, max(least - margin, 1e-9), shared)
     fit = met.where(~conflict(F.col("lt"), F.col("rt")))
     order = Window.partitionBy(*block, "lt").orderBy(F.desc("score"), "r_first")
     ranked = fit.withColumns({"place": F.row_number().over(order), "next": F.when(F.col("r_rows") > 1, F.col("score")).otherwise(F.lead("score").over(order))})
@@ -123,7 +133,7 @@ def same_item_classes(left: DataFrame, right: DataFrame, block: Sequence[str]) -
     Titles that differ in rewording words alone are alike without those, so they meet by an equi-join; of a title that expands another, the
     shorter has all its words in the other, so its rarest one finds it.
     """
-    l, r = staged(_marked(left), "left"), staged(_marked(right), "right")  # noqa: E741
+    l, r = listed(left, "left"), listed(right, "right")  # noqa: E741
     reworded = F.array_except("tokens", F.array(*[F.lit(w) for w in said.REWORDING]))
     bare = lambda df, name: df.select(F.xxhash64(*block, reworded).alias("bare"), F.col("set").alias(name))
     alike = bare(l, "set").join(bare(r, "other"), "bare").select("set", "other")
@@ -194,11 +204,9 @@ def match_cascade(cards: DataFrame, items: DataFrame, block: str, key: str, item
     First the only item with the card's url (``url`` may hold an array on the items' side).  Then, where the card has a number: the only item with it;
     several narrow the choice to them; none, while the block has numbered items, ends without a match.  Last the title, guarded.
     """
-    clean = lambda c: F.when(F.trim(F.col(c)) != "", F.trim(F.col(c)))
-    asks = staged(cards.select(F.col(block).alias("block"), F.col(key).alias("k"), clean(url).alias("u"), said.agenda_number(F.col(number)).alias("n"), said.item_tokens(F.col(title)).alias("tokens")), "asks")
-    urls = F.col(url) if items.schema[url].dataType.typeName() == "array" else F.array(F.col(url))
-    has = staged(items.select(F.col(block).alias("block"), F.col(item_key).alias("i"), F.array_distinct(F.transform(urls, lambda u: F.trim(u))).alias("us"), said.agenda_number(F.col(number)).alias("n"), said.item_tokens(F.col(title)).alias("tokens")), "has")
-    by_url = has.select("block", "i", F.explode("us").alias("u")).where("u IS NOT NULL AND u <> ''").groupBy("block", "u").agg(F.count("*").alias("many"), F.min("i").alias("i")).where("many = 1").drop("many")
+    asks = staged(cards.select(F.col(block).alias("block"), F.col(key).alias("k"), _present(F.col(url)).alias("u"), said.agenda_number(F.col(number)).alias("n"), said.item_tokens(F.col(title)).alias("tokens")), "asks")
+    has = staged(items.select(F.col(block).alias("block"), F.col(item_key).alias("i"), _urls(items, url).alias("us"), said.agenda_number(F.col(number)).alias("n"), said.item_tokens(F.col(title)).alias("tokens")), "has")
+    by_url = _only_urls(has)
     numbers = has.where("n IS NOT NULL").groupBy("block", "n").agg(F.count("*").alias("same"), F.min("i").alias("by_number"))
     numbered = numbers.select("block").distinct().withColumn("is_numbered", F.lit(True))
     told = asks.join(by_url.withColumnRenamed("i", "by_url"), ["block", "u"], "left").join(numbers, ["block", "n"], "left").join(numbered, "block", "left")
@@ -221,43 +229,61 @@ def match_cascade(cards: DataFrame, items: DataFrame, block: str, key: str, item
     return out.select(F.col("k").alias(key), F.col("i").alias(item_key), "method", "score")
 
 
+def _present(text: Column) -> Column:
+    return F.when(F.trim(text) != "", F.trim(text))
+
+
+def _urls(items: DataFrame, url: str) -> Column:
+    """The different urls of an item, of which ``url`` holds one or an array."""
+    urls = F.col(url) if items.schema[url].dataType.typeName() == "array" else F.array(F.col(url))
+    return F.array_distinct(F.transform(urls, lambda u: F.trim(u)))
+
+
+def _only_urls(items: DataFrame) -> DataFrame:
+    """(block, u, i): urls that one item of a block alone has."""
+    return items.select("block", "i", F.explode("us").alias("u")).where("u IS NOT NULL AND u <> ''").groupBy("block", "u").agg(F.count("*").alias("many"), F.min("i").alias("i")).where("many = 1").drop("many")
+
+
+def _unnumbered(asks: DataFrame, urls: DataFrame, items: DataFrame, tokens: str) -> DataFrame:
+    """(k, i, method, score): the cascade of asks without numbers, over the items' ``_only_urls`` and ``listed`` classes."""
+    by_url = asks.join(urls, ["block", "u"]).select("k", "i", F.lit("source_url").alias("method"), F.lit(1.0).alias("score"))
+    by_title = _guarded(asks.join(urls, ["block", "u"], "left_anti"), items, ["block"], "k", "i", tokens, conflict=said.numbers_differ)
+    return by_url.unionByName(by_title.select("k", "i", F.lit("title").alias("method"), "score"))
+
+
 def known_ids(items: DataFrame, block: str, identity: str) -> DataFrame:
     """(block, identity, item's key): identities that one item of a block alone has."""
     named = items.where(F.trim(F.coalesce(F.col(identity), F.lit(""))) != "")
     return named.groupBy(block, F.trim(F.col(identity)).alias(identity)).agg(F.count("*").alias("n")).where("n = 1").drop("n")
 
 
-def _first_answers(*answers: DataFrame, key: str) -> DataFrame:
-    """The rows of the first frame that has each key."""
-    out = answers[0]
-    for more in answers[1:]:
-        out = out.unionByName(more.join(out.select(key), key, "left_anti"))
-    return out
-
-
 def source_items(cards: DataFrame, items: DataFrame, block: str, key: str, identity: str, title: str = "title", points: str = "points", url: str = "url") -> DataFrame:
     """(key, identity, method): the identity of the item that a card comes from, which must be one item's alone.
 
     The card's own if it is known; the item of the only equal title; a guarded match of the title, then of the title with the points.
+    Both sides are read and tokenized once, and each answer is written before the next is looked for.
     """
-    known = staged(known_ids(items, block, identity), "known")
-    listed = items.withColumns({identity: F.trim(F.col(identity)), "plain": F.lower(collapse(F.coalesce(F.col(title), F.lit(""))))})
-    own = cards.select(key, block, F.trim(F.col(identity)).alias(identity)).join(known, [block, identity], "left_semi")
-    own = own.select(key, identity, F.lit("known").alias("method"))
-    open_cards = cards.join(own, key, "left_anti").withColumn("plain", F.lower(collapse(F.coalesce(F.col(title), F.lit("")))))
-    only = listed.groupBy(block, "plain").agg(F.count("*").alias("n"), F.min(identity).alias(identity)).where("n = 1").drop("n")
-    by_title = open_cards.select(key, block, "plain").join(only, [block, "plain"]).join(known, [block, identity], "left_semi").select(key, identity, F.lit("exact_title").alias("method"))
-    no_number = {"number": F.lit(None).cast("string")}
-    numbered = listed.withColumns({**no_number, "item": F.struct(F.col(identity).alias("id"))})
-    answers = [own, by_title]
+    named = F.trim(F.col(identity)).alias("id")
+    plain = F.lower(collapse(F.coalesce(F.col(title), F.lit("")))).alias("plain")
+    words = said.item_tokens(F.col(title)).alias("tokens")
+    has = staged(items.select(F.col(block).alias("block"), named, _urls(items, url).alias("us"), plain, words).withColumn("i", F.struct("id")), "items")
+    more = said.item_tokens(F.concat_ws(" ", F.col(title), F.col(points))).alias("more")
+    asks = staged(cards.select(F.col(block).alias("block"), F.col(key).alias("k"), named, _present(F.col(url)).alias("u"), plain, words, more), "asks")
+    known = staged(known_ids(has, "block", "id"), "known")
+    own = asks.select("k", "block", "id").join(known, ["block", "id"], "left_semi").select("k", "id", F.lit("known").alias("method"))
+    only = has.groupBy("block", "plain").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1").drop("n")
+    found = staged(own, "own")
+    by_title = asks.drop("id").join(found, "k", "left_anti").join(only, ["block", "plain"]).join(known, ["block", "id"], "left_semi")
+    found = found.unionByName(staged(by_title.select("k", "id", F.lit("exact_title").alias("method")), "exact"))
+    urls, sets = staged(_only_urls(has), "urls"), listed(classes(has, ["block"], "i", "tokens"))
     # the title alone is asked first; only what it leaves is asked with the points
-    for name, words in (("title", F.col(title)), ("title_points", F.concat_ws(" ", F.col(title), F.col(points)))):
-        left = cards.join(staged(_first_answers(*answers, key=key), name), key, "left_anti").withColumns({**no_number, title: words})
-        met = match_cascade(left, numbered, block, key, "item", title, url)
+    for name, tokens in (("title", "tokens"), ("title_points", "more")):
+        left = asks.select("block", "k", "u", tokens).join(found, "k", "left_anti")
+        met = _unnumbered(left, urls, sets, tokens).select("k", F.col("i.id").alias("id")).join(asks.select("k", "block"), "k")
         # a match that no known item answers still ends the search
-        named = met.join(cards.select(key, block), key).select(key, block, F.col("item.id").alias(identity)).join(known.withColumn("is_known", F.lit(True)), [block, identity], "left")
-        answers.append(named.select(key, F.when(F.col("is_known"), F.col(identity)).alias(identity), F.lit(name).alias("method")))
-    return _first_answers(*answers, key=key).where(F.col(identity).isNotNull())
+        told = met.join(known.withColumn("is_known", F.lit(True)), ["block", "id"], "left")
+        found = found.unionByName(staged(told.select("k", F.when(F.col("is_known"), F.col("id")).alias("id"), F.lit(name).alias("method")), name))
+    return found.where("id IS NOT NULL").select(F.col("k").alias(key), F.col("id").alias(identity), "method")
 
 
 def structured_results(cards: DataFrame, items: DataFrame, block: str, key: str, item_key: str, identity: str, has_result: Column, title: str = "title", url: str = "url") -> DataFrame:
@@ -265,11 +291,14 @@ def structured_results(cards: DataFrame, items: DataFrame, block: str, key: str,
 
     A url counts only if it is one item's alone, of all items; an identity likewise.
     """
-    decided = items.where(F.coalesce(has_result, F.lit(False)))
-    named = decided.select(F.col(block), F.trim(F.col(identity)).alias(identity), F.col(item_key)).join(known_ids(items, block, identity), [block, identity], "left_semi")
-    by_id = cards.select(key, block, F.trim(F.col(identity)).alias(identity)).join(named, [block, identity]).select(key, item_key, F.lit("source_item_id").alias("method"), F.lit(1.0).alias("score"))
-    urls = F.col(url) if items.schema[url].dataType.typeName() == "array" else F.array(F.col(url))
-    specific = items.select(block, F.explode(F.array_distinct(F.transform(urls, lambda u: F.trim(u)))).alias("own_url")).groupBy(block, "own_url").agg(F.count("*").alias("n")).where("n = 1").drop("n")
-    rest = cards.join(by_id.select(key), key, "left_anti").withColumns({"own_url": F.trim(F.col(url)), "number": F.lit(None).cast("string")})
-    rest = rest.join(specific.withColumn("is_specific", F.lit(True)), [block, "own_url"], "left").withColumn(url, F.when(F.col("is_specific"), F.col("own_url")))
-    return by_id.unionByName(match_cascade(rest, decided.withColumn("number", F.lit(None).cast("string")), block, key, item_key, title, url))
+    decided = F.coalesce(has_result, F.lit(False))
+    named = F.trim(F.col(identity)).alias("id")
+    # only titles that may match are tokenized
+    has = staged(items.select(F.col(block).alias("block"), F.col(item_key).alias("i"), named, _urls(items, url).alias("us"), decided.alias("decided"), F.when(decided, said.item_tokens(F.col(title))).alias("tokens")), "items")
+    asks = staged(cards.select(F.col(block).alias("block"), F.col(key).alias("k"), named, _present(F.col(url)).alias("u"), said.item_tokens(F.col(title)).alias("tokens")), "asks")
+    known = has.where("decided").select("block", "id", "i").join(known_ids(has, "block", "id"), ["block", "id"], "left_semi")
+    by_id = staged(asks.select("k", "block", "id").join(known, ["block", "id"]).select("k", "i", F.lit("source_item_id").alias("method"), F.lit(1.0).alias("score")), "by_id")
+    urls = staged(_only_urls(has).join(has.where("decided").select("block", "i"), ["block", "i"], "left_semi"), "urls")
+    rest = asks.select("block", "k", "u", "tokens").join(by_id, "k", "left_anti")
+    out = by_id.unionByName(_unnumbered(rest, urls, classes(has.where("decided"), ["block"], "i", "tokens"), "tokens"))
+    return out.select(F.col("k").alias(key), F.col("i").alias(item_key), "method", "score")

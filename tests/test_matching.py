@@ -1,6 +1,7 @@
 """Claims, the cascade of matches and word-set joins: contested rows, stops, hot blocks, and all pairs of small tables."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -196,3 +197,26 @@ def test_sets_that_lack_too_many_words_are_not_paired(spark):
     want, found = ({(r.set, r.other) for r in df.select("set", "other").collect()} for df in (pairs, named))
     # of 40,000 pairs nearly all share one of the words asked for
     assert want and want <= found and len(found) < 2 * len(want) + 100
+
+
+def test_titles_are_read_once(spark):
+    reads = spark.sparkContext.accumulator(0)
+
+    def seen(title):
+        reads.add(1)
+        return title
+
+    seen = F.udf(seen, "string").asNondeterministic()
+    items = [(i, "m", f"Contract {i} for the repair of bridge number {i}", f"u{i}", None, f"id-{i}") for i in range(6)]
+    cards = [(i, "m", f"Repair of bridge number {i}", None, None, None, f"contract {i}") for i in range(10, 14)] + [(14, "m", "repair of bridge number 3", None, None, "id-3", "")]
+    c, i = (spark.createDataFrame(rows, shape).withColumn("title", seen("title")) for rows, shape in ((cards, CARD), (items, ITEM)))
+    assert {r.card_id for r in matching.source_items(c, i, "block", "card_id", "id").collect()} == {14}
+    assert reads.value == 11
+    assert {r.card_id for r in matching.structured_results(c, i, "block", "card_id", "item_id", "id", F.col("item_id") > 0).collect()} == {14}
+    assert reads.value == 22
+
+
+def test_word_that_patterns_start_with_is_in_each_match():
+    matches = ["capital improvement program (cip)", "capital improvement program", "public works & transportation commission", "east palo alto sanitary district ( epasd )", "east palo alto sanitary district", "senate bill", "rate", "increase", "disruption", "temporary", "work plan", "&"]
+    for (pattern, _), match in zip(said.RESPELLED, matches, strict=True):
+        assert re.fullmatch(pattern, match) and said._start(pattern) in match and len(said._start(pattern)) > 0
