@@ -19,7 +19,7 @@ from plenum.functions.text import collapse, numbers_conflict
 from plenum.sources.stages import staged
 
 #: Longs of 64 bits that mark a set's words.
-MARKS = 4
+MARKS = 8
 
 
 def classes(df: DataFrame, block: Sequence[str], key: str, tokens: str) -> DataFrame:
@@ -44,7 +44,7 @@ def listed(sets: DataFrame, name: str = "listed") -> DataFrame:
 
 
 def _asked(left: DataFrame, right: DataFrame, block: Sequence[str], wanted: Callable[[Column], Column]) -> DataFrame:
-    """(set, other): pairs where one of the smaller set's rarest words, all but ``wanted(size) - 1`` of them, is in the other, and marks don't tell that too few are."""
+    """(set, other, is_small): pairs, and whether the left one is the smaller, where one of the smaller set's rarest words, all but ``wanted(size) - 1`` of them, is in the other, and marks don't tell that too few are."""
     marks = [f"m{j}" for j in range(MARKS)]
     of = lambda df, is_left: df.select(F.lit(is_left).alias("is_left"), "set", F.size("tokens").alias("size"), *marks, F.explode("tokens").alias("word"), *block)
     # the hash of a block's word finds pairs only, which are compared whole, block and words
@@ -61,17 +61,19 @@ def _asked(left: DataFrame, right: DataFrame, block: Sequence[str], wanted: Call
     smaller = (F.col("my_size") < F.col("size")) | (F.col("my_size") == F.col("size")) & F.col("my_is_left")
     found = asks.join(met, "at").where((F.col("my_is_left") != F.col("is_left")) & smaller & (lacking <= F.col("my_size") - wanted(F.col("my_size"))))
     pick = lambda a, b: F.when(F.col("my_is_left"), F.col(a)).otherwise(F.col(b))
-    return found.select(pick("my_set", "set").alias("set"), pick("set", "my_set").alias("other")).distinct()
+    return found.select(pick("my_set", "set").alias("set"), pick("set", "my_set").alias("other"), F.col("my_is_left").alias("is_small")).distinct()
 
 
 def _paired(named: DataFrame, left: DataFrame, right: DataFrame, block: Sequence[str]) -> DataFrame:
-    """Pairs of names as pairs of classes of one block."""
+    """Pairs of names as pairs of classes of one block; the words of the smaller go to the larger."""
     l = left.select(*block, "set", F.col("tokens").alias("lt"), F.col("rows").alias("l_rows"), F.col("first").alias("l_first"))  # noqa: E741
     r = right.select(*[F.col(b).alias(f"r_{i}") for i, b in enumerate(block)], F.col("set").alias("other"), F.col("tokens").alias("rt"), F.col("rows").alias("r_rows"), F.col("first").alias("r_first"))
     same = F.lit(True)
     for i, b in enumerate(block):
         same = same & (F.col(b) == F.col(f"r_{i}"))
-    return named.join(l, "set").join(r, "other").where(same).drop("set", "other", *[f"r_{i}" for i in range(len(block))])
+    named = staged(named, "pairs")
+    to_right, to_left = named.where("is_small").join(l, "set").join(r, "other"), named.where("NOT is_small").join(r, "other").join(l, "set")
+    return to_right.unionByName(to_left).where(same).drop("set", "other", "is_small", *[f"r_{i}" for i in range(len(block))])
 
 
 def class_pairs(left: DataFrame, right: DataFrame, block: Sequence[str], wanted: Callable[[Column], Column]) -> DataFrame:
@@ -87,8 +89,9 @@ def _at_least(share: float, shared: int) -> Callable[[Column], Column]:
 def similar_classes(left: DataFrame, right: DataFrame, block: Sequence[str], least: float, shared: int = 1) -> DataFrame:
     """Pairs of classes with ``common`` words and ``score``, their share of the smaller set, which is ``least`` or more."""
     met = class_pairs(left, right, block, _at_least(least, shared))
-    common = F.size(F.array_intersect("lt", "rt"))
-    scored = met.withColumns({"common": common, "score": common / F.least(F.size("lt"), F.size("rt"))})
+    common, size = F.size(F.array_intersect("lt", "rt")), F.least(F.size("lt"), F.size("rt"))
+    # most pairs fail, and this fails them by one look at their words
+    scored = met.where(common >= _at_least(least, shared)(size)).withColumns({"common": common, "score": common / size})
     return scored.where((F.col("common") >= shared) & (F.col("score") >= least))
 
 
@@ -135,8 +138,8 @@ def same_item_classes(left: DataFrame, right: DataFrame, block: Sequence[str]) -
     """
     l, r = listed(left, "left"), listed(right, "right")  # noqa: E741
     reworded = F.array_except("tokens", F.array(*[F.lit(w) for w in said.REWORDING]))
-    bare = lambda df, name: df.select(F.xxhash64(*block, reworded).alias("bare"), F.col("set").alias(name))
-    alike = bare(l, "set").join(bare(r, "other"), "bare").select("set", "other")
+    bare = lambda df, name: df.select(F.xxhash64(*block, reworded).alias("bare"), F.col("set").alias(name), F.size("tokens").alias(f"{name}_size"))
+    alike = bare(l, "set").join(bare(r, "other"), "bare").select("set", "other", (F.col("set_size") <= F.col("other_size")).alias("is_small"))
     named = alike.union(_asked(l, r, block, lambda size: size)).distinct()
     return _paired(named, l, r, block).where(said.same_item(F.col("lt"), F.col("rt")))
 

@@ -220,3 +220,15 @@ def test_word_that_patterns_start_with_is_in_each_match():
     matches = ["capital improvement program (cip)", "capital improvement program", "public works & transportation commission", "east palo alto sanitary district ( epasd )", "east palo alto sanitary district", "senate bill", "rate", "increase", "disruption", "temporary", "work plan", "&"]
     for (pattern, _), match in zip(said.RESPELLED, matches, strict=True):
         assert re.fullmatch(pattern, match) and said._start(pattern) in match and len(said._start(pattern)) > 0
+
+
+def test_long_sets_that_lack_too_many_words_are_not_paired(spark):
+    rng = random.Random(13)
+    words = [f"w{i}" for i in range(2000)]
+    sets = spark.createDataFrame([(i, "m", sorted(rng.sample(words, 150 if i % 3 else 140))) for i in range(120)], "id int, block string, tokens array<string>")
+    side = lambda cond: matching._marked(matching.classes(sets.where(cond), ["block"], "id", "tokens"))
+    left, right = side("id < 60 OR id = 119").cache(), side("id >= 60").cache()
+    found = matching._asked(left, right, ["block"], lambda size: F.ceil(size * 0.57).cast("int")).collect()
+    assert len(found) < 20  # of 3,660 pairs, half of which 256 bits can't tell
+    same = left.select("set").join(right.select("set"), "set").first()["set"]
+    assert (same, same, True) in {(r.set, r.other, r.is_small) for r in found}
