@@ -24,7 +24,7 @@ MARKS = 8
 
 def classes(df: DataFrame, block: Sequence[str], key: str, tokens: str) -> DataFrame:
     """(block, set, tokens, rows, first): the different word sets of each block, how many rows have each, and their smallest key."""
-    sets = df.select(*block, F.col(key).alias("key"), F.array_sort(F.array_distinct(F.col(tokens))).alias("tokens")).where("size(tokens) > 0")
+    sets = df.where(F.size(F.col(tokens)) > 0).select(*block, F.col(key).alias("key"), F.sort_array(F.array_distinct(F.col(tokens))).alias("tokens"))
     grouped = sets.groupBy(*block, "tokens").agg(F.count("*").alias("rows"), F.min("key").alias("first"))
     # a set's name; two sets with one name would only meet as a pair that fails the rule
     return grouped.withColumn("set", F.xxhash64(*block, "tokens"))
@@ -43,23 +43,37 @@ def listed(sets: DataFrame, name: str = "listed") -> DataFrame:
     return sets if "m0" in sets.columns else staged(_marked(sets), name)
 
 
-def _asked(left: DataFrame, right: DataFrame, block: Sequence[str], wanted: Callable[[Column], Column]) -> DataFrame:
-    """(set, other, is_small): pairs, and whether the left one is the smaller, where one of the smaller set's rarest words, all but ``wanted(size) - 1`` of them, is in the other, and marks don't tell that too few are."""
+def _asked(left: DataFrame, right: DataFrame, block: Sequence[str], wanted: Callable[[Column], Column] | None = None, least: int = 1) -> DataFrame:
+    """(set, other, is_small): pairs, and whether the left one is the smaller, where one of the smaller set's rarest words, all but ``wanted(size) - 1`` of them, is in the other, and marks don't tell that too few are.
+
+    Without ``wanted`` the other must have all words, so the rarest one asks.  Sets of fewer than ``least`` words don't ask.
+    """
     marks = [f"m{j}" for j in range(MARKS)]
-    of = lambda df, is_left: df.select(F.lit(is_left).alias("is_left"), "set", F.size("tokens").alias("size"), *marks, F.explode("tokens").alias("word"), *block)
-    # the hash of a block's word finds pairs only, which are compared whole, block and words
-    words = of(left, True).union(of(right, False)).select("is_left", "set", "size", *marks, F.xxhash64(*block, "word").alias("at"))
+    of = lambda df, is_left: df.select(F.lit(is_left).alias("is_left"), "set", F.size("tokens").alias("size"), F.explode("tokens").alias("word"), *block)
+    # the hash of a block's word finds pairs only, which are compared whole, block and words; marks join where a word is asked for, so that words travel without them
+    words = of(left, True).union(of(right, False)).select("is_left", "set", "size", F.xxhash64(*block, "word").alias("at"))
     at = Window.partitionBy("at")
     there = F.when(F.col("is_left"), F.sum(F.when(~F.col("is_left"), 1).otherwise(0)).over(at)).otherwise(F.sum(F.when(F.col("is_left"), 1).otherwise(0)).over(at))
-    met = words.withColumn("often", there).where("often > 0")
-    own = Window.partitionBy("is_left", "set")
-    # words that the other side lacks come first: they are asked for in vain, and cost nothing
-    place = F.col("size") - F.count("*").over(own) + F.row_number().over(own.orderBy("often", "at"))
-    rare = met.withColumn("place", place).where(F.col("place") <= F.col("size") - wanted(F.col("size")) + 1)
-    asks = rare.select("at", *[F.col(c).alias(f"my_{c}") for c in ("is_left", "set", "size", *marks)])
+    met = words.withColumn("often", there).where(F.col("often") > 0)
+    need = F.col("size") if wanted is None else wanted(F.col("size"))
+    if wanted is None:
+        rare = met.where(F.col("size") >= least).groupBy("is_left", "set", "size").agg(F.count("*").alias("n"), F.min_by("at", "often").alias("at")).where("n = size")
+    else:
+        own = Window.partitionBy("is_left", "set")
+        # words that the other side lacks come first: they are asked for in vain, and cost nothing
+        place = F.col("size") - F.count("*").over(own) + F.row_number().over(own.orderBy("often", "at"))
+        rare = met.withColumn("place", place).where((F.col("size") >= least) & (F.col("place") <= F.col("size") - need + 1))
+    # written, so that who asks and who is asked go by the same words
+    rare = staged(rare.select("at", "is_left", "set", "size"), "rare")
+    marked = left.select(F.lit(True).alias("is_left"), "set", *marks).union(right.select(F.lit(False).alias("is_left"), "set", *marks))
+    asks = rare.join(marked, ["is_left", "set"]).select("at", *[F.col(c).alias(f"my_{c}") for c in ("is_left", "set", "size", *marks)])
+    # a word that one side alone asks for is answered by the other
+    asked = rare.select("at", (~F.col("is_left")).alias("is_left")).distinct()
+    answers = words.join(asked, ["at", "is_left"], "left_semi").join(marked, ["is_left", "set"])
     lacking = sum((F.bit_count(F.col(f"my_{m}").bitwiseAND(F.bitwise_not(F.col(m)))) for m in marks), F.lit(0))
     smaller = (F.col("my_size") < F.col("size")) | (F.col("my_size") == F.col("size")) & F.col("my_is_left")
-    found = asks.join(met, "at").where((F.col("my_is_left") != F.col("is_left")) & smaller & (lacking <= F.col("my_size") - wanted(F.col("my_size"))))
+    mine = F.col("my_size") if wanted is None else wanted(F.col("my_size"))
+    found = asks.join(answers, "at").where((F.col("my_is_left") != F.col("is_left")) & smaller & (lacking <= F.col("my_size") - mine))
     pick = lambda a, b: F.when(F.col("my_is_left"), F.col(a)).otherwise(F.col(b))
     return found.select(pick("my_set", "set").alias("set"), pick("set", "my_set").alias("other"), F.col("my_is_left").alias("is_small")).distinct()
 
@@ -97,7 +111,7 @@ def similar_classes(left: DataFrame, right: DataFrame, block: Sequence[str], lea
 
 def _of_class(rows: DataFrame, block: Sequence[str], key: str, tokens: str, found: DataFrame) -> DataFrame:
     """What was found for a class, for each of its rows."""
-    sets = rows.select(*block, key, F.array_sort(F.array_distinct(F.col(tokens))).alias("lt"))
+    sets = rows.select(*block, key, F.sort_array(F.array_distinct(F.col(tokens))).alias("lt"))
     return sets.join(found, [*block, "lt"])
 
 
@@ -140,7 +154,8 @@ def same_item_classes(left: DataFrame, right: DataFrame, block: Sequence[str]) -
     reworded = F.array_except("tokens", F.array(*[F.lit(w) for w in said.REWORDING]))
     bare = lambda df, name: df.select(F.xxhash64(*block, reworded).alias("bare"), F.col("set").alias(name), F.size("tokens").alias(f"{name}_size"))
     alike = bare(l, "set").join(bare(r, "other"), "bare").select("set", "other", (F.col("set_size") <= F.col("other_size")).alias("is_small"))
-    named = alike.union(_asked(l, r, block, lambda size: size)).distinct()
+    # sets of one or two words name what equal sets do, and those are alike without the rewording words too
+    named = alike.union(_asked(l, r, block, least=3)).distinct()
     return _paired(named, l, r, block).where(said.same_item(F.col("lt"), F.col("rt")))
 
 
@@ -156,10 +171,11 @@ def _unique_claims(cards: DataFrame, rows: DataFrame, on: Sequence[str], rule: s
 
 def _fuzzy_claims(cards: DataFrame, rows: DataFrame, block: str) -> DataFrame:
     """(row_id, card_id, rule): the rows that are the only ones to name a card's item, each for the first such card."""
-    met = same_item_classes(classes(cards, [block], "card_id", "tokens"), classes(rows, [block], "row_id", "tokens"), [block])
-    only = met.groupBy(block, "lt").agg(F.sum("r_rows").alias("n"), F.min("r_first").alias("row_id")).where("n = 1").drop("n")
-    asked = _of_class(cards.withColumn("ask", F.struct("ord", "card_id")), [block], "ask", "tokens", only)
-    return asked.groupBy("row_id").agg(F.min("ask").alias("ask")).select("row_id", F.col("ask.card_id").alias("card_id"), F.lit("fuzzy").alias("rule"))
+    asks = cards.withColumn("ask", F.struct("ord", "card_id"))
+    met = same_item_classes(classes(asks, [block], "ask", "tokens"), classes(rows, [block], "row_id", "tokens"), [block])
+    # of the cards of a class the first asks for all
+    only = met.groupBy(block, "lt").agg(F.sum("r_rows").alias("n"), F.min("r_first").alias("row_id"), F.min("l_first").alias("ask")).where("n = 1")
+    return only.groupBy("row_id").agg(F.min("ask").alias("ask")).select("row_id", F.col("ask.card_id").alias("card_id"), F.lit("fuzzy").alias("rule"))
 
 
 def adopt_children(target: DataFrame, source: DataFrame, parent: str, key: str, order: str, identity: str, title: str, url: str, state: Sequence[str] = ()) -> DataFrame:
@@ -171,9 +187,11 @@ def adopt_children(target: DataFrame, source: DataFrame, parent: str, key: str,
     identity where the source has none, and its ``state`` (flags, notes), which a new one has not.
 
     Of source rows with one identity, or without one with one title and url, the first counts.
+
+    Equal titles are told by their SHA-256, and only what the rounds by title leave is tokenized, once.
     """
     norm = lambda c: F.lower(collapse(F.coalesce(F.col(c), F.lit(""))))
-    sides = {"has": F.trim(F.coalesce(F.col(identity), F.lit(""))) != "", "identity": F.trim(F.col(identity)), "at": norm(title), "link": norm(url), "tokens": said.item_tokens(F.col(title))}
+    sides = {"has": F.trim(F.coalesce(F.col(identity), F.lit(""))) != "", "identity": F.trim(F.col(identity)), "at": F.sha2(norm(title), 256), "link": norm(url), "title": F.col(title)}
     cards = source.select(F.col(key).alias("card_id"), F.col(order).alias("ord"), F.col(parent).alias("parent"), *[c.alias(n) for n, c in sides.items()])
     once = F.when(F.col("has"), F.struct(F.col("identity").alias("a"), F.lit("").alias("b"), F.lit(True).alias("c"))).otherwise(F.struct(F.col("at").alias("a"), F.col("link").alias("b"), F.lit(False).alias("c")))
     cards = staged(cards.withColumn("n", F.row_number().over(Window.partitionBy("parent", once).orderBy("ord", "card_id"))).where("n = 1").drop("n"), "cards")
@@ -183,11 +201,17 @@ def adopt_children(target: DataFrame, source: DataFrame, parent: str, key: str,
     claims = staged(claims.groupBy("card_id", "rule").agg(F.max("row_id").alias("row_id")).select("row_id", "card_id", "rule"), "identity")
     asked_ids = cards.where("has").select("parent", "identity").distinct()
     legacy, adoptable = rows.where("NOT has"), rows.where("has").join(asked_ids, ["parent", "identity"], "left_anti")
-    for which, free, who in (("", legacy, cards), ("identified_", adoptable, cards.where("NOT has"))):
+    words = said.item_tokens(F.col("title")).alias("tokens")
+    worded = None
+    for which, free, may in (("", legacy, "true"), ("identified_", adoptable, "NOT has")):
         for rule in ("exact", "title", "fuzzy"):
-            still = who.join(claims, "card_id", "left_anti")
             left = free.join(claims, "row_id", "left_anti")
+            still = (cards if worded is None or rule != "fuzzy" else worded).where(may).join(claims, "card_id", "left_anti")
             if rule == "fuzzy":
+                # written, since a filter by tokens would be pushed below the join and make those of all rows
+                left = staged(left.select("row_id", "parent", words), "left_over")
+                if worded is None:
+                    still = worded = staged(still.select("card_id", "ord", "parent", "has", words), "worded")
                 new = _fuzzy_claims(still, left, "parent")
             else:
                 new = _unique_claims(still, left, ["parent", "at"] + (["link"] if rule == "exact" else []), rule)

@@ -232,3 +232,34 @@ def test_long_sets_that_lack_too_many_words_are_not_paired(spark):
     assert len(found) < 20  # of 3,660 pairs, half of which 256 bits can't tell
     same = left.select("set").join(right.select("set"), "set").first()["set"]
     assert (same, same, True) in {(r.set, r.other, r.is_small) for r in found}
+
+
+def test_titles_that_are_claimed_are_not_tokenized(spark, monkeypatch):
+    reads = spark.sparkContext.accumulator(0)
+
+    def seen(title):
+        reads.add(1)
+        return title
+
+    seen, tokens = F.udf(seen, "string").asNondeterministic(), said.item_tokens
+    monkeypatch.setattr(said, "item_tokens", lambda title: tokens(seen(title)))
+    target = [(i, "m", f"id-{i}" if i % 2 else None, f"Lease {i} of the harbor office", "u", None) for i in range(20)] + [(30, "m", None, "Street trees on Main", "u", True), (31, "m", "id-31", "Park fees schedule", "u", True)]
+    source = [(100 + i, "m", f"id-{i}" if i % 2 else None, f"Lease {i} of the harbor office", "u") for i in range(20)]
+    source += [(130, "m", None, "Street trees on Main north side", "v"), (131, "m", None, "Park fees schedule for summer", "v"), (132, "m", None, "Nothing like it", "v")]
+    out = adopt(spark, target, source)
+    assert [out[k][:2] for k in (100, 101, 130, 131, 132)] == [(0, "exact"), (1, "identity"), (30, "fuzzy"), (31, "identified_fuzzy"), (None, "new")]
+    # of 45 titles the five that no round by identity or title claims, once each
+    assert reads.value == 5
+
+
+def test_sets_too_short_to_expand_are_not_paired(spark, monkeypatch):
+    paired = []
+    kept = matching.staged
+    monkeypatch.setattr(matching, "staged", lambda df, name: paired.append(out.count()) or out if (out := kept(df, name)) is not None and name == "pairs" else out)
+    word = lambda i: f"w{chr(97 + i // 10)}{chr(97 + i % 10)}"
+    rows = [(i, "m", ["oak", word(i)][: 1 + i % 2]) for i in range(40)] + [(100 + i, "m", sorted(["oak", word(i), word(i + 1), "x" + word(i)])) for i in range(40)] + [(200, "m", ["oak", "wah", "xwah"])]
+    df = spark.createDataFrame(rows, "id int, block string, tokens array<string>")
+    side = lambda cond: matching.classes(df.where(cond), ["block"], "id", "tokens")
+    met = matching.same_item_classes(side("id < 40 OR id = 200"), side("id >= 100 AND id < 200"), ["block"]).collect()
+    assert [(r.lt, r.rt) for r in met] == [(["oak", "wah", "xwah"], ["oak", "wah", "wai", "xwah"])]
+    assert paired == [1]  # one of two words is in one or two of the others, one of one word in all
